@@ -11,8 +11,8 @@ expectation is zero, until one of them reaches 0 or 1; at most two stay fraction
 Flights run in blocks of bounded size dealt by a hash of the row, so a source that
 holds most rows is many blocks. What each block leaves (two units at most) flies again in
 blocks of the next level, and so on until one block per source is left; only there the
-landing problem, two units at most, is solved: the rounding nearest to the words still
-due. Random numbers come from hashes, so reruns agree.
+landing problem is solved: over the flight's last units and a few of all sizes kept from
+it, the rounding nearest to the words still due. Random numbers come from hashes, so reruns agree.
 
 Defined results: a null text has size 0. A null source is a source of its own, last. A
 source of size 0 has target 0. Rows that repeat an id are separate units. Targets stop at
@@ -36,6 +36,8 @@ from leafpress.llm.common import checkpoint, table
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BLOCK = 4096
+#: Units beside the flight's last two over which the landing is solved, by trying every rounding.
+LANDING = 10
 _EPS = 1e-9
 
 
@@ -93,19 +95,20 @@ def flight(p: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
 
 def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Round the few fractional units so that the words come nearest, then the documents."""
-    left = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
-    best = None
-    for bits in range(1 << len(left)):
-        pick = [bits >> k & 1 for k in range(len(left))]
-        off = (abs(sum((t - p[i]) * x[i] for t, i in zip(pick, left))), abs(sum(t - p[i] for t, i in zip(pick, left))), bits)
-        if best is None or off < best[0]:
-            best = (off, pick)
+    left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    picks = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    words, documents = abs((picks - p[left]) @ x[left]), abs((picks - p[left]).sum(1))
     out = p.copy()
-    for t, i in zip(best[1] if best else [], left):
-        out[i] = t
+    out[left] = picks[np.lexsort((documents, words))[0]]
     return np.round(out)
 
 
+def held_back(p: np.ndarray, n: int = LANDING) -> np.ndarray:
+    """n fractional units spread over the given order, kept from the last flight for the landing."""
+    pending = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    return pending[np.unique(np.linspace(0, len(pending) - 1, min(n, len(pending))).astype(int))] if len(pending) else pending
+
+
 def _draws(seed: int, key: str, n: int) -> np.ndarray:
     digest = hashlib.blake2b(f"{seed}/{key}".encode(), digest_size=8).digest()
     return np.random.default_rng(int.from_bytes(digest, "little")).random(n)
@@ -120,10 +123,17 @@ def cube_sample(units: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFra
 
     def fly(last: bool, level: int):
         def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["h", "x"], kind="stable")
+            # Largest first: the units still fractional at the end are small, and so is the landing error.
+            g = g.sort_values(["x", "h"], ascending=[False, True], kind="stable")
             p, x = g["p"].to_numpy(), g["x"].to_numpy()
-            p = flight(p, x, _draws(seed, f"{level}/{key}", max(1, len(g))))
-            return g.assign(p=landing(p, x) if last else p)[schema.names]
+            draws = _draws(seed, f"{level}/{key}", max(1, len(g)))
+            if not last:
+                return g.assign(p=flight(p, x, draws))[schema.names]
+            flies = np.ones(len(g), bool)
+            flies[held_back(p)] = False
+            p = p.copy()
+            p[flies] = flight(p[flies], x[flies], draws)
+            return g.assign(p=landing(p, x))[schema.names]
 
         return run
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from leafpress.llm import bpe, line_dedup, mixing
+from leafpress.llm import bpe, langid, line_dedup, mixing, quality, toxicity
 
 _MODULES = (
+    ("op2_language_id", langid.op2_language_id, None),
+    ("op3_quality", quality.op3_quality, None),
     ("op7_byte_bpe", bpe.op7_byte_bpe, None),
+    ("op8_toxicity", toxicity.op8_toxicity, None),
     ("op9_cube_mixing", mixing.op9_cube_mixing, None),
     ("op10_line_dedup", line_dedup.op10_line_dedup, line_dedup.ORACLE_SQL),
 )
