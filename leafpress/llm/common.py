@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write as Parquet into the shared checkpoint folder and read back: like checkpoint, but compressed."""
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/leafpress-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z alone. For pure ASCII text lower() is the same and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

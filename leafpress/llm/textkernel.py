@@ -69,6 +69,12 @@ def case_table() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def word_table() -> np.ndarray:
+    """True for letters, marks and digits."""
+    return (letter_table() > 0) | (case_table() == 3)
+
+
 @lru_cache(maxsize=1)
 def script_table() -> np.ndarray:
     starts = np.array([0, *(s for s, _ in SCRIPT_STARTS)])
