@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from leafpress.llm import bpe, langid, line_dedup, mixing, near_dup, quality, toxicity
+from leafpress.llm import ann, bpe, langid, line_dedup, mixing, near_dup, quality, toxicity, url_filter
 
 _MODULES = (
     ("op2_language_id", langid.op2_language_id, None),
     ("op3_quality", quality.op3_quality, None),
+    ("op4_prefix_forest", ann.op4_prefix_forest, None),
     ("op5_near_dup", near_dup.op5_near_dup, None),
+    ("op6_url_filter", url_filter.op6_url_filter, None),
     ("op7_byte_bpe", bpe.op7_byte_bpe, None),
     ("op8_toxicity", toxicity.op8_toxicity, None),
     ("op9_cube_mixing", mixing.op9_cube_mixing, None),
