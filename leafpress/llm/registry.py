@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from leafpress.llm import ann, bpe, langid, line_dedup, mixing, near_dup, quality, toxicity, url_filter
+from leafpress.llm import ann, bpe, fingerprint, langid, line_dedup, mixing, near_dup, quality, toxicity, url_filter
 
 _MODULES = (
+    ("op1_winnowing", fingerprint.op1_winnowing, None),
     ("op2_language_id", langid.op2_language_id, None),
     ("op3_quality", quality.op3_quality, None),
     ("op4_prefix_forest", ann.op4_prefix_forest, None),
