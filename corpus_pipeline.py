@@ -1,17 +1,48 @@
-"""The corpus pipeline: documents in, encoded documents out."""
+"""The corpus pipeline: documents in, encoded documents out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Every
+stage but the last returns the columns of documents; n_chars follows a changed text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafpress.llm import bpe, line_dedup, mixing, near_dup, quality
+from leafpress.llm.common import stored
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from all documents but the first; a document that loses all of its lines goes."""
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_dropped") == F.col("n_lines")) & (F.col("n_dropped") > 0)
+    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    length = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.where(~emptied).withColumn("n_chars", length).withColumn("text", text).select(docs.columns)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the digests of ids and decoded bytes of every row."""
+    return bpe.encode_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality.quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dup", near_dup.near_dup_stage),
+    ("mixing", mixing.mixing_stage),
+    ("byte_bpe", encode_stage),
+]
 
-#: Classifier, near-duplicate search and encoder can't be written in SQL.
+#: Classifier, near-duplicate search, sampling and encoder can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
     return docs

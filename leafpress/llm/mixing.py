@@ -28,7 +28,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafpress.llm.common import checkpoint, table
@@ -190,3 +190,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = WEIG
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or repeated."""
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("dup").alias("_dup"), "copies")
+    alike = Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
+    numbered = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_n", F.row_number().over(alike) - 1)
+    joined = numbered.join(
+        taken.hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_n") == F.col("_dup")),
+    )
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(docs.columns))
