@@ -1,17 +1,204 @@
-"""Registered queries over the driver's tables, each with its SQL twin."""
+"""Registered queries: each digitization operator on a column of the driver's tables, with its SQL twin."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafpress.functions import names, text
+from leafpress.operators import gates, ledger
+from leafpress.sources import docx, images
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Every document's paragraphs as the text of a completed scan, through the ledger's events and view."""
+    docs = _t(spark, sf_dir, "documents")
+    clock = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    none = F.lit(None).cast("string")
+    made = docs.select(
+        F.col("doc_id").alias("scan_id"), F.lit(0).alias("seq"), F.lit("Pending").alias("status"), F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"),
+        none.alias("text_content"), none.alias("docx_path"), clock.alias("event_ts"), F.lit(0).cast("long").alias("batch_id"),
+    )
+    done = docs.select(F.col("doc_id").alias("scan_id"), F.lit(gates.COMPLETED).alias("status"), F.array_join(text.paragraph_array(F.col("text")), "\n").alias("text_content"), names.docx_name(F.col("doc_id"), clock).alias("docx_path"))
+    return ledger.scans(made.unionByName(ledger.update_events(done, made, clock, 1)))
+
+
+def content_type_gate(spark, d):
+    return _t(spark, d, "pages").where(gates.has_prefix(F.col("url"), "https://")).select("page_id", "url")
+
+
+def filename_ext(spark, d):
+    return _t(spark, d, "pages").select("page_id", "url", names.extension(F.col("url")).alias("ext"))
+
+
+def basename(spark, d):
+    return _t(spark, d, "pages").select("page_id", "url", names.basename(F.col("url")).alias("base"))
+
+
+def dirname(spark, d):
+    return _t(spark, d, "pages").select("page_id", names.dirname(F.col("url")).alias("dir"))
+
+
+def create_records(spark, d):
+    return _t(spark, d, "events").select(F.col("event_id").alias("id"), names.upload_name(F.col("ts"), F.lit(".png")).alias("filename"), F.lit("Pending").alias("status"))
+
+
+def last_write_wins(spark, d):
+    named = _t(spark, d, "events").select("event_id", "ts", names.upload_name(F.col("ts"), F.lit(".png")).alias("filename"))
+    return ledger.latest(named, "filename", ("ts", "event_id"), ("event_id",))
+
+
+def current_status(spark, d):
+    rows = _t(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"))
+    return ledger.latest(rows, "user_id", ("ts", "event_id"), ("event_id", "status"))
+
+
+def update_status(spark, d):
+    hit = F.col("o_orderkey") == 17
+    return _t(spark, d, "orders").select(
+        "o_orderkey", F.when(hit, gates.failed_status(F.lit("x"))).otherwise(F.col("o_orderstatus")).alias("status"), F.when(~hit, F.col("o_orderpriority")).alias("text_content")
+    )
+
+
+def get_by_id(spark, d):
+    return ledger.get_by_id(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), 17, "o_orderkey")
+
+
+def status_response(spark, d):
+    s = F.col("o_orderstatus")
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), s.alias("status"), gates.only_when_completed(s, F.col("o_orderpriority"), "F").alias("text_content"))
+
+
+def status_json(spark, d):
+    s = F.col("o_orderstatus")
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), s.alias("status"), gates.only_when_completed(s, F.col("o_orderpriority"), "F").alias("text_content")))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body"))
+
+
+def join_fragments(spark, d):
+    return text.join_ordered(_t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+def paragraphs(spark, d):
+    return text.paragraphs(_t(spark, d, "documents"), "doc_id")
+
+
+def paragraphs_blank(spark, d):
+    blanks = _t(spark, d, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".\n \n")).alias("text"))
+    return text.paragraphs(blanks, "doc_id")
+
+
+def download_gate(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    asked = spark.range(0, 15010, 7)
+    done = F.when(F.col("o_orderstatus") == "F", gates.COMPLETED).otherwise(F.col("o_orderstatus"))
+    joined = asked.join(orders, asked["id"] == orders["o_orderkey"], "left")
+    return joined.select("id", gates.download_code(F.col("o_orderkey").isNotNull(), done, F.col("o_orderkey") % 2 == 1).alias("code"))
+
+
+def upload_gate(spark, d):
+    kind = F.when(F.col("event_type") == "click", "text/plain").when(F.col("event_type") == "view", F.lit("image/png")).otherwise("image/jpeg")
+    return _t(spark, d, "events").select("event_id", gates.upload_code(kind, F.col("event_type") != "error", F.col("value") > 10).alias("code"))
+
+
+def text_fallback(spark, d):
+    return _t(spark, d, "documents").select("doc_id", text.shown_text(F.col("text")).alias("shown"))
+
+
+def failed_status(spark, d):
+    failed = _t(spark, d, "events").where("event_type = 'error'").select("event_id", gates.failed_status(F.col("props")).alias("status"))
+    return failed.where(gates.is_terminal(F.col("status")))
+
+
+def preprocess_path(spark, d):
+    return _t(spark, d, "pages").select("page_id", names.preprocessed_path(F.col("url")).alias("path"))
+
+
+def docx_name(spark, d):
+    return _t(spark, d, "events").select("event_id", names.docx_name(F.col("event_id"), F.col("ts")).alias("path"))
+
+
+def status_label(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", gates.status_label(F.col("o_orderkey"), F.col("o_orderstatus")).alias("label"))
+
+
+def parse_id(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.coalesce(names.parse_id(names.basename(F.col("url"))), F.lit(-1)).cast("long").alias("number"))
+
+
+def docx_paragraph_count(spark, d):
+    return _t(spark, d, "documents").select("doc_id", (F.size(text.paragraph_array(F.col("text"))) + 1).alias("paragraphs"))
+
+
+def docx_build(spark, d):
+    """Paragraphs counted in the built packages, read back."""
+
+    @F.pandas_udf("int")
+    def count(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: len(docx.read_docx(x)[0]))
+
+    built = docx.with_docx(_t(spark, d, "documents").select("doc_id", "text"))
+    return built.select("doc_id", count(F.col("docx.value")).alias("paragraphs"))
+
+
+def preprocess_pixels(spark, d):
+    """The cleaning chain on small synthetic pages: the embedding's label sets the side, its values the pixels."""
+    side = (F.col("label") % 4 + 5).cast("int")
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", F.lit(1), side * side), lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 1000), F.lit(256))), 2, "0")), ""))
+    pages = _t(spark, d, "embeddings").where(F.size("embedding") >= 64).select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
+    out = pages.select("vec_id", images.clean_pixels("pixels").alias("c"))
+    return out.select("vec_id", F.col("c.value.height").alias("height"), F.col("c.value.width").alias("width"), F.sha2("c.value.data", 256).alias("pixels_sha256"), F.col("c.error").alias("error"))
+
+
+_UPLOAD = "'upload_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png'"
+_BLANK = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_EXT = r"regexp_extract(url, '[^./][^/]*(\.[^./]*)\z', 1)"
+_PARAGRAPHS = """WITH p AS (SELECT doc_id, [x FOR x IN string_split({text}, chr(10)) IF regexp_matches(x, '{blank}')] AS a FROM documents)
+SELECT doc_id, unnest(range(len(a)))::int AS para_no, unnest(a) AS text FROM p"""
+
+_ALL = {
+    "content_type_gate": (content_type_gate, "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')"),
+    "filename_ext": (filename_ext, f"SELECT page_id, url, {_EXT} AS ext FROM pages"),
+    "basename": (basename, "SELECT page_id, url, split_part(url, '/', -1) AS base FROM pages"),
+    "dirname": (dirname, r"""WITH h AS (SELECT page_id, left(url, length(url) - length(split_part(url, '/', -1))) AS h FROM pages)
+        SELECT page_id, CASE WHEN regexp_matches(h, '^/*\z') THEN h ELSE regexp_replace(h, '/+\z', '') END AS dir FROM h"""),
+    "create_records": (create_records, f"SELECT event_id AS id, {_UPLOAD} AS filename, 'Pending' AS status FROM events"),
+    "last_write_wins": (last_write_wins, f"SELECT {_UPLOAD} AS filename, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1"),
+    "current_status": (current_status, "SELECT user_id, event_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+    "update_status": (update_status, "SELECT o_orderkey, CASE WHEN o_orderkey = 17 THEN 'Failed: x' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey <> 17 THEN o_orderpriority END AS text_content FROM orders"),
+    "get_by_id": (get_by_id, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 17"),
+    "status_response": (status_response, "SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS text_content FROM orders"),
+    "status_json": (status_json, """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN json_object('id', o_orderkey, 'status', o_orderstatus, 'text_content', o_orderpriority)::varchar
+        ELSE json_object('id', o_orderkey, 'status', o_orderstatus)::varchar END AS body FROM orders"""),
+    "join_fragments": (join_fragments, "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"),
+    "paragraphs": (paragraphs, _PARAGRAPHS.format(text="text", blank=_BLANK)),
+    "paragraphs_blank": (paragraphs_blank, _PARAGRAPHS.format(text="replace(text, '. ', '.' || chr(10) || ' ' || chr(10))", blank=_BLANK)),
+    "download_gate": (download_gate, """SELECT r.id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 400 WHEN o_orderkey % 2 <> 1 THEN 404 ELSE 200 END AS code
+        FROM (SELECT unnest(range(0, 15010, 7)) AS id) r LEFT JOIN orders ON r.id = o_orderkey"""),
+    "upload_gate": (upload_gate, "SELECT event_id, CASE WHEN event_type = 'click' THEN 400 WHEN event_type = 'error' THEN 500 WHEN value > 10 THEN 201 ELSE 400 END AS code FROM events"),
+    "text_fallback": (text_fallback, "SELECT doc_id, coalesce(nullif(text, ''), 'Không có nội dung') AS shown FROM documents"),
+    "failed_status": (failed_status, "SELECT event_id, 'Failed: ' || props AS status FROM events WHERE event_type = 'error' AND starts_with('Failed: ' || props, 'Failed')"),
+    "preprocess_path": (preprocess_path, f"SELECT page_id, left(url, length(url) - length({_EXT})) || '_preprocessed' || {_EXT} AS path FROM pages"),
+    "docx_name": (docx_name, "SELECT event_id, 'outputs/scan_' || event_id || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.docx' AS path FROM events"),
+    "status_label": (status_label, "SELECT o_orderkey, 'ID: ' || o_orderkey || ' - ' || o_orderstatus AS label FROM orders"),
+    "parse_id": (parse_id, "SELECT page_id, coalesce(try_cast(split_part(url, '/', -1) AS bigint), -1)::bigint AS number FROM pages"),
+    "docx_paragraph_count": (docx_paragraph_count, f"SELECT doc_id, (len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')]) + 1)::int AS paragraphs FROM documents"),
+    "docx_build": (docx_build, f"SELECT doc_id, (len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')]) + 1)::int AS paragraphs FROM documents"),
+    "preprocess_pixels": (preprocess_pixels, None),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()} | {"scan_view": flagship}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql} | {
+        "scan_view": f"""SELECT doc_id AS id, 'upload_' || doc_id || '.png' AS filename, 'Completed' AS status, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at,
+        array_to_string([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')], chr(10)) AS text_content, 'outputs/scan_' || doc_id || '_20240101_000000.docx' AS docx_path FROM documents"""
+    }
