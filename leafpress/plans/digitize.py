@@ -66,7 +66,7 @@ def process_batch(uploads: DataFrame, ledger: Ledger, out_folder: str, batch_id:
     paths = [r["filename"] for r in pending.select("filename").collect()]  # one micro-batch of files, as listed by the source
     if paths:
         pages = read_decoded(spark, paths)
-        made = pending.join(pages, F.col("filename") == F.col("path")).select("scan_id", "pixels", "event_ts")
+        made = pending.join(pages, F.col("filename") == F.col("path"), "left").select("scan_id", "pixels")
         texts = recognized(made, name, make).join(pending.select("scan_id", "event_ts"), "scan_id")
         ready = documents(texts, F.col("event_ts"))
         files = write_files(ready.where("value IS NOT NULL"), out_folder)

@@ -13,23 +13,26 @@ from pyspark.sql import functions as F
 from leafpress.functions import kernels
 
 MAX_BYTES = 256 << 20
+UPLOAD = "path string, modificationTime timestamp, length long, content binary"
 PIXELS = "struct<height:int,width:int,channels:int,data:binary>"
 CLEANED = "struct<value:struct<height:int,width:int,channels:int,data:binary>,error:string>"
 
 
-def read_uploads(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+def read_uploads(spark: SparkSession, folder: str, streaming: bool = False, max_files: int = 100) -> DataFrame:
     """Landing folder as (path, modificationTime, length, content); pruning path columns skips the content."""
     spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(MAX_BYTES))
     if streaming:
-        return spark.readStream.format("binaryFile").load(folder)
+        return spark.readStream.format("binaryFile").schema(UPLOAD).option("maxFilesPerTrigger", max_files).load(folder)
     return spark.read.format("binaryFile").load(folder)
 
 
-def read_decoded(spark: SparkSession, folder: str) -> DataFrame:
+def read_decoded(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Decoded images as (path, pixels); undecodable files have height -1."""
     i = F.col("image")
     pixels = F.struct(i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
-    return spark.read.format("image").load(folder).select(i["origin"].alias("path"), pixels.alias("pixels"))
+    # The two sources write an empty authority differently: file:/// and file:/.
+    path = F.regexp_replace(i["origin"], r"^(\w+):///", "$1:/")
+    return spark.read.format("image").load(folder).select(path.alias("path"), pixels.alias("pixels"))
 
 
 def content_type(path: Column) -> Column:

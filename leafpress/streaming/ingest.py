@@ -35,5 +35,5 @@ def start(
         if rejects:
             refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
-    source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(landing) if max_files else read_uploads(spark, landing, True)
+    source = read_uploads(spark, landing, True, max_files)
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
