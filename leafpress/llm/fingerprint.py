@@ -45,7 +45,8 @@ def winnow(text: str, offset: str = "0L") -> Column:
     Positions count code points from ``offset``, a column name or literal.
     """
     # A hash keeps its high 48 bits; below stands the position, reversed so that the minimum is the rightmost.
-    grams = rf"regexp_extract_all(b, '(?s)(?=({'.' * K}))', 1)"
+    # Each match consumes one code point, so that none starts inside a surrogate pair.
+    grams = rf"regexp_extract_all(b, '(?s)(?=({'.' * K})).', 1)"
     hashes = f"IF(char_length(b) >= {K}, transform({grams}, (g, i) -> (xxhash64(g) & -65536L) | (65535 - i)), array((xxhash64(b) & -65536L) | 65535))"
     body = f"slice(m{WINDOW}, 1, CASE WHEN size(m{WINDOW}) >= {WINDOW} THEN size(m{WINDOW}) - {WINDOW - 1} WHEN j = 0 THEN 1 ELSE 0 END)"
     step = WINDOW
@@ -127,7 +128,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.sha2(F.concat(F.expr("substring(t, 1, keep)"), "end"), 256).alias("edited_sha256"),
         F.expr(f"IF(keep > {_REACH}, substring(t, 1, keep), '')").alias("t_a"),
         F.expr("substring(t, from + 1, n)").alias("t_b"),
-        F.expr("concat(substring(t, from + 1, keep - from), end)").alias("t_c"),
+        # With nothing put in its place the beginning's own windows are all.
+        F.expr("IF(from > 0 AND end = '', '', concat(substring(t, from + 1, keep - from), end))").alias("t_c"),
     )
     hashed = parted.select(*own, "edited_sha256", winnow("t_a").alias("f_a"), winnow("t_b", "from").alias("f_b"), winnow("t_c", "from").alias("f_c"))
     whole = hashed.select(*own, "edited_sha256", joined("f_a", "f_b").alias("fingerprint"), joined("f_a", "f_c").alias("edited_fingerprint"))

@@ -16,7 +16,8 @@ Defined results: a null or empty text is one empty line, which stays (keys short
 than ``min_chars`` never go). Rows with the same id and text are one document and
 get the same decision; rows with one id and different texts count as one holder
 but are cut apart by their text. A null id counts as one document after all others.
-Other columns pass through untouched.
+Other columns pass through; names that begin with an
+underscore are taken, and columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -81,18 +82,16 @@ def line_bitmaps(
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus n_lines, n_dropped and kept_text, the lines that stay joined by newlines."""
-    names = docs.columns
-    joined = _keyed(docs, id_col, text_col).join(bitmaps.hint("shuffle_hash"), ["_id", "_r1", "_r2"], "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    marks = bitmaps.select("_id", "_r1", "_r2", F.col("n_dropped").alias("_dropped"), F.col("drop_words").alias("_bits"))
+    joined = _keyed(docs.select(*(F.col(f"`{c}`") for c in names)), id_col, text_col).join(marks.hint("shuffle_hash"), ["_id", "_r1", "_r2"], "left")
     kept = F.expr(
-        r"""CASE WHEN n_dropped IS NULL THEN _text ELSE array_join(filter(split(_text, '\n', -1), (x, i) ->
+        r"""CASE WHEN _dropped IS NULL THEN _text ELSE array_join(filter(split(_text, '\n', -1), (x, i) ->
             (shiftright(coalesce(try_element_at(_words, CAST(i DIV 64 AS INT)), 0L), i % 64) & 1L) = 0L), '\n') END"""
     )
-    return (
-        joined.withColumn("_words", F.map_from_entries("drop_words"))
-        .withColumn("kept_text", kept)
-        .withColumn("n_lines", (F.char_length("_text") - F.char_length(F.replace(F.col("_text"), F.lit("\n"))) + 1).cast("long"))
-        .withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in names if c not in ("n_lines", "n_dropped", "kept_text")], "n_lines", "n_dropped", "kept_text")
+    count = F.char_length("_text") - F.char_length(F.replace(F.col("_text"), F.lit("\n"))) + 1
+    return joined.withColumn("_words", F.map_from_entries("_bits")).select(
+        *(F.col(f"`{c}`") for c in names), count.cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text")
     )
 
 
