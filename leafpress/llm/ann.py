@@ -57,8 +57,8 @@ class Forest:
     def _strings(lifted: np.ndarray, plane: np.ndarray) -> np.ndarray:
         return ((lifted @ plane) > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))
 
-    def candidates(self, queries: np.ndarray, visits: float = VISITS):
-        """For each query the indices of its candidates."""
+    def candidates(self, queries: np.ndarray, visits: float = VISITS, least: int = 1):
+        """For each query the indices of its candidates, at least ``least`` (or all) of them."""
         n = np.sqrt((queries * queries).sum(1, keepdims=True))
         lifted = np.column_stack((queries / np.where(n > 0, n, 1), np.zeros(len(queries))))
         lo = np.zeros((len(self.trees), _LEVELS, len(queries)), np.int32)
@@ -70,7 +70,8 @@ class Forest:
                 lo[t, level] = np.searchsorted(strings, own & ~free, "left")
                 hi[t, level] = np.searchsorted(strings, own | free, "right")
         # The longest prefix length, the same for all trees, at which they hold enough.
-        enough = (hi - lo).sum(0) >= visits * len(self.x)
+        # Trees that hold trees * least together hold as many different ones.
+        enough = (hi - lo).sum(0) >= max(visits * len(self.x), len(self.trees) * min(least, len(self.x)))
         level = np.where(enough.any(0), _LEVELS - 1 - np.argmax(enough[::-1], axis=0), 0)
         for q, at in enumerate(level):
             seen = np.zeros(len(self.x), bool)
@@ -87,7 +88,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     first = np.searchsorted(of, np.arange(len(distinct) + 1))
     forest = Forest(distinct)
     out = []
-    for q, found in enumerate(forest.candidates(queries, visits)):
+    for q, found in enumerate(forest.candidates(queries, visits, k + 1)):
         score = distinct[found] @ queries[q]
         if len(score) > k + 1:
             # All that reach the (k+1)th score, so that ties are settled by id.

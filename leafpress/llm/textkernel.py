@@ -112,13 +112,14 @@ def word_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(np.add.reduceat(each, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 
-def packs(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def packs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of texts with at most ``limit`` characters together, or one longer text."""
     i, n = 0, 0
     for j, t in enumerate(texts):
-        if j > i and n + len(t) > limit:
+        size = len(t or "")
+        if j > i and n + size > limit:
             yield i, j
             i, n = j, 0
-        n += len(t)
+        n += size
     if i < len(texts):
         yield i, len(texts)
