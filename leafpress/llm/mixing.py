@@ -114,10 +114,11 @@ def _draws(seed: int, key: str, n: int) -> np.ndarray:
     return np.random.default_rng(int.from_bytes(digest, "little")).random(n)
 
 
-def cube_sample(units: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """units (stratum int, unit struct-free columns, x double, p double) -> the same with p 0 or 1.
+def cube_sample(units: DataFrame, largest: int, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """units with every p turned into 0 or 1.
 
-    Needs columns stratum, h (long, a hash that orders and deals units), x, p. Other columns pass.
+    Needs columns stratum, of (units in the stratum, at most ``largest``), h (a hash that orders and
+    deals units), x (the balancing value) and p. Other columns pass.
     """
     schema = units.schema
 
@@ -137,15 +138,13 @@ def cube_sample(units: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFra
 
         return run
 
-    # Even blocks of a stratum: as many as its units need, dealt by hash.
-    most = units.groupBy("stratum").agg(F.count("*").alias("_n"))
-    blocks = {r["stratum"]: max(1, math.ceil(r["_n"] / block)) for r in most.collect()}
+    # As many even blocks as a stratum's units need; each leaves two units at most for the next level.
+    blocks, most = F.ceil(F.col("of") / block), math.ceil(largest / block)
     done: DataFrame | None = None
     level = 0
     while True:
-        last = all(n == 1 for n in blocks.values())
-        of = F.element_at(F.create_map(*[F.lit(v) for kv in (blocks or {0: 1}).items() for v in kv]), F.col("stratum"))
-        dealt = units.withColumn("_b", F.pmod(F.xxhash64("h", F.lit(level)), of))
+        last = most <= 1
+        dealt = units.withColumn("_b", F.pmod(F.xxhash64("h", F.lit(level)), F.greatest(F.lit(1), blocks)))
         flown = dealt.groupBy("stratum", "_b").applyInPandas(fly(last, level), schema)
         if last:
             return flown if done is None else done.unionByName(flown)
@@ -153,7 +152,7 @@ def cube_sample(units: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFra
         settled = (F.col("p") <= _EPS) | (F.col("p") >= 1 - _EPS)
         done = flown.where(settled) if done is None else done.unionByName(flown.where(settled))
         units = flown.where(~settled)
-        blocks = {s: max(1, math.ceil(2 * n / block)) for s, n in blocks.items()}
+        blocks, most = F.ceil(2 * blocks / block), math.ceil(2 * most / block)
         level += 1
 
 
@@ -168,23 +167,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: Sequence[float] = WEIG
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
     slim = checkpoint(slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
-    sums = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size")).collect()
+    sums = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("of")).collect()
+    units_of = {r["source"]: int(r["of"]) for r in sums}
     sizes = {r["source"]: int(r["size"]) for r in sums}
     goal = targets(sizes, weights, cap)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     spark = docs.sparkSession
     facts = spark.createDataFrame(
-        [(s, k, sizes[s], float(goal[s]), float(goal[s]) / sizes[s] if sizes[s] else 0.0) for k, s in enumerate(order)],
-        "source string, stratum int, source_size long, target double, rate double",
+        [(s, k, units_of[s], sizes[s], float(goal[s]), float(goal[s]) / sizes[s] if sizes[s] else 0.0) for k, s in enumerate(order)],
+        "source string, stratum int, of long, source_size long, target double, rate double",
     )
     units = (
         slim.withColumn("dup", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
         .join(F.broadcast(facts) if len(order) <= 10_000 else facts, slim["source"].eqNullSafe(facts["source"]))
-        .select("doc_id", slim["source"], "size", "source_size", "target", "dup", "stratum", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
+        .select("doc_id", slim["source"], "size", "source_size", "target", "dup", "stratum", "of", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
         .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "dup"))
         .withColumn("x", F.col("size").cast("double"))
     )
-    return cube_sample(units, seed).withColumn("copies", (F.col("whole") + F.col("p")).cast("long")).drop("whole", "p", "h", "x", "stratum")
+    return cube_sample(units, max(units_of.values(), default=0), seed).withColumn("copies", (F.col("whole") + F.col("p")).cast("long")).drop("whole", "p", "h", "x", "stratum", "of")
 
 
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
