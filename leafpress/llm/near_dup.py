@@ -11,7 +11,9 @@ Points come in order of time and a document stops once all its components hold e
 Signatures are banded; in each bucket every document is checked against the bucket's leader, the one
 that meets most others, on the full multisets. Those that it doesn't match choose four leaders
 among themselves, then sixteen, and so on until none is left, so a bucket costs rows times leaders,
-never pairs. Shingles that only one class holds can't be shared: their weight bounds a class's
+never pairs. A member that a leader doesn't match is not lost to those that the leader matched: one minus the
+similarity is a metric, so the two similarities to the leader exclude most such pairs, exactly, and the rest
+are compared unless links have made them one component already. Shingles that only one class holds can't be shared: their weight bounds a class's
 similarity to any other from above, exactly, and pairs that can't reach the threshold aren't made. Texts with equal multisets are one class and are
 searched once. Components of the links are found by alternating star contraction.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafpress.llm import textkernel as tk
@@ -40,6 +42,10 @@ BANDS, ROWS = 26, 5
 COMPONENTS = BANDS * ROWS
 #: Characters of members that are compared with one copy of their leader.
 _SALT_CHARS = 8_000_000
+#: Matched members meet the unmatched of their leader in slices of their hash; a link spares later ones.
+_SLICES = ((0, 1), (1, 4), (4, 16))
+#: Bounds on sums of similarities are kept wider by this.
+_ROUNDING = 1e-9
 
 U = np.uint64
 
@@ -166,8 +172,8 @@ def _class_texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str)
     return found.mapInArrow(same, "cls binary, text string").dropDuplicates(["cls"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """pairs (leader, cls) -> (leader, cls, ok). Members stream past one copy of their leader."""
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (leader, cls) -> (leader, cls, s), s their similarity. Members stream past one copy of their leader."""
     sizes = texts.select("cls", "chars")
     load = pairs.join(sizes, "cls").groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.sum("chars") / _SALT_CHARS)).cast("int").alias("salts"))
     members = (
@@ -184,7 +190,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: tuple = ((), ())
         for b in batches:
-            lead, cls, ok = [], [], []
+            lead, cls, sim = [], [], []
             for a, kind, c, t in zip(b["leader"].to_pylist(), b["kind"].to_pylist(), b["cls"].to_pylist(), b["text"]):
                 s = shingles(t.as_py())
                 if kind == 0:
@@ -192,11 +198,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
                     continue
                 lead.append(a)
                 cls.append(c)
-                ok.append(similarity(own, s) >= similar)
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(cls, pa.binary()), pa.array(ok, pa.bool_())], ["leader", "cls", "ok"])
+                sim.append(similarity(own, s))
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(cls, pa.binary()), pa.array(sim, pa.float64())], ["leader", "cls", "s"])
 
     rows = members.unionByName(leaders).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return rows.mapInArrow(run, "leader binary, cls binary, ok boolean")
+    return rows.mapInArrow(run, "leader binary, cls binary, s double")
 
 
 def _own_weight(texts: DataFrame) -> DataFrame:
@@ -221,6 +227,12 @@ def _own_weight(texts: DataFrame) -> DataFrame:
     return size.join(own, "cid", "left").join(texts.select("cid", "cls"), "cid").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def _bound(size: str, own: str, l_size: str, l_own: str) -> Column:
+    """Upper bound of the similarity of two classes: they share no more than either shares with any."""
+    most = F.least(F.col(size) - F.col(own), F.col(l_size) - F.col(l_own))
+    return most / (F.col(size) + F.col(l_size) - most)
+
+
 def _leaders(rows: DataFrame, n: int) -> DataFrame:
     """(key, leader, their size and own): the n classes of each bucket that meet most others, where it has two or more."""
     order = Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("cls"), "cls")
@@ -240,26 +252,56 @@ def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col:
     # Classes whose own shingles weigh too much have no partner.
     facts = stored(_own_weight(texts).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
     rows = stored(rows.select("key", "cls").join(facts, "cls"))
-    most = F.least(F.col("size") - F.col("own"), F.col("l_size") - F.col("l_own"))
-    possible = most >= similar * (F.col("size") + F.col("l_size") - most)
+    bound = _bound("size", "own", "l_size", "l_own")
     found: DataFrame | None = None
+    sides: DataFrame | None = None
     n = 1
     while True:
         leaders = stored(_leaders(rows, n))
-        pairs = rows.join(leaders, (rows["key"] == leaders["key"]) & (F.col("cls") != F.col("leader")) & possible).select("leader", "cls").distinct()
-        checked = stored(_verify(pairs, texts, similar))
-        new = checked.where("ok").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+        meet = rows.join(leaders, (rows["key"] == leaders["key"]) & (F.col("cls") != F.col("leader"))).withColumn("bound", bound)
+        near = stored(meet.where(F.col("bound") >= 2 * similar - 1 - _ROUNDING).select("leader", "cls", "bound").distinct())
+        checked = stored(_verify(near.where(F.col("bound") >= similar), texts))
+        new = checked.where(F.col("s") >= similar).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
         found = new if found is None else found.unionByName(new)
+        # What is known of each pair of a leader and a member: the similarity, or its upper bound.
+        known = checked.unionByName(near.where(F.col("bound") < similar).withColumnRenamed("bound", "s"))
+        sides = known if sides is None else sides.unionByName(known)
         # Leaders have met all of their bucket; members that none of its leaders match look for leaders among themselves.
         matched = new.join(leaders.select("key", F.col("leader").alias("a")), "a").select("key", F.col("b").alias("cls"))
         done = matched.unionByName(leaders.select("key", F.col("leader").alias("cls")))
         left = rows.join(leaders.select("key").distinct(), "key", "left_semi")
         rows = stored(left.join(done, ["key", "cls"], "left_anti"))
         if rows.isEmpty():
+            found = _across(sides, found, facts.select("cls", "size", "own"), texts, similar)
             return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         n *= 4
 
 
+def _across(sides: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """found and the links that join a member to one of another component that a leader of both matched.
+
+    sides (leader, cls, s): with s the similarity or an upper bound below ``similar``. Members are
+    compared unless s excludes them, by the triangle inequality, or an earlier slice has joined them.
+    """
+    met = sides.select(F.least("leader", "cls").alias("leader"), F.greatest("leader", "cls").alias("cls"))
+    for low, high in _SLICES:
+        roots = components(found)
+        placed = sides.where((F.col("s") < similar) & (F.col("s") >= 2 * similar - 1 - _ROUNDING)).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        placed = placed.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("l_root")), "leader", "left")
+        # All that a leader matched is of the leader's component; a component's root is no node of its own.
+        outer = stored(placed.where(F.coalesce("root", "cls") != F.coalesce("l_root", "leader")).select("leader", "cls", "s").join(facts, "cls"))
+        if outer.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("cls"), F.lit(_SLICES[-1][1]))
+        inner = sides.where((F.col("s") >= similar) & (slot >= low) & (slot < high)).join(facts, "cls")
+        inner = inner.select("leader", F.col("cls").alias("t_cls"), F.col("s").alias("t_s"), F.col("size").alias("t_size"), F.col("own").alias("t_own"))
+        pairs = outer.join(inner, "leader").where((F.col("t_s") <= F.col("s") + (1 - similar) + _ROUNDING) & (_bound("size", "own", "t_size", "t_own") >= similar))
+        pairs = pairs.select(F.least("cls", "t_cls").alias("leader"), F.greatest("cls", "t_cls").alias("cls")).where("leader != cls").distinct()
+        checked = stored(_verify(stored(pairs.join(met, ["leader", "cls"], "left_anti")), texts))
+        found = found.unionByName(checked.where(F.col("s") >= similar).select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the component's smallest node.
 

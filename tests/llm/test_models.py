@@ -209,6 +209,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_of_a_bucket_join_what_brute_force_joins(spark):
+    """Families whose similarities to an outer text lie on both sides of the threshold, each in one bucket."""
+    rng = random.Random(3)
+    texts, bucket = [], []
+    for family in range(12):
+        base = [f"w{family}x{k}" for k in range(400)]
+        for _ in range(14):
+            words = base.copy()
+            for k in rng.sample(range(400), rng.randint(2, 14)):
+                words[k] = f"e{rng.random()}"
+            texts.append(" ".join(words))
+            bucket.append(family)
+    each = [near_dup.shingles(t) for t in texts]
+    keys = [near_dup.class_key(t, *s) for t, s in zip(texts, each)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(bytearray(k), i, [b], len(t)) for i, (k, b, t) in enumerate(zip(keys, bucket, texts))]
+    classes = spark.createDataFrame(rows, "cls binary, rep long, bands array<long>, chars long")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dup.links(df, classes).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if bucket[i] == bucket[j]]
+    want = {tuple(sorted((keys[i], keys[j]))) for i, j in pairs if near_dup.similarity(each[i], each[j]) >= near_dup.SIMILAR}
+
+    def groups(edges):
+        root = {k: k for k in keys}
+        for a, b in edges:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return {frozenset(k for k in keys if root[k] == r) for r in root.values()}
+
+    assert got <= want
+    assert any(1 < len(g) < 14 for g in groups(want))
+    assert groups(got) == groups(want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 100)]
     got = {r.node: r.root for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
