@@ -2,8 +2,10 @@
 
 The kernel compares two tokens by the three-letter subsequences they share, each weighted by
 ``DECAY`` to the power of its span, so inserted characters and gaps lower a match but don't
-lose it (spans up to ``SPAN``). Tokens are runs between white space; single letters
-in a row are one token ("i d i o t"), and other characters inside a token are gaps. Landmarks are
+lose it. The letters of a subsequence lie within ``SPAN`` letters; a run of other characters inside a
+token is one gap, which adds one to the span that is weighted, however long it is. Tokens are runs between
+white space; single letters in a row are one token ("i d i o t"), whatever white space or tokens without
+a letter stand between them. Landmarks are
 tokens of the training sentences; the Nystroem map takes a token to its kernel values with
 them, whitened by the landmarks' own kernel matrix, and a linear hinge-loss model is
 fitted there by dual coordinate descent. Labels belong to documents: each round takes the highest
@@ -26,7 +28,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from leafpress.llm.common import table
 from leafpress.llm.linear import dual_coordinate_descent, logistic, sigmoid
 from leafpress.llm.quality import held_out_mod, labelled
 
-ORDER, SPAN, DECAY = 3, 6, 0.6
+ORDER, SPAN, DECAY = 3, 9, 0.6
 #: Symbol 0 is a gap, 1 to 26 the letters a to z, 27 to 59 those of U+00DF to U+00FF, 60 to 63 other letters.
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -67,24 +69,30 @@ def symbol_table() -> np.ndarray:
 
 
 def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the text, and starts and ends of its tokens."""
+    """Symbols of the text, and starts and ends of its tokens that have a letter."""
     raw = tk.codes(text)
     starts, ends = tk.runs(~tk.space_table()[raw])
+    sym = symbol_table()[raw]
+    letters = np.concatenate(([0], np.cumsum(sym > 0)))
+    some = letters[ends] > letters[starts]
+    starts, ends = starts[some], ends[some]
     if len(starts) > 1:
         single = (ends - starts) == 1
-        glued = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1)
+        glued = single[1:] & single[:-1]
         starts, ends = starts[np.concatenate(([True], ~glued))], ends[np.concatenate((~glued, [True]))]
-    return symbol_table()[raw], starts, ends
+    return sym, starts, ends
 
 
 def subsequences(token: str | bytes) -> Counter:
     """Weight of each three-letter subsequence within SPAN; bytes are symbols already."""
     s = list(token) if isinstance(token, bytes) else symbol_table()[tk.codes(token)].tolist()
+    at = [i for i, x in enumerate(s) if x]
+    place = [i + k for i, k in enumerate(accumulate(int(k > 0 and at[k] - at[k - 1] > 1) for k in range(len(at))))]
     found: Counter = Counter()
-    for i in range(len(s)):
+    for i in range(len(at)):
         for a, b in PATTERNS:
-            if i + b < len(s) and s[i] and s[i + a] and s[i + b]:
-                found[(s[i] * SYMBOLS + s[i + a]) * SYMBOLS + s[i + b]] += DECAY ** (b + 1)
+            if i + b < len(at):
+                found[(s[at[i]] * SYMBOLS + s[at[i + a]]) * SYMBOLS + s[at[i + b]]] += DECAY ** (place[i + b] - place[i] + 1)
     return found
 
 
@@ -102,25 +110,26 @@ def bounds(weights: np.ndarray, text: str) -> tuple:
     starts, ends = starts[ok], ends[ok]
     if not len(starts):
         return np.zeros(0), np.zeros(0), starts, ends, sym
-    # End of the token at each position; 0 outside, so that no subsequence leaves its token.
-    n = len(sym)
-    inside = np.zeros(n, np.int32)
-    length = ends - starts
-    flat = np.repeat(starts, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    inside[flat] = np.repeat(ends, length)
-    inside -= np.arange(n, dtype=np.int32)  # letters left in the token
-    s = np.concatenate((sym, np.zeros(SPAN, np.uint8))).astype(np.int32)
-    inside[sym == 0] = 0
+    # Letters alone, with their token and their place, where a run of other characters counts as one.
+    first, last = letters[starts], letters[ends]
+    at = np.flatnonzero(sym)
+    n = len(at)
+    token = np.full(n + SPAN, -1, np.int32)
+    size = last - first
+    token[np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+    place = np.arange(n + SPAN, dtype=np.int32)
+    place[:n] += np.cumsum(np.diff(at, prepend=at[:1]) > 1)
+    s = np.concatenate((sym[at], np.zeros(SPAN, np.uint8))).astype(np.int32)
+    decay = DECAY ** np.arange(2 * SPAN, dtype=np.float32)
     total, square = np.zeros(n, np.float32), np.zeros(n, np.float32)
     head = s[:n] << 2 * BITS
     for a, b in PATTERNS:
-        one, two = s[a : a + n], s[b : b + n]
-        found = weights[head + (one << BITS) + two]
-        valid = (inside > b) & (one > 0) & (two > 0)
-        total += found * valid * np.float32(DECAY ** (b + 1))
-        square += valid * np.float32(DECAY ** (2 * b + 2))
+        valid = (token[:n] >= 0) & (token[:n] == token[b : b + n])
+        weight = np.where(valid, decay[np.clip(place[b : b + n] - place[:n] + 1, 0, 2 * SPAN - 1)], np.float32(0))
+        total += weights[head + (s[a : a + n] << BITS) + s[b : b + n]] * weight
+        square += weight * weight
     summed = [np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (total, square)]
-    sums, squares = (x[ends] - x[starts] for x in summed)
+    sums, squares = (x[last] - x[first] for x in summed)
     return sums, np.sqrt(np.maximum(squares, 1e-9)), starts, ends, sym
 
 

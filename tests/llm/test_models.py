@@ -112,6 +112,20 @@ def test_toxicity_tolerates_inserted_characters():
     assert score(None) == score("") == score("..  1 ") < 0.3
 
 
+def test_toxicity_sees_through_wide_gaps():
+    texts, y = toxic_corpus(300, 1)
+    model = toxicity.train(texts, y)
+    score = lambda t: model.score_of(*toxicity.worst(model.weights, t)[:2])
+    clean = toxic_corpus(150, 2)[0][1]
+    for gap in ("-", "--", "---", " - ", "  ", "\n    ", " -- ", "-" * 40):
+        hidden = " and ".join(gap.join(w) for w in ("zgrokk", "vupwix"))
+        assert score(f"{clean} {hidden} {clean}") >= 0.3, gap
+    # Two and three inserted letters lower the match and don't lose it.
+    plain = set(toxicity.subsequences("zgrokk"))
+    few, more = (sum(v for u, v in toxicity.subsequences(x.join("zgrokk")).items() if u in plain) for x in ("qj", "qjq"))
+    assert few > more > 0
+
+
 def test_quick_bound_gives_the_exact_maximum():
     weights = np.random.default_rng(0).standard_normal(toxicity.SYMBOLS**3).astype(np.float32)
     weights.reshape([toxicity.SYMBOLS] * 3)[0] = 0
