@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Six ASCII white-space characters: U+0020 and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+ROW_GROUP = 16 << 20
+#: Rows of a broadcast side; they hold a few numbers each, so that is some megabytes.
+BROADCAST_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +27,13 @@ def id_checksum(column: str = "doc_id") -> Column:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; only where none is set (tests) use a temporary one."""
+    """Keep the cluster's spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafpress-"))
 
 
@@ -41,10 +48,26 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     with_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/leafpress-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    # A small row group bounds what each task's writer buffers.
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def fitted(small: DataFrame) -> DataFrame:
+    """A stored side of a join, of narrow rows: broadcast if it has at most BROADCAST_ROWS, else hashed where it lies."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("shuffle_hash")
+
+
+def aside(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns ``names`` of df under names of an operator's own, so that they can't clash with its columns."""
+    return [F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(names)]
+
+
+def restored(names: Sequence[str]) -> list[Column]:
+    """What ``aside`` put out of the way, under its own names again."""
+    return [F.col(f"_in{k}").alias(c) for k, c in enumerate(names)]
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z alone. For pure ASCII text lower() is the same and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

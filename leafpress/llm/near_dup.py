@@ -9,17 +9,26 @@ probability sum(min)/sum(max) of the weights: the weighted Jaccard similarity, w
 Points come in order of time and a document stops once all its components hold earlier ones.
 
 Signatures are banded; in each bucket every document is checked against the bucket's leader, the one
-that meets most others, on the full multisets. Those that it doesn't match choose four leaders
-among themselves, then sixteen, and so on until none is left, so a bucket costs rows times leaders,
-never pairs. A member that a leader doesn't match is not lost to those that the leader matched: one minus the
+that meets most others, on the full multisets. Shingles that only one class holds can't be shared: their weight
+bounds a class's similarity to any other from above, exactly, and pairs that can't reach the threshold aren't made.
+
+What no leader matches is divided again, by shingles: two multisets with the threshold's similarity share one of
+the rarest shingles that make up a fifth of the larger, or a ninth of the smaller. Groups are therefore those of
+one rare shingle, and only pairs whose smaller member counts it among its ninth are made. Texts that share boilerplate
+but no rare shingle never meet. In these groups 4, 16, 64, ... leaders meet the others until none is left. No pair is
+verified twice. A member that a leader doesn't match is not lost to those that the leader matched: one minus the
 similarity is a metric, so the two similarities to the leader exclude most such pairs, exactly, and the rest
-are compared unless links have made them one component already. Shingles that only one class holds can't be shared: their weight bounds a class's
-similarity to any other from above, exactly, and pairs that can't reach the threshold aren't made. Texts with equal multisets are one class and are
+are compared unless links have made them one component already. Texts with equal multisets are one class and are
 searched once. Components of the links are found by alternating star contraction.
 
+Hot groups: classes and leaders come from partial aggregates; joins by bucket, leader, node, root and
+class stand alone above their shuffles, so adaptive execution splits their large partitions.
+
 Defined results: texts without a word have no shingles; they are of one class only if their
 text, stripped, is equal and not empty. Null, empty and blank texts are never duplicates. Repeated rows
-with one id and text share a class. A null id takes part; a class takes the smallest id that isn't null.
+with one id and text share a class; one id may hold several texts, each of its own class. A null id takes part; a
+class takes the smallest id that isn't null. An empty table gives no rows. A text of any length is read whole, in
+slices of its shingles. Of the input only id and text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -33,15 +42,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafpress.llm import textkernel as tk
-from leafpress.llm.common import stored, table
+from leafpress.llm.common import fitted, stored, table
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: At a similarity of 0.8 a pair shares a band with probability 0.99997, at 0.4 with 0.24.
 BANDS, ROWS = 26, 5
 COMPONENTS = BANDS * ROWS
-#: Characters of members that are compared with one copy of their leader.
-_SALT_CHARS = 8_000_000
+#: Shingles whose points are made at a time.
+_SEEDS = 1 << 15
 #: Matched members meet the unmatched of their leader in slices of their hash; a link spares later ones.
 _SLICES = ((0, 1), (1, 4), (4, 16))
 #: Bounds on sums of similarities are kept wider by this.
@@ -92,8 +101,17 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     """
     best = np.full(n_docs * m, np.inf)
     mark = np.zeros(n_docs * m, np.uint32)
+    limit = np.full(n_docs, np.inf)
     # One process per element and dyadic interval that its weight reaches: 0 is [0,1), j is [2^(j-1), 2^j).
     reach = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1
+    for at in range(0, len(element), _SEEDS):
+        part = slice(at, at + _SEEDS)
+        _first_points(doc[part], element[part], weight[part], reach[part], best, mark, limit, m)
+    return mark.reshape(n_docs, m)
+
+
+def _first_points(doc, element, weight, reach, best: np.ndarray, mark: np.ndarray, limit: np.ndarray, m: int) -> None:
+    """Lowers best, the time of each component's first point, by these elements' points; mark names it, limit is each document's latest."""
     rows = np.repeat(np.arange(len(element)), reach)
     level = np.arange(len(rows)) - np.repeat(np.cumsum(reach) - reach, reach)
     low = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
@@ -103,7 +121,6 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     d, w, rate = doc[rows], weight[rows], m * length.astype(float)
     time = np.zeros(len(rows))
     step = 0
-    limit = np.full(n_docs, np.inf)
     while len(seed):
         ahead = 1 if step < 2 else 8  # points made in one go
         with np.errstate(over="ignore"):
@@ -120,10 +137,9 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
         mark[key[won]] = name[won]
         time = times[:, -1]
         step += ahead
-        limit = best.reshape(n_docs, m).max(1)
+        limit[:] = best.reshape(len(limit), m).max(1)
         on = time < limit[d]
         seed, d, w, rate, time, low, length = (x[on] for x in (seed, d, w, rate, time, low, length))
-    return mark.reshape(n_docs, m)
 
 
 def band_keys(marks: np.ndarray) -> np.ndarray:
@@ -135,96 +151,115 @@ def band_keys(marks: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, r1, r2, _text): r1 and r2 tell apart texts under one id."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("r1"), F.xxhash64(F.lit("row"), text).alias("r2"), text.alias("_text"))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, cls binary, bands array<long>, chars long) for each row; cls null for blank texts."""
+    """(doc_id, r1, r2 long, cls binary, bands array<long>) for each row; cls null for blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b["_text"].to_pylist()]
-            keys: list = []
-            bands: list = []
-            for i, j in tk.packs(texts, 1 << 21):
-                each = [shingles(t) for t in texts[i:j]]
-                keys += [class_key(t, *s) for t, s in zip(texts[i:j], each)]
+        for batch in batches:
+            for b, texts in tk.slices(batch, "_text"):
+                each = [shingles(t) for t in texts]
+                keys = [class_key(t, *s) for t, s in zip(texts, each)]
                 size = np.array([len(s[0]) for s in each])
                 element, weight = (np.concatenate([s[k] for s in each]) for k in (0, 1))
-                made = band_keys(bag_min_hash(np.repeat(np.arange(j - i), size), element, weight, j - i))
-                bands += [k.tolist() if n else [] for k, n in zip(made, size)]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(map(len, texts), pa.int64())], ["doc_id", "cls", "bands", "chars"]
-            )
+                made = band_keys(bag_min_hash(np.repeat(np.arange(len(texts)), size), element, weight, len(texts)))
+                bands = [k.tolist() if n else [] for k, n in zip(made, size)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["r1"], b["r2"], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "r1", "r2", "cls", "bands"])
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, r1 long, r2 long, cls binary, bands array<long>")
+
 
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"))
-    return slim.mapInArrow(run, "doc_id long, cls binary, bands array<long>, chars long")
+def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A multiset as bytes: its hashes, then its counts."""
+    return hashes.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
 
 
-def _class_texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, text), one row for each needed class (cls, rep)."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
-    found = slim.join(needed.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("rep"))).select("cls", "text")
+def unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, "<u8", n), np.frombuffer(bag, "<u4", n, 8 * n)
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bags(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, size, bag), one row for each needed class (cls, rep and, if there, r1 and r2 of one of its rows)."""
+    keys = [c for c in ("r1", "r2") if c in needed.columns]
+    of = needed.select("cls", "rep", *(F.col(k).alias(f"n{k}") for k in keys))
+    same = F.col("doc_id").eqNullSafe(F.col("rep"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"n{k}"))
+    found = _slim(docs, id_col, text_col).join(of.hint("shuffle_hash"), same).select("cls", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One id may stand for several texts; only the class's own counts.
-        for b in batches:
-            ok = [class_key(t, *shingles(t)) == k for k, t in zip(b["cls"].to_pylist(), b["text"].to_pylist())]
-            yield b.filter(pa.array(ok, pa.bool_()))
-
-    return found.mapInArrow(same, "cls binary, text string").dropDuplicates(["cls"])
-
-
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (leader, cls) -> (leader, cls, s), s their similarity. Members stream past one copy of their leader."""
-    sizes = texts.select("cls", "chars")
-    load = pairs.join(sizes, "cls").groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.sum("chars") / _SALT_CHARS)).cast("int").alias("salts"))
-    members = (
-        pairs.join(load, "leader")
-        .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-        .select("leader", "cls", "salt")
-        .join(texts.select("cls", "text"), "cls")
-        .select("leader", "salt", F.lit(1).alias("kind"), "cls", "text")
-    )
-    leaders = load.join(texts.select(F.col("cls").alias("leader"), "text"), "leader").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("leader").alias("cls"), "text"
-    )
+        for batch in batches:
+            for b, texts in tk.slices(batch, "_text"):
+                each = [shingles(t) for t in texts]
+                ok = [class_key(t, *s) == k for k, t, s in zip(b["cls"].to_pylist(), texts, each)]
+                rows = [(int(s[1].sum()), pack(*s)) for s, o in zip(each, ok) if o]
+                size, bag = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([b["cls"].filter(pa.array(ok, pa.bool_())), pa.array(size, pa.int64()), pa.array(bag, pa.binary())], ["cls", "size", "bag"])
+
+    return found.mapInArrow(run, "cls binary, size long, bag binary").dropDuplicates(["cls"])
+
+
+def _verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """pairs (a, b) -> (a, b, s), s their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple = ((), ())
         for b in batches:
-            lead, cls, sim = [], [], []
-            for a, kind, c, t in zip(b["leader"].to_pylist(), b["kind"].to_pylist(), b["cls"].to_pylist(), b["text"]):
-                s = shingles(t.as_py())
-                if kind == 0:
-                    own = s
-                    continue
-                lead.append(a)
-                cls.append(c)
-                sim.append(similarity(own, s))
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary()), pa.array(cls, pa.binary()), pa.array(sim, pa.float64())], ["leader", "cls", "s"])
-
-    rows = members.unionByName(leaders).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return rows.mapInArrow(run, "leader binary, cls binary, s double")
-
-
-def _own_weight(texts: DataFrame) -> DataFrame:
-    """(cls, size, own): the weight of a class's shingles, and of those that no other class here has.
+            s = [similarity(unpack(x.as_py()), unpack(y.as_py())) for x, y in zip(b["x"], b["y"])]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(s, pa.float64())], ["a", "b", "s"])
+
+    side = lambda c, bag: bags.select(F.col("cls").alias(c), F.col("bag").alias(bag))
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, "a binary, b binary, s double")
 
-    Two classes share at most size - own of either, which bounds their similarity from above.
-    """
+
+def _exploded(bags: DataFrame) -> DataFrame:
+    """(cid, h, w) of each shingle of bags (cid, bag). Small numbers stand for classes: these rows are many, and they compress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, some in ((b["cid"].slice(k, 64).to_numpy(), b["text"].slice(k, 64).to_pylist()) for k in range(0, b.num_rows, 64)):
-                each = [shingles(t) for t in some]
-                cid = np.repeat(ids, [len(s[0]) for s in each])
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                b = batch.slice(k, 64)
+                each = [unpack(x) for x in b["bag"].to_pylist()]
+                cid = np.repeat(b["cid"].to_numpy(), [len(s[0]) for s in each])
                 hashes, weights = (np.concatenate([s[k] for s in each]) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(hashes.view(np.int64)), pa.array(weights.astype(np.int64))], ["cid", "h", "w"])
 
-    # Small numbers stand for classes here: the rows of this shuffle are many, and they compress.
-    once = texts.select("cid", "text").mapInArrow(run, "cid long, h long, w long")
-    held = once.groupBy("h").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("w").alias("w"))
+    return bags.select("cid", "bag").mapInArrow(run, "cid long, h long, w long")
+
+
+def _own_weight(bags: DataFrame) -> DataFrame:
+    """(cls, size, own): the weight of a class's shingles, and of those that no other class here has.
+
+    Two classes share at most size - own of either, which bounds their similarity from above.
+    """
+    held = _exploded(bags).groupBy("h").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("w").alias("w"))
     own = held.where("n = 1").groupBy("cid").agg(F.sum("w").alias("own"))
-    size = once.groupBy("cid").agg(F.sum("w").alias("size"))
-    return size.join(own, "cid", "left").join(texts.select("cid", "cls"), "cid").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    return bags.select("cid", "cls", "size").join(own, "cid", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _rare_shingles(bags: DataFrame, similar: float) -> DataFrame:
+    """(cid, key, short): the shingles of which any two classes of that similarity share one.
+
+    Let both multisets be sorted by how many classes hold a shingle, then by hash, and z be the first that they share.
+    All that they share comes from z on, so what a class has before z weighs at most (1 - similar) of its size; of the smaller
+    of the two at most 1 - 2 similar / (1 + similar), for which short stands. Groups without a short member are left out.
+    """
+    once = _exploded(bags)
+    held = once.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = once.join(held, "h").join(bags.select("cid", "size"), "cid")
+    mine = Window.partitionBy("cid")
+    before = F.coalesce(F.sum("w").over(mine.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = shared.withColumn("before", F.col("size") - F.sum("w").over(mine) + before)
+    share = lambda most: F.col("before") <= most * F.col("size") + _ROUNDING * F.col("size")
+    rare = stored(placed.where(share(1 - similar)).select("cid", F.col("h").alias("key"), share(1 - 2 * similar / (1 + similar)).alias("short")))
+    groups = rare.groupBy("key").agg(F.count("*").alias("n"), F.max("short").alias("some")).where("n > 1 AND some").select("key")
+    return rare.join(groups, "key")
 
 
 def _bound(size: str, own: str, l_size: str, l_own: str) -> Column:
@@ -234,71 +269,104 @@ def _bound(size: str, own: str, l_size: str, l_own: str) -> Column:
 
 
 def _leaders(rows: DataFrame, n: int) -> DataFrame:
-    """(key, leader, their size and own): the n classes of each bucket that meet most others, where it has two or more."""
+    """(key, leader, and the leader's size, own and short): the n classes of each group that meet most others, where it has two or more."""
     order = Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("cls"), "cls")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(2, n))
     two = first.where("place = 2").select("key")
-    return first.where(F.col("place") <= n).join(two, "key", "left_semi").select("key", F.col("cls").alias("leader"), F.col("size").alias("l_size"), F.col("own").alias("l_own"))
+    own = [F.col(c).alias(f"l_{c}") for c in ("size", "own", "short")]
+    return first.where(F.col("place") <= n).join(two, "key", "left_semi").select("key", F.col("cls").alias("leader"), *own)
 
 
-def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b) links between classes (cls, rep, bands, chars) whose similarity is at least ``similar``."""
-    rows = classes.select("cls", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(shared, "key"))
-    needed = rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.select("cls", "rep"), "cls")
-    needed = stored(needed)
-    texts = stored(_class_texts(docs, needed, id_col, text_col).withColumns({"chars": F.char_length("text"), "cid": F.monotonically_increasing_id()}))
-    # Classes whose own shingles weigh too much have no partner.
-    facts = stored(_own_weight(texts).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
-    rows = stored(rows.select("key", "cls").join(facts, "cls"))
-    bound = _bound("size", "own", "l_size", "l_own")
-    found: DataFrame | None = None
-    sides: DataFrame | None = None
-    n = 1
-    while True:
+class _Search:
+    """What is known of pairs of classes while leaders meet the members of their groups."""
+
+    def __init__(self, bags: DataFrame, similar: float):
+        self.bags, self.similar = bags, similar
+        self.checked: DataFrame | None = None  # (a, b, s) of verified pairs, a < b
+        self.sides: DataFrame | None = None  # (leader, cls, s): the similarity, or a bound of it below ``similar``
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) that haven't been."""
+        if self.checked is not None:
+            pairs = pairs.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
+        new = stored(_verify(pairs, self.bags))
+        self.checked = new if self.checked is None else self.checked.unionByName(new)
+
+    def links(self) -> DataFrame:
+        return self.checked.where(F.col("s") >= self.similar).select("a", "b")
+
+    def meet(self, rows: DataFrame, n: int) -> DataFrame:
+        """One round of rows (key, cls, met, size, own, short) with n leaders a group; returns the rows that go on."""
         leaders = stored(_leaders(rows, n))
-        meet = rows.join(leaders, (rows["key"] == leaders["key"]) & (F.col("cls") != F.col("leader"))).withColumn("bound", bound)
-        near = stored(meet.where(F.col("bound") >= 2 * similar - 1 - _ROUNDING).select("leader", "cls", "bound").distinct())
-        checked = stored(_verify(near.where(F.col("bound") >= similar), texts))
-        new = checked.where(F.col("s") >= similar).select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-        found = new if found is None else found.unionByName(new)
-        # What is known of each pair of a leader and a member: the similarity, or its upper bound.
-        known = checked.unionByName(near.where(F.col("bound") < similar).withColumnRenamed("bound", "s"))
-        sides = known if sides is None else sides.unionByName(known)
-        # Leaders have met all of their bucket; members that none of its leaders match look for leaders among themselves.
-        matched = new.join(leaders.select("key", F.col("leader").alias("a")), "a").select("key", F.col("b").alias("cls"))
-        done = matched.unionByName(leaders.select("key", F.col("leader").alias("cls")))
+        bound = _bound("size", "own", "l_size", "l_own")
+        # Of each pair the smaller has to count the group's shingle among its rarest.
+        due = F.when(F.col("size") < F.col("l_size"), F.col("short")).when(F.col("size") > F.col("l_size"), F.col("l_short")).otherwise(F.col("short") | F.col("l_short"))
+        met = rows.join(leaders, (rows["key"] == leaders["key"]) & (F.col("cls") != F.col("leader")))
+        met = met.select("leader", "cls", bound.alias("bound"), due.alias("due")).where(F.col("bound") >= 2 * self.similar - 1 - _ROUNDING)
+        near = stored(met.groupBy("leader", "cls", "bound").agg(F.max("due").alias("due")).withColumns({"a": F.least("leader", "cls"), "b": F.greatest("leader", "cls")}))
+        self.verify(near.where(F.col("due") & (F.col("bound") >= self.similar)).select("a", "b").distinct())
+        # Of a pair that isn't due here all that is known is that this group needn't link it.
+        most = F.least(F.col("bound"), F.lit(self.similar - 2 * _ROUNDING))
+        known = stored(near.join(self.checked, ["a", "b"], "left").select("leader", "cls", F.coalesce("s", most).alias("s")))
+        self.sides = known if self.sides is None else self.sides.unionByName(known)
+        # Leaders have met all of their group; what they matched has joined their component.
+        new = known.where(F.col("s") >= self.similar).select("leader", "cls")
+        done = new.join(leaders.select("key", "leader"), "leader").select("key", "cls").unionByName(leaders.select("key", F.col("leader").alias("cls")))
         left = rows.join(leaders.select("key").distinct(), "key", "left_semi")
-        rows = stored(left.join(done, ["key", "cls"], "left_anti"))
-        if rows.isEmpty():
-            found = _across(sides, found, facts.select("cls", "size", "own"), texts, similar)
-            return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        n *= 4
+        return stored(left.join(done, ["key", "cls"], "left_anti"))
+
+    def across(self, facts: DataFrame) -> None:
+        """Verifies members that a leader didn't match against those that it matched, where they may be alike.
+
+        Members are compared unless their similarities to the leader exclude it, by the triangle inequality, or an
+        earlier slice has joined them.
+        """
+        t = self.similar
+        sides = self.sides.groupBy("leader", "cls").agg(F.max("s").alias("most"), F.min("s").alias("s"))
+        sides = stored(sides.select("leader", "cls", F.when(F.col("most") >= t, F.col("most")).otherwise(F.col("s")).alias("s")))
+        matched = sides.where(F.col("s") >= t)
+        some = matched.select("leader").distinct()
+        open_ = sides.where((F.col("s") < t) & (F.col("s") >= 2 * t - 1 - _ROUNDING)).join(some, "leader", "left_semi")
+        for low, high in _SLICES:
+            roots = components(self.links())
+            placed = open_.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+            placed = placed.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("l_root")), "leader", "left")
+            # All that a leader matched is of the leader's component; a component's root is no node of its own.
+            outer = stored(placed.where(F.coalesce("root", "cls") != F.coalesce("l_root", "leader")).select("leader", "cls", "s").join(facts, "cls"))
+            if outer.isEmpty():
+                break
+            slot = F.pmod(F.xxhash64("cls"), F.lit(_SLICES[-1][1]))
+            inner = matched.where((slot >= low) & (slot < high)).join(facts, "cls")
+            inner = inner.select("leader", F.col("cls").alias("t_cls"), F.col("s").alias("t_s"), F.col("size").alias("t_size"), F.col("own").alias("t_own"))
+            pairs = outer.join(inner, "leader").where((F.col("t_s") <= F.col("s") + (1 - t) + _ROUNDING) & (_bound("size", "own", "t_size", "t_own") >= t))
+            self.verify(stored(pairs.select(F.least("cls", "t_cls").alias("a"), F.greatest("cls", "t_cls").alias("b")).where("a != b").distinct()))
 
 
-def _across(sides: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """found and the links that join a member to one of another component that a leader of both matched.
+def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b) links between classes (cls, rep, bands) whose similarity is at least ``similar``."""
+    return search(docs, classes, similar, id_col, text_col).links()
 
-    sides (leader, cls, s): with s the similarity or an upper bound below ``similar``. Members are
-    compared unless s excludes them, by the triangle inequality, or an earlier slice has joined them.
-    """
-    met = sides.select(F.least("leader", "cls").alias("leader"), F.greatest("leader", "cls").alias("cls"))
-    for low, high in _SLICES:
-        roots = components(found)
-        placed = sides.where((F.col("s") < similar) & (F.col("s") >= 2 * similar - 1 - _ROUNDING)).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        placed = placed.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("l_root")), "leader", "left")
-        # All that a leader matched is of the leader's component; a component's root is no node of its own.
-        outer = stored(placed.where(F.coalesce("root", "cls") != F.coalesce("l_root", "leader")).select("leader", "cls", "s").join(facts, "cls"))
-        if outer.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("cls"), F.lit(_SLICES[-1][1]))
-        inner = sides.where((F.col("s") >= similar) & (slot >= low) & (slot < high)).join(facts, "cls")
-        inner = inner.select("leader", F.col("cls").alias("t_cls"), F.col("s").alias("t_s"), F.col("size").alias("t_size"), F.col("own").alias("t_own"))
-        pairs = outer.join(inner, "leader").where((F.col("t_s") <= F.col("s") + (1 - similar) + _ROUNDING) & (_bound("size", "own", "t_size", "t_own") >= similar))
-        pairs = pairs.select(F.least("cls", "t_cls").alias("leader"), F.greatest("cls", "t_cls").alias("cls")).where("leader != cls").distinct()
-        checked = stored(_verify(stored(pairs.join(met, ["leader", "cls"], "left_anti")), texts))
-        found = found.unionByName(checked.where(F.col("s") >= similar).select(F.col("leader").alias("a"), F.col("cls").alias("b")))
+
+def search(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> _Search:
+    """The pairs verified to find the links between classes."""
+    rows = classes.select("cls", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.join(shared, "key"))
+    needed = stored(rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.drop("bands"), "cls"))
+    bags = stored(_bags(docs, needed, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()))
+    # Classes whose own shingles weigh too much have no partner.
+    facts = stored(_own_weight(bags).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
+    found = _Search(bags, similar)
+    left = found.meet(stored(rows.select("key", "cls").join(facts.withColumn("short", F.lit(True)), "cls")), 1)
+    crowded = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    alone = stored(left.join(crowded, "key", "left_semi").select("cls").distinct().join(bags, "cls"))
+    n = 4
+    if not alone.isEmpty():
+        rows = stored(_rare_shingles(alone, similar).join(alone.select("cid", "cls"), "cid").join(facts, "cls").select("key", "cls", "met", "size", "own", "short"))
+        while not rows.isEmpty():
+            rows = found.meet(rows, n)
+            n *= 4
+    found.across(facts.select("cls", "size", "own"))
     return found
 
 
@@ -324,20 +392,44 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copy_id) for each row: the smallest id of its near-duplicate
-    class, and of the documents with the same shingles. Blank texts: their own id in both."""
+def _placed(docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, r1, r2, cls, root, class_id, copy_id) for each row."""
     sigs = stored(signatures(docs, id_col, text_col))
-    classes = stored(sigs.where("cls IS NOT NULL").groupBy("cls", "bands").agg(F.min("doc_id").alias("rep"), F.min("chars").alias("chars")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    classes = sigs.where("cls IS NOT NULL").groupBy("cls", "bands").agg(F.min(row).alias("row"))
+    classes = stored(classes.select("cls", "bands", F.col("row.doc_id").alias("rep"), "row.r1", "row.r2"))
     roots = components(links(docs, classes, similar, id_col, text_col))
     placed = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    of = placed.join(least, "root").select("cls", "class_id", F.col("rep").alias("copy_id"))
-    return (
-        sigs.select("doc_id", "cls")
-        .join(of, "cls", "left")
-        .select("doc_id", F.expr("IF(cls IS NULL, doc_id, class_id)").alias("class_id"), F.expr("IF(cls IS NULL, doc_id, copy_id)").alias("copy_id"))
-    )
+    of = placed.join(least, "root").select("cls", "root", "class_id", F.col("rep").alias("copy_id"))
+    return sigs.select("doc_id", "r1", "r2", "cls").join(of, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_id) for each row: the smallest id of its near-duplicate
+    class, and of the documents with the same shingles. Blank texts: their own id in both."""
+    return _placed(docs, similar, id_col, text_col).select("doc_id", F.expr("IF(cls IS NULL, doc_id, class_id)").alias("class_id"), F.expr("IF(cls IS NULL, doc_id, copy_id)").alias("copy_id"))
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate class: the one with the smallest id that isn't null, among several the smallest
+    hash of the text; of rows that repeat both, one. Rows whose text is null, empty or blank all stay."""
+    rows = _placed(docs, similar, id_col, text_col).where("cls IS NOT NULL").groupBy("root", "doc_id", "r1", "r2").agg(F.count("*").alias("n"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    rows = stored(rows.withColumn("row", row))
+    best = rows.groupBy("root").agg(F.min("row").alias("best"), F.sum("n").alias("all")).where("all > 1").select("root", "best")
+    # One row for each text to drop, and for each text to keep that several rows repeat.
+    verdict = rows.join(best, "root").where("row != best OR n > 1").select(F.col("doc_id").alias("_id"), F.col("r1").alias("_h1"), F.col("r2").alias("_h2"), (F.col("row") == F.col("best")).alias("_kept"))
+    names = docs.columns
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_d"), F.xxhash64(text).alias("_r1"), F.xxhash64(F.lit("row"), text).alias("_r2"))
+    verdict = stored(verdict)
+    same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_r1") == F.col("_h1")) & (F.col("_r2") == F.col("_h2"))
+    out = own.join(fitted(verdict), same, "left_anti").select("_row")
+    twice = verdict.where("_kept")
+    if not twice.isEmpty():
+        out = out.unionByName(own.join(fitted(twice), same).groupBy("_d", "_r1", "_r2").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row"))
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in names))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,6 +437,5 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id."""
-    gone = near_duplicates(docs).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate class stays, as ``one_of_each`` says; an empty table stays empty. Columns pass through."""
+    return one_of_each(docs)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Planes 0 to 3 hold every assigned letter; larger code points count as the last one (unassigned).
 _TABLE = 0x40000
@@ -112,14 +114,17 @@ def word_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(np.add.reduceat(each, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 
-def packs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of texts with at most ``limit`` characters together, or one longer text."""
-    i, n = 0, 0
-    for j, t in enumerate(texts):
-        size = len(t or "")
-        if j > i and n + size > limit:
-            yield i, j
-            i, n = j, 0
-        n += size
-    if i < len(texts):
-        yield i, len(texts)
+#: Bytes of text that a kernel turns into Python strings at a time.
+SLICE = 1 << 18
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batch in parts whose texts have at most ``limit`` bytes together, or one longer text, with the texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + limit, "right")))
+        part = batch.slice(i, j - i)
+        yield part, part[column].to_pylist()
+        i = j
