@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from leafpress.llm import textkernel as tk
 
 #: Six ASCII white-space characters: U+0020 and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -58,8 +62,8 @@ def fitted(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("shuffle_hash")
 
 
-def aside(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    """Columns ``names`` of df under names of an operator's own, so that they can't clash with its columns."""
+def aside(names: Sequence[str]) -> list[Column]:
+    """Columns under names of an operator's own, so that they can't clash with its columns."""
     return [F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(names)]
 
 
@@ -68,6 +72,28 @@ def restored(names: Sequence[str]) -> list[Column]:
     return [F.col(f"_in{k}").alias(c) for k, c in enumerate(names)]
 
 
+def with_judgements(docs: DataFrame, names: Sequence[str], text_col: str, make: Callable[[], Callable[[list], list[pa.Array]]], results: str) -> DataFrame:
+    """Columns ``names`` of docs plus ``results`` (DDL), which make()(texts) gives as arrays for some texts at a time.
+
+    Texts become Python strings in slices of bounded size, whatever a batch holds.
+    """
+    added = StructType.fromDDL(results)
+    names = [c for c in names if c not in added.fieldNames()]
+    others = [c for c in names if c != text_col]
+    own = [f"_in{k}" for k in range(len(others))] + ["_text"] * (text_col in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for batch in batches:
+            for part, texts in tk.slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in own), *judge(texts)], [*own, *added.fieldNames()])
+
+    fed = docs.select(*aside(others), F.col(f"`{text_col}`").alias("_text"))
+    places = dict(zip(others, own)) | {text_col: "_text"}
+    out = fed.mapInArrow(run, StructType([*(fed.schema[c] for c in own), *added.fields]))
+    return out.select(*(F.col(places[c]).alias(c) for c in names), *added.fieldNames())
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z alone. For pure ASCII text lower() is the same and faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

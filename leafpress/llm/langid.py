@@ -12,22 +12,23 @@ the model has a fixed number of buckets, whatever the corpus.
 Defined results: a text that is null, empty or without letters has no spans, language
 ``und`` and score 0. Words in a script that no language uses are open to all languages.
 Ties go to the language with the larger total score, then the smaller name. With no training
-rows every language is ``und``.
+rows every language is ``und``. Repeated rows are judged each, an empty table gives no rows, a text of any length is
+judged whole. Columns of the input pass through whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from leafpress.llm import textkernel as tk
-from leafpress.llm.common import id_checksum, table
+from leafpress.llm.common import id_checksum, table, with_judgements
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -86,19 +87,20 @@ def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
-        for b in batches:
-            by: dict[str, list] = {}
-            for s, t in zip(b[0].to_pylist(), b[1].to_pylist()):
-                by.setdefault(s, []).append(t)
-            for s, texts in by.items():
-                new = _count(texts)
-                found[s] = [x + y for x, y in zip(found[s], new)] if s in found else list(new)
+        for batch in batches:
+            for b, texts in tk.slices(batch, "_text"):
+                by: dict[str, list] = {}
+                for s, t in zip(b["_lang"].to_pylist(), texts):
+                    by.setdefault(s, []).append(t)
+                for s, some in by.items():
+                    new = _count(some)
+                    found[s] = [x + y for x, y in zip(found[s], new)] if s in found else list(new)
         for s, (grams, scripts) in found.items():
             nz, ns = np.flatnonzero(grams), np.flatnonzero(scripts)
             at = np.concatenate((nz, ns + 2 * BUCKETS))
             yield pa.RecordBatch.from_arrays([pa.array([s] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(np.concatenate((grams[nz], scripts[ns])))], ["lang", "at", "n"])
 
-    total = rows.where(unit < share).select(lang_col, text_col).mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    total = rows.where(unit < share).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     full = np.zeros((2 * BUCKETS + len(tk.SCRIPTS), len(langs)))
     full[total["at"].to_numpy(), total["lang"].map({s: k for k, s in enumerate(langs)}).to_numpy(dtype=int)] = total["n"].to_numpy()
     grams, scripts = full[: 2 * BUCKETS], full[2 * BUCKETS :]
@@ -178,47 +180,32 @@ def label_words(model: Model, texts: list[str], penalty: float = SWITCH) -> tupl
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH, with_spans: bool = True, keep: Sequence[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) plus lang_pred, lang_score, n_spans and lang_spans (start, end,
     lang; null unless with_spans)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "n_spans", "lang_spans")]
-    carried = [docs.schema[c] for c in names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            texts = b["_text"].to_pylist()
-            lang, sure, spans_n, spans = [], [], [], []
-            for i, j in tk.packs(texts, 1 << 21) if m.langs else ():
-                doc, lo, hi, _, label, held, total = label_words(m, texts[i:j], penalty)
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
-                n = np.bincount(doc[new], minlength=j - i)
-                letters = held.sum(1)
-                rank = held + 1e-9 * (total - total.min(1, keepdims=True)) / (1 + np.abs(total).max(1, keepdims=True))
-                best = rank.argmax(1)
-                for d in range(j - i):
-                    lang.append(m.langs[best[d]] if letters[d] else "und")
-                    sure.append(float(held[d, best[d]] / letters[d]) if letters[d] else 0.0)
-                    spans_n.append(int(n[d]))
-                if with_spans:
-                    at = np.flatnonzero(new)
-                    stop = hi[np.concatenate((at[1:], [len(doc)]))[: len(at)] - 1] if len(at) else hi[:0]
-                    each: list[list] = [[] for _ in range(j - i)]
-                    for d, a, z, k in zip(doc[at], lo[at], stop, label[at]):
-                        each[d].append({"start": int(a), "end": int(z), "lang": m.langs[k]})
-                    spans += each
-            if not m.langs:
-                lang, sure, spans_n, spans = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts), [[]] * len(texts)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in names), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(spans_n, pa.int32()), pa.array(spans if with_spans else [None] * len(texts), kind)],
-                [*names, "lang_pred", "lang_score", "n_spans", "lang_spans"],
-            )
-
-    found = StructType.fromDDL("lang_pred string, lang_score double, n_spans int, lang_spans array<struct<start:int,end:int,lang:string>>")
-    out = StructType([*carried, *found.fields])
-    fed = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text"))
-    return fed.mapInArrow(run, out)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    results = "lang_pred string, lang_score double, n_spans int, lang_spans array<struct<start:int,end:int,lang:string>>"
+    return with_judgements(docs, docs.columns if keep is None else keep, text_col, lambda: partial(_judged, shared.value, penalty=penalty, with_spans=with_spans), results)
+
+
+def _judged(m: Model, texts: list, *, penalty: float, with_spans: bool) -> list[pa.Array]:
+    """Language, certainty, number of spans and spans of each text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    size = len(texts)
+    lang, sure, spans_n, spans = ["und"] * size, [0.0] * size, [0] * size, [[] for _ in texts]
+    if m.langs:
+        doc, lo, hi, _, label, held, total = label_words(m, texts, penalty)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
+        spans_n = np.bincount(doc[new], minlength=size).tolist()
+        letters = held.sum(1)
+        rank = held + 1e-9 * (total - total.min(1, keepdims=True)) / (1 + np.abs(total).max(1, keepdims=True))
+        best = rank.argmax(1)
+        for d in np.flatnonzero(letters):
+            lang[d], sure[d] = m.langs[best[d]], float(held[d, best[d]] / letters[d])
+        if with_spans:
+            at = np.flatnonzero(new)
+            stop = hi[np.concatenate((at[1:], [len(doc)]))[: len(at)] - 1] if len(at) else hi[:0]
+            for d, i, z, k in zip(doc[at], lo[at], stop, label[at]):
+                spans[d].append({"start": int(i), "end": int(z), "lang": m.langs[k]})
+    return [pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(spans_n, pa.int32()), pa.array(spans if with_spans else [None] * size, kind)]
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

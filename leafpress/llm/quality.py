@@ -11,8 +11,10 @@ Training reads at most ``max_rows`` labelled documents of each class, chosen by
 the id, so the driver holds a bounded sample. Every document is scored on its whole text.
 
 Defined results: null and empty texts have no n-grams and get the score of the intercept.
-Several labels for one id count as their maximum; a null label as none; an id with several texts
-trains on the smallest. With labels of one class only, that class is predicted.
+Several labels for one id count as their maximum; a null label or id as none; an id with several texts
+trains on the smallest. With labels of one class only, that class is predicted. Repeated rows are
+scored each, an empty table gives no rows, a text of any length is read whole. Columns of the input pass through
+whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from leafpress.llm import textkernel as tk
-from leafpress.llm.common import id_checksum, table
+from leafpress.llm.common import id_checksum, table, with_judgements
 from leafpress.llm.linear import dual_coordinate_descent, platt, sigmoid
 
 DIM = 1 << 18
@@ -133,15 +134,15 @@ def labelled(labels: DataFrame, label: str, where: Column, max_rows: int, id_col
 def fit(docs: DataFrame, labels: DataFrame, label: str, where: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """``where`` chooses the labels' rows that may be learned from."""
     chosen = labelled(labels, label, where, max_rows, id_col)  # at most 2 * max_rows ids, so it may be broadcast
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col, "y").agg(F.min(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").groupBy("_id", "y").agg(F.min("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(DIM, bool)
-        for b in batches:
-            ids = [features(t, mark) for t in b["t"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b[id_col].cast(pa.int64()), b["y"], pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "y", "ids"])
+        for batch in batches:
+            for b, some in tk.slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([b["_id"], b["y"], pa.array([features(t, mark).tobytes() for t in some], pa.binary())], ["doc_id", "y", "ids"])
 
-    found = texts.select(F.col(id_col).cast("long").alias(id_col), "y", "t").mapInArrow(run, "doc_id long, y int, ids binary").toPandas().sort_values("doc_id")
+    found = texts.select(F.col("_id").cast("long").alias("_id"), "y", "_text").mapInArrow(run, "doc_id long, y int, ids binary").toPandas().sort_values("doc_id")
     rows = [np.frombuffer(x, np.int32) for x in found["ids"]]
     order = np.random.default_rng(3).permutation(len(rows))
     return train([rows[i] for i in order], found["y"].to_numpy()[order])
@@ -150,21 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, where: Column, max_rows:
 def classify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs (or its columns ``keep``) plus score (0 to 1) and predicted (1 if score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
 
-    given = text_col if text_col in names else "_text"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m, mark = shared.value, np.zeros(DIM, bool)
-        for b in batches:
-            score = [m.score(features(t.as_py(), mark)) for t in b[given]]
-            yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in names), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], [*names, "score", "predicted"]
-            )
 
-    schema = StructType([*(docs.schema[c] for c in names), *StructType.fromDDL("score double, predicted int").fields])
-    text = [] if given == text_col else [F.col(f"`{text_col}`").alias(given)]
-    return docs.select(*(F.col(f"`{c}`") for c in names), *text).mapInArrow(run, schema)
+        def judge(texts: list) -> list[pa.Array]:
+            score = [m.score(features(t, mark)) for t in texts]
+            return [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())]
+
+        return judge
+
+    return with_judgements(docs, docs.columns if keep is None else keep, text_col, make, "score double, predicted int")
 
 
 def held_out_mod(modulus: int, rest: int) -> Column:
@@ -179,7 +176,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects; it learns from the stage's own input."""
+    """Drops the documents that the classifier rejects; it learns from the stage's own input.
+
+    Edges as in the classifier: null and empty texts are judged by the intercept, repeated rows each, a null id is never
+    learned from, an empty table stays empty. All columns pass through unchanged, also one named score or predicted.
+    """
     labels = table(spark, sf_dir, "labels")
     model = fit(docs, labels, "quality", ~held_out_mod(3, 1))
-    return classify(docs, model).where("predicted = 1").select(docs.columns)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+    kept = classify(row, model).where("predicted = 1")
+    return kept.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
