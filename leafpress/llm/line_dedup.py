@@ -1,12 +1,10 @@
 """Line dedup (operator 10), native: DataFrame expressions only.
 
-Each line becomes (hash, document, position). Hashes are dealt to tasks by ranges
-of their value, sorted by hash, document and position, and one streaming window
-keeps the first document of each hash. A hash that holds a large part of all rows
-would land in one range, so ranges are salted by document: pass one finds the
-first document in each (hash, salt), pass two compares those few firsts. Rows that
-pass one already settled travel in pass two under a key of their own, so they never
-meet in one task. Lines are never text after the hash is taken.
+Each line becomes (hash, document, position). Rows are dealt to tasks by ranges of the hash,
+sorted by hash, document and position, and a streaming window carries each hash's first document on. A hash that
+holds a large part of all rows would land in one range, so the ranges' rows are counted and those that hold more than their share are
+salted by document, into as many parts as their load asks for. There, pass one finds the first document of each hash
+in each part and pass two, over those firsts alone, the first of all. Lines are never text after the hash is taken.
 
 The result is one sparse bitmap per document with dropped lines. ``drop_words``
 holds only 64-bit words with a set bit (bit b of word w: line 64*w+b goes); all
@@ -15,61 +13,64 @@ other lines stay.
 Defined results: a null or empty text is one empty line, which stays (keys shorter
 than ``min_chars`` never go). Rows with the same id and text are one document and
 get the same decision; rows with one id and different texts count as one holder
-but are cut apart by their text. A null id counts as one document after all others.
-Other columns pass through; names that begin with an
-underscore are taken, and columns named like a result are replaced.
+but are cut apart by their text. A null id counts as one document after all others. An empty table gives no rows;
+a text of any length is read whole. Columns of the input pass through whatever their names; those named like a
+result (n_lines, n_dropped, kept_text) are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import ASCII_SPACE, ascii_lower, table
+from leafpress.llm.common import ASCII_SPACE, ascii_lower, stored, table
 
-#: A hash is 128 bits: two 64-bit hashes with different seeds.
 _LAST_ID = (1 << 63) - 1
+#: Ranges of the hash, as bits. A range with more than SHARE times the mean of all rows is salted.
 _RANGE_BITS = 12
-SALTS = 16
+SHARE = 2
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _id, _text and the row key _r1, _r2, which tells apart texts under one id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns(
-        {
-            "_text": text,
-            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)),
-            "_r1": F.xxhash64(text),
-            "_r2": F.xxhash64(F.lit("row"), text),
-        }
-    )
+    """(_id, _text, _r1, _r2, and all columns as _row); _r1 and _r2 tell apart texts under one id."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    row = F.struct(*others) if others else F.struct(F.lit(0))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST_ID)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_r1"), F.xxhash64(F.lit("row"), text).alias("_r2"), row.alias("_row"), F.col(f"`{text_col}`").isNull().alias("_null"))
+
+
+def _first_holder(order: Window) -> Column:
+    """The first document of each hash, carried along rows sorted by hash, document and position."""
+    new = F.coalesce((F.lag("h1").over(order) != F.col("h1")) | (F.lag("h2").over(order) != F.col("h2")), F.lit(True))
+    return F.last(F.when(new, F.col("_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def line_bitmaps(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10
-) -> DataFrame:
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(_id, _r1, _r2, n_dropped, drop_words array<struct<word,bits>>) of documents that lose lines."""
-    lines = _keyed(docs, id_col, text_col).select(
-        "_id", "_r1", "_r2", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")
-    )
+    lines = _keyed(docs, id_col, text_col).select("_id", "_r1", "_r2", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
     key = F.btrim(F.col("line"), F.lit(ASCII_SPACE))
-    keys = (
+    # A hash is 128 bits: two 64-bit hashes with different seeds.
+    keys = stored(
         lines.select("_id", "_r1", "_r2", "pos", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("_id", "_r1", "_r2", "pos", ascii_lower(F.col("key")).alias("key"))
         .select("_id", "_r1", "_r2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"))
         .withColumn("range", F.shiftrightunsigned("h1", 64 - _RANGE_BITS).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     )
-    here = Window.partitionBy("range", "salt", "h1", "h2").orderBy("_id", "pos")
-    local = keys.withColumn("later", F.col("_id") > F.first("_id").over(here.rowsBetween(Window.unboundedPreceding, 0)))
-    # 0 for rows that may still be first; settled rows get a part by document and are not compared again.
-    local = local.withColumn("part", F.when(F.col("later"), F.lit(1) + F.pmod(F.xxhash64("_id", "pos"), F.lit(1 << 20))).otherwise(F.lit(0)))
-    there = Window.partitionBy("h1", "h2", "part").orderBy("_id", "pos")
-    dropped = local.withColumn(
-        "drop", F.col("later") | (F.col("_id") > F.first("_id").over(there.rowsBetween(Window.unboundedPreceding, 0)))
-    ).where("drop")
+    loads = keys.groupBy("range").agg(F.count("*").alias("n"))
+    most = SHARE * (loads.agg(F.avg("n")).first()[0] or 1.0)
+    # At most 2 ** _RANGE_BITS rows.
+    heavy = F.broadcast(loads.where(F.col("n") > most).select("range", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    calm = keys.join(heavy, "range", "left_anti")
+    calm = calm.withColumn("first", _first_holder(Window.partitionBy("range").orderBy("h1", "h2", "_id", "pos")))
+    hot = keys.join(heavy, "range").withColumn("salt", F.pmod(F.xxhash64("_id"), "salts").cast("int"))
+    hot = hot.withColumn("first", _first_holder(Window.partitionBy("range", "salt").orderBy("h1", "h2", "_id", "pos")))
+    # Rows that pass one has settled lie alone in pass two and are not compared again.
+    hot = hot.withColumn("part", F.when(F.col("_id") > F.col("first"), F.lit(1) + F.pmod(F.xxhash64("_id", "pos"), F.lit(1 << 20))).otherwise(F.lit(0)))
+    again = Window.partitionBy("h1", "h2", "part").orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    hot = hot.withColumn("first", F.least("first", F.first("_id").over(again)))
+    own = ["_id", "_r1", "_r2", "pos", "first"]
+    dropped = calm.select(*own).unionByName(hot.select(*own)).where(F.col("_id") > F.col("first"))
     # Identical rows yield the same positions twice, which bit_or absorbs.
     words = dropped.groupBy("_id", "_r1", "_r2", (F.col("pos") / 64).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")
@@ -83,16 +84,15 @@ def line_bitmaps(
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs plus n_lines, n_dropped and kept_text, the lines that stay joined by newlines."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    marks = bitmaps.select("_id", "_r1", "_r2", F.col("n_dropped").alias("_dropped"), F.col("drop_words").alias("_bits"))
+    marks = bitmaps.select("_id", "_r1", "_r2", F.col("n_dropped").alias("_dropped"), F.map_from_entries("drop_words").alias("_words"))
     joined = _keyed(docs.select(*(F.col(f"`{c}`") for c in names)), id_col, text_col).join(marks.hint("shuffle_hash"), ["_id", "_r1", "_r2"], "left")
     kept = F.expr(
         r"""CASE WHEN _dropped IS NULL THEN _text ELSE array_join(filter(split(_text, '\n', -1), (x, i) ->
             (shiftright(coalesce(try_element_at(_words, CAST(i DIV 64 AS INT)), 0L), i % 64) & 1L) = 0L), '\n') END"""
     )
     count = F.char_length("_text") - F.char_length(F.replace(F.col("_text"), F.lit("\n"))) + 1
-    return joined.withColumn("_words", F.map_from_entries("_bits")).select(
-        *(F.col(f"`{c}`") for c in names), count.cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text")
-    )
+    given = {c: F.when(~F.col("_null"), F.col("_text")) if c == text_col else F.col("_row").getField(c) for c in names}
+    return joined.select(*(given[c].alias(c) for c in names), count.cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
