@@ -1,7 +1,9 @@
 """Document fingerprints (operator 1), native: DataFrame expressions only.
 
-Winnowing: every run of ``K`` characters is hashed; of each window of ``WINDOW`` hashes in a row the
-smallest is kept, the rightmost if several are equal, with its position. Two texts that share a
+Winnowing: every run of ``K`` characters has a rolling hash: each character's 64-bit hash, shifted by its
+distance from the run's end, all combined by exclusive or (the kept high bits depend on every character). A run's
+hash follows from those of the runs of half its length by one shift, so no run is cut out and hashed afresh. Of each window of ``WINDOW`` hashes in a
+row the smallest is kept, the rightmost if several are equal, with its position. Two texts that share a
 passage of ``K + WINDOW - 1`` characters share a kept hash from it. A text is read in blocks that
 overlap by one window, so a hash array never holds more than a block and long texts take
 linear time. Window minima come from five doubling steps.
@@ -15,7 +17,9 @@ two ends are fingerprinted apart.
 Defined results: null and empty texts have an empty fingerprint; the likeness of two
 empty ones is 1, of an empty and another one 0. A text shorter than K is one hash, one with fewer
 hashes than a window is one window. Rows are ordered by id, nulls first, rows with one id by a hash
-of their text; a table of one row is its own successor.
+of their text; a table of one row is its own successor, an empty one gives no rows. Repeated rows are fingerprinted
+each. ``fingerprint`` passes columns of the input through, whatever their names, and replaces one named like its result;
+``compare_with_next`` reads id and text alone.
 """
 
 from __future__ import annotations
@@ -39,15 +43,31 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _rolled() -> str:
+    """The hashes of all runs of K characters of block b, or of b itself if it is shorter.
+
+    Runs of 1, 2, 4, ... characters double; the binary digits of K say which of them make up a run of K.
+    """
+    ends = lambda a, n: f"slice({a}, {n + 1}, size({a}))"
+    turn = lambda n: f"shiftleft(p, {n}) ^ q"
+    parts = [1 << i for i in reversed(range(K.bit_length())) if K >> i & 1]
+    run, done = f"c{parts[0]}", parts[0]
+    for n in parts[1:]:
+        run, done = f"zip_with({run}, {ends(f'c{n}', done)}, (p, q) -> {turn(n)})", done + n
+    body = f"slice({run}, 1, size(c1) - {K - 1})"
+    for n in reversed([1 << i for i in range(1, parts[0].bit_length())]):
+        body = _let(f"zip_with(c{n // 2}, {ends(f'c{n // 2}', n // 2)}, (p, q) -> {turn(n // 2)})", f"c{n}", body)
+    body = _let("transform(split(b, ''), c -> xxhash64(c))", "c1", body)
+    return f"IF(char_length(b) >= {K}, {body}, array(xxhash64(b)))"
+
+
 def winnow(text: str, offset: str = "0L") -> Column:
     """array<struct<hash,pos>> of the hashes kept from column ``text`` (not null), by position.
 
     Positions count code points from ``offset``, a column name or literal.
     """
     # A hash keeps its high 48 bits; below stands the position, reversed so that the minimum is the rightmost.
-    # Each match consumes one code point, so that none starts inside a surrogate pair.
-    grams = rf"regexp_extract_all(b, '(?s)(?=({'.' * K})).', 1)"
-    hashes = f"IF(char_length(b) >= {K}, transform({grams}, (g, i) -> (xxhash64(g) & -65536L) | (65535 - i)), array((xxhash64(b) & -65536L) | 65535))"
+    hashes = f"transform({_rolled()}, (g, i) -> (g & -65536L) | (65535 - i))"
     body = f"slice(m{WINDOW}, 1, CASE WHEN size(m{WINDOW}) >= {WINDOW} THEN size(m{WINDOW}) - {WINDOW - 1} WHEN j = 0 THEN 1 ELSE 0 END)"
     step = WINDOW
     while step > 1:
@@ -70,7 +90,9 @@ def joined(first: str, second: str) -> Column:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
     """docs plus the fingerprint of each text."""
-    return docs.withColumn("_t", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumn(into, winnow("_t")).drop("_t")
+    names = [c for c in docs.columns if c != into]
+    fed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    return fed.select("_row", winnow("_t").alias(into)).select(*(F.col("_row").getField(c).alias(c) for c in names), F.col(f"`{into}`"))
 
 
 def _hashes(found: str) -> Column:

@@ -28,7 +28,9 @@ def winnow(t):
         return []
 
     def h(s):
-        v = xxh64_intdigest(s.encode(), seed=42)
+        v = 0
+        for c in s if len(s) >= k else [s]:
+            v = (v << 1 ^ xxh64_intdigest(c.encode(), seed=42)) & (1 << 64) - 1
         return (v - (1 << 64) if v >> 63 else v) >> 16
 
     g = [h(t[i : i + k]) for i in range(len(t) - k + 1)] or [h(t)]
@@ -78,6 +80,20 @@ def test_winnowing_across_buckets_and_ids(spark, monkeypatch):
     assert fingerprint.compare_with_next(spark.createDataFrame([(1, "alone")], "doc_id long, text string")).first().near_next == 1.0
 
 
+def test_op1_on_a_whole_table(spark, sf):
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in fingerprint.op1_winnowing(spark, sf).collect()}
+    assert len(got) == len(rows)
+    digest = lambda f: hashlib.sha256(",".join(f"{x & (1 << 64) - 1:X}@{p}" for x, p in f).encode()).hexdigest()
+    for (i, t), (_, nxt) in zip(rows[:60], rows[1:]):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (digest(winnow(t)), digest(winnow(edited)))
+        assert (r.near_edited, r.near_next) == (pytest.approx(likeness(winnow(t), winnow(edited))), pytest.approx(likeness(winnow(t), winnow(nxt))))
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers as files
     import tiktoken
