@@ -3,37 +3,49 @@
 Vectors are dealt into blocks of bounded size. In each block a tree is the sorted array of
 its vectors' 64-bit hash strings (signs of random projections, with one extra coordinate that
 turns the largest inner product into the smallest angle). A query descends every tree to its
-longest matching prefix and then ascends all trees together, one prefix bit at a time, until
-the trees hold ``visits`` times the block's vectors; those candidates are ranked by their exact inner
-product. Every query block meets every data block, and the best of the blocks are merged.
+longest matching prefix and then ascends all trees together, to prefixes short enough for as many candidates as are
+asked for; those are ranked by their exact inner product.
+
+There are two passes. In the first, every block gives a query the candidates of two steps, and the best of all blocks
+are merged. A query whose best were nearly all among the candidates of the first step (all but ``LATE``) is answered: its
+neighbours stand out. For the others, as among independent directions, the second pass
+ascends in every block until the trees together hold ``visits`` times the block's vectors.
+
+A task streams: it builds the trees of a block once and then lets the queries pass, a slice at a time. Every
+query meets every block, and the best of the blocks are merged.
 
 Equal vectors of a block share one place in its trees, with the ``k`` + 1 smallest ids; no
 query can need more of them, so a vector that fills a third of the table costs no candidates.
 Block size and ``visits`` are fixed, so recall doesn't depend on the size of the table.
-At 1.0 it is 0.95 to 0.98 on independent directions, the hardest case, where near vectors
-hardly stand out and most of a block has to be looked at.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part. Vectors of different lengths are separate searches. Rows that repeat id and vector
 count once; if one id has several vectors, its rows never find each other and an id is listed
-once with its best score. A null id takes no part.
+once with its best score. A null id takes no part. Equal scores are ordered by id; a score is summed in one fixed order, so equal
+vectors score alike in any block. An empty table gives no rows. Of the input only id and vector are read, so other
+columns' names can't clash.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import table
+from leafpress.llm.common import fitted, stored, table
 
 TREES, BITS = 24, 64
 VISITS = 1.0
-BLOCK, QUERY_BLOCK = 8192, 4096
-_LEVELS = 33  # a block of 8192 has long resolved at 32 bits; equal strings stay together anyway
+BLOCK, QUERY_SLICE = 8192, 256
+#: Candidates that the trees together hold in the first step, for each neighbour asked for; the second step has GROWTH times as many at least.
+START, GROWTH = 16, 1.5
+#: A query is answered by the first pass if at most this share of its best came from the second step alone.
+LATE = 0.05
+#: Free bits of the prefixes that are tried, from the longest prefix up.
+LEVELS = range(BITS + 1)
 
 
 class Forest:
@@ -57,47 +69,95 @@ class Forest:
     def _strings(lifted: np.ndarray, plane: np.ndarray) -> np.ndarray:
         return ((lifted @ plane) > 0).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))
 
-    def candidates(self, queries: np.ndarray, visits: float = VISITS, least: int = 1):
-        """For each query the indices of its candidates, at least ``least`` (or all) of them."""
+    def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, levels, queries) first and last places of the strings that share a query's prefix of BITS - level bits."""
         n = np.sqrt((queries * queries).sum(1, keepdims=True))
         lifted = np.column_stack((queries / np.where(n > 0, n, 1), np.zeros(len(queries))))
-        lo = np.zeros((len(self.trees), _LEVELS, len(queries)), np.int32)
+        lo = np.zeros((len(self.trees), len(LEVELS), len(queries)), np.int32)
         hi = np.zeros_like(lo)
         for t, ((strings, _), plane) in enumerate(zip(self.trees, self.planes)):
             own = self._strings(lifted, plane)
-            for level in range(_LEVELS):
-                free = np.uint64((1 << (BITS - level)) - 1)
-                lo[t, level] = np.searchsorted(strings, own & ~free, "left")
-                hi[t, level] = np.searchsorted(strings, own | free, "right")
-        # The longest prefix length, the same for all trees, at which they hold enough.
-        # Trees that hold trees * least together hold as many different ones.
-        enough = (hi - lo).sum(0) >= max(visits * len(self.x), len(self.trees) * min(least, len(self.x)))
-        level = np.where(enough.any(0), _LEVELS - 1 - np.argmax(enough[::-1], axis=0), 0)
-        for q, at in enumerate(level):
-            seen = np.zeros(len(self.x), bool)
-            for t, (_, order) in enumerate(self.trees):
-                seen[order[lo[t, at, q] : hi[t, at, q]]] = True
-            yield np.flatnonzero(seen)
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, visits: float = VISITS) -> pd.DataFrame:
-    """(query_id, vec_id, score): up to k found rows of this block for each query."""
-    distinct, of = np.unique(vectors + 0.0, axis=0, return_inverse=True)
-    by = np.lexsort((ids, of.ravel()))
-    ids, of = ids[by], of.ravel()[by]
-    first = np.searchsorted(of, np.arange(len(distinct) + 1))
-    forest = Forest(distinct)
-    out = []
-    for q, found in enumerate(forest.candidates(queries, visits, k + 1)):
-        score = distinct[found] @ queries[q]
-        if len(score) > k + 1:
-            # All that reach the (k+1)th score, so that ties are settled by id.
-            near = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            found, score = found[near], score[near]
-        rows = [(i, s) for f, s in zip(found, score) for i in ids[first[f] : min(first[f + 1], first[f] + k + 1)] if i != query_ids[q]]
-        rows.sort(key=lambda r: (-r[1], r[0]))
-        out += [(query_ids[q], i, s) for i, s in rows[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            for k, level in enumerate(LEVELS):
+                free = np.uint64((1 << level) - 1)
+                lo[t, k] = np.searchsorted(strings, own & ~free, "left")
+                hi[t, k] = np.searchsorted(strings, own | free, "right")
+        return lo, hi
+
+    def search(self, queries: np.ndarray, k: int, visits: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the vectors found that may be among the k best, whether the second step found them, and how many were looked at.
+
+        Without visits two steps are made, of at least START * k and GROWTH times as many candidates in all trees.
+        """
+        lo, hi = self.ranges(queries)
+        held = (hi - lo).sum(0)
+        least = min(k, len(self.x))
+        for q, query in enumerate(queries):
+            seen, early = np.zeros(len(self.x), bool), np.zeros(len(self.x), bool)
+            enough, steps = (START * k, 2) if visits is None else (visits * len(self.x), 1)
+            while True:
+                level = min(int(np.searchsorted(held[:, q], enough)), len(LEVELS) - 1)
+                for (_, order), a, z in zip(self.trees, lo[:, level, q], hi[:, level, q]):
+                    seen[order[a:z]] = True
+                enough = GROWTH * max(1, held[level, q])
+                if seen.sum() >= least:
+                    steps -= 1
+                    if not steps or level == len(LEVELS) - 1:
+                        break
+                    early = seen.copy()
+            found = np.flatnonzero(seen)
+            looked = len(found)
+            if looked > k:
+                score = self.x[found] @ query
+                # Ties at the last place are settled by the exact sum, so those a rounding away come along.
+                cut = np.partition(score, looked - k)[looked - k]
+                found = found[score >= cut - 1e-9 * max(1.0, abs(cut))]
+            # With all vectors looked at nothing is left for a further step.
+            yield found, ~early[found] & (looked < len(self.x)), looked
+
+
+def search_block(forest: Forest, ids: np.ndarray, first: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, visits: float | None) -> pa.RecordBatch:
+    """(query_id, vec_id, score, late): up to k found rows of this block for each query. ids[first[f]:first[f + 1]] have vector f."""
+    out: list[tuple] = []
+    for q, (found, late, _) in zip(range(len(queries)), forest.search(queries, k + 1, visits)):
+        score = (forest.x[found] * queries[q]).sum(1)
+        rows = [(-s, i, x) for f, s, x in zip(found, score, late) for i in ids[first[f] : min(first[f + 1], first[f] + k + 1)] if i != query_ids[q]]
+        rows.sort()
+        out += [(query_ids[q], i, -s, bool(x)) for s, i, x in rows[:k]]
+    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64(), "late": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else ((),) * 4, kinds.values())], list(kinds))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
+def _streamed(k: int, visits: float | None):
+    """Batches sorted by dim, block and kind: a block's data rows build its forest, then its queries pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, forest, ids, first = None, [], None, None, None
+        for b in batches:
+            dim, of, kind = (b[c].to_numpy() for c in ("dim", "b", "kind"))
+            edges = np.flatnonzero(np.concatenate(([True], (dim[1:] != dim[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]))))
+            for i, j in zip(edges, [*edges[1:], b.num_rows]):
+                part = b.slice(i, j - i)
+                if (dim[i], of[i]) != block:
+                    block, rows, forest = (dim[i], of[i]), [], None
+                if kind[i] == 0:
+                    rows.append((part["vec_id"].to_numpy(), _matrix(part["v"], dim[i])))
+                    continue
+                if forest is None and rows:
+                    distinct, place = np.unique(np.concatenate([v for _, v in rows]) + 0.0, axis=0, return_inverse=True)
+                    ids, place = np.concatenate([x for x, _ in rows]), place.ravel()
+                    by = np.lexsort((ids, place))
+                    ids, first = ids[by], np.searchsorted(place[by], np.arange(len(distinct) + 1))
+                    forest, rows = Forest(distinct), []
+                if forest is not None:
+                    for at in range(0, part.num_rows, QUERY_SLICE):
+                        some = part.slice(at, QUERY_SLICE)
+                        yield search_block(forest, ids, first, some["vec_id"].to_numpy(), _matrix(some["v"], dim[i]), k, visits)
+
+    return run
 
 
 def usable(vector: Column) -> Column:
@@ -114,28 +174,24 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     v = F.col(f"`{vector_col}`")
     slim = rows.where(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), is_query.alias("asks"))
     slim = slim.withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
-    counts = slim.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()
-    spark = rows.sparkSession
-    plan = spark.createDataFrame(
-        [(r["dim"], math.ceil(r["n"] / BLOCK), max(1, math.ceil(r["q"] / QUERY_BLOCK))) for r in counts] or [(0, 1, 1)], "dim int, blocks int, query_blocks int"
-    )
-    dealt = slim.join(F.broadcast(plan), "dim").withColumn("h", F.xxhash64("vec_id", "v"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = dealt.select("dim", F.pmod("h", "blocks").cast("int").alias("b"), every("query_blocks").alias("qb"), "vec_id", "v")
-    asked = dealt.where("asks").select(
-        F.col("dim").alias("q_dim"), F.pmod(F.xxhash64("h"), "query_blocks").cast("int").alias("q_qb"), every("blocks").alias("q_b"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v")
-    )
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        stack = lambda v: np.stack(v.to_numpy()).astype(float)
-        return search_block(left["vec_id"].to_numpy(), stack(left["v"]), right["q_id"].to_numpy(), stack(right["q_v"]), k, visits)
-
-    found = data.groupBy("dim", "b", "qb").cogroup(asked.groupBy("q_dim", "q_b", "q_qb")).applyInPandas(run, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    counts = slim.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
+    # One row for each length of vectors.
+    plan = stored(counts.where("q > 0").select("dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = slim.join(fitted(plan), "dim").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int"))
+    data = dealt.select("dim", "b", F.lit(0).alias("kind"), "vec_id", "v")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asked: DataFrame, visits: float | None) -> DataFrame:
+        every = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(1).alias("kind"), "vec_id", "v")
+        met = data.unionByName(every).repartition("dim", "b").sortWithinPartitions("dim", "b", "kind")
+        found = met.mapInArrow(_streamed(k, visits), "query_id long, vec_id long, score double, late boolean")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("late").alias("late"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    brief = stored(best(dealt.where("asks"), None))
+    answered = stored(brief.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("late").alias("late")).where((F.col("n") == k) & (F.col("late") <= LATE * k)).select("query_id"))
+    rest = dealt.where("asks").join(fitted(answered), F.col("vec_id") == F.col("query_id"), "left_anti")
+    return brief.join(fitted(answered), "query_id", "left_semi").unionByName(best(rest, visits)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
