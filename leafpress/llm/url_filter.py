@@ -11,7 +11,8 @@ Training reads about ``max_rows`` labelled URLs, chosen by a hash of the URL. Su
 cover all rows. Defined results: a null URL, or one without ``://``, has an empty host and
 path, no rule, and is judged by the trees on its text (null: empty). With no labelled URL, or
 labels of one kind only, the trees give that kind (none: allow). Rules of equal length that
-both fit: the smaller text wins. Repeated rows are judged each; other columns pass through.
+both fit: the smaller text wins. Repeated rows are judged each; an empty table gives no rows; a URL of any length is
+judged whole. Other columns pass through whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import ascii_lower, table
+from leafpress.llm.common import ascii_lower, fitted, stored, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "suffix_share", "tld_share")
@@ -78,11 +79,14 @@ def with_features(pages: DataFrame, url_col: str = "url") -> DataFrame:
             "hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
         }
     )
-    counts = pages.groupBy("_suffix", "_tld").agg(F.count("*").alias("_n"))
+    # Features are computed once; all that is learned from them reads what is stored.
+    pages = stored(pages)
+    counts = stored(pages.groupBy("_suffix", "_tld").agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 1
     tlds = counts.groupBy("_tld").agg(F.sum("_n").alias("_t"))
-    shares = counts.join(tlds, "_tld").select("_suffix", F.log2(F.col("_n") / total).alias("suffix_share"), F.log2(F.col("_t") / total).alias("tld_share"))
-    return pages.join(shares, "_suffix").drop("_suffix", "_tld")
+    shares = stored(counts.join(tlds, "_tld").select("_suffix", F.log2(F.col("_n") / total).alias("suffix_share"), F.log2(F.col("_t") / total).alias("tld_share")))
+    # Too many suffixes to broadcast: adaptive execution splits the pages of a hot one.
+    return pages.join(fitted(shares), "_suffix").drop("_suffix", "_tld")
 
 
 class Tree:
