@@ -14,16 +14,26 @@ from leafpress.llm.common import stored
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all documents but the first; a document that loses all of its lines goes."""
-    out = line_dedup.dedup_lines(docs)
+    """Repeated lines go from all documents but the first; a document that loses all of its lines goes, as nothing of it is left.
+
+    Null and empty texts are one empty line, which stays. Repeated rows and null ids as in the operator. An empty table
+    stays empty. Columns pass through whatever their names.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", row.alias("row")))
     emptied = (F.col("n_dropped") == F.col("n_lines")) & (F.col("n_dropped") > 0)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
-    length = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(~emptied).withColumn("n_chars", length).withColumn("text", text).select(docs.columns)
+    given = {c: F.col("row").getField(c) for c in docs.columns if c != "text"}
+    given["text"] = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    if "n_chars" in given:
+        given["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(given["n_chars"])
+    return out.where(~emptied).select(*(given[c].alias(c) for c in docs.columns))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the digests of ids and decoded bytes of every row."""
+    """doc_id, ids, n_tokens and the digests of ids and decoded bytes of every row.
+
+    A null text is encoded as an empty one, repeated rows each; an empty table gives no rows; no column's name can clash.
+    """
     return bpe.encode_documents(docs)
 
 
