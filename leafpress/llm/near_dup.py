@@ -12,14 +12,13 @@ Signatures are banded; in each bucket every document is checked against the buck
 that meets most others, on the full multisets. Shingles that only one class holds can't be shared: their weight
 bounds a class's similarity to any other from above, exactly, and pairs that can't reach the threshold aren't made.
 
-What no leader matches is divided again, by shingles: two multisets with the threshold's similarity share one of
-the rarest shingles that make up a fifth of the larger, or a ninth of the smaller. Groups are therefore those of
-one rare shingle, and only pairs whose smaller member counts it among its ninth are made. Texts that share boilerplate
-but no rare shingle never meet. In these groups 4, 16, 64, ... leaders meet the others until none is left. No pair is
-verified twice. A member that a leader doesn't match is not lost to those that the leader matched: one minus the
-similarity is a metric, so the two similarities to the leader exclude most such pairs, exactly, and the rest
-are compared unless links have made them one component already. Texts with equal multisets are one class and are
-searched once. Components of the links are found by alternating star contraction.
+A bucket whose other members are then of one component is done. What is left is divided again, by shingles: two
+multisets with the threshold's similarity share one of the rarest shingles that make up a fifth of the larger, or a ninth
+of the smaller. Groups are therefore those of one rare shingle, and only pairs are made that have enough weight from it
+on. Texts that share boilerplate but no rare shingle never meet. In these groups 4, 64, 1024, ... leaders meet the
+others, until those that haven't led are of one component. Pairs that links have joined already are not verified, and
+no pair twice; every other pair that shares a bucket is, so no link between components is lost. Texts with equal multisets are
+one class and are searched once. Components of the links are found by alternating star contraction.
 
 Hot groups: classes and leaders come from partial aggregates; joins by bucket, leader, node, root and
 class stand alone above their shuffles, so adaptive execution splits their large partitions.
@@ -51,8 +50,6 @@ BANDS, ROWS = 26, 5
 COMPONENTS = BANDS * ROWS
 #: Shingles whose points are made at a time.
 _SEEDS = 1 << 15
-#: Matched members meet the unmatched of their leader in slices of their hash; a link spares later ones.
-_SLICES = ((0, 1), (1, 4), (4, 16))
 #: Bounds on sums of similarities are kept wider by this.
 _ROUNDING = 1e-9
 
@@ -244,22 +241,22 @@ def _own_weight(bags: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(bags: DataFrame, similar: float) -> DataFrame:
-    """(cid, key, short): the shingles of which any two classes of that similarity share one.
+    """(cid, key, rest): the shingles of which any two classes of that similarity share one; rest is a class's weight from there on.
 
-    Let both multisets be sorted by how many classes hold a shingle, then by hash, and z be the first that they share.
-    All that they share comes from z on, so what a class has before z weighs at most (1 - similar) of its size; of the smaller
-    of the two at most 1 - 2 similar / (1 + similar), for which short stands. Groups without a short member are left out.
+    Let both multisets be sorted by how many classes hold a shingle, then by hash, and z be the first that they share. All
+    that they share comes from z on, so what a class has before z weighs at most (1 - similar) of its size, and the
+    rest of either, at z, is no less than what they share. Groups in which no two members of a size can share enough are left out.
     """
     once = _exploded(bags)
     held = once.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     shared = once.join(held, "h").join(bags.select("cid", "size"), "cid")
     mine = Window.partitionBy("cid")
     before = F.coalesce(F.sum("w").over(mine.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = shared.withColumn("before", F.col("size") - F.sum("w").over(mine) + before)
-    share = lambda most: F.col("before") <= most * F.col("size") + _ROUNDING * F.col("size")
-    rare = stored(placed.where(share(1 - similar)).select("cid", F.col("h").alias("key"), share(1 - 2 * similar / (1 + similar)).alias("short")))
+    placed = shared.withColumn("rest", F.sum("w").over(mine) - before)
+    holds = lambda least: F.col("rest") >= (least - _ROUNDING) * F.col("size")
+    rare = stored(placed.where(holds(similar)).select("cid", F.col("h").alias("key"), "rest", holds(2 * similar / (1 + similar)).alias("short")))
     groups = rare.groupBy("key").agg(F.count("*").alias("n"), F.max("short").alias("some")).where("n > 1 AND some").select("key")
-    return rare.join(groups, "key")
+    return rare.join(groups, "key").drop("short")
 
 
 def _bound(size: str, own: str, l_size: str, l_own: str) -> Column:
@@ -269,77 +266,63 @@ def _bound(size: str, own: str, l_size: str, l_own: str) -> Column:
 
 
 def _leaders(rows: DataFrame, n: int) -> DataFrame:
-    """(key, leader, and the leader's size, own and short): the n classes of each group that meet most others, where it has two or more."""
+    """(key, leader, and the leader's root, size, own and rest): the n classes of each group that meet most others."""
     order = Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("cls"), "cls")
-    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(2, n))
-    two = first.where("place = 2").select("key")
-    own = [F.col(c).alias(f"l_{c}") for c in ("size", "own", "short")]
-    return first.where(F.col("place") <= n).join(two, "key", "left_semi").select("key", F.col("cls").alias("leader"), *own)
+    own = [F.col(c).alias(f"l_{c}") for c in ("root", "size", "own", "rest")]
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("key", F.col("cls").alias("leader"), *own)
 
 
 class _Search:
-    """What is known of pairs of classes while leaders meet the members of their groups."""
+    """What is known of pairs of classes, and their components so far, while leaders meet the members of their groups."""
 
     def __init__(self, bags: DataFrame, similar: float):
         self.bags, self.similar = bags, similar
         self.checked: DataFrame | None = None  # (a, b, s) of verified pairs, a < b
-        self.sides: DataFrame | None = None  # (leader, cls, s): the similarity, or a bound of it below ``similar``
+        self.roots: DataFrame | None = None  # (cls, root) of linked classes; a component's root has no row
 
     def verify(self, pairs: DataFrame) -> None:
-        """Verifies pairs (a, b) that haven't been."""
+        """Verifies pairs (a, b) that haven't been, and joins the components of those that are alike."""
         if self.checked is not None:
             pairs = pairs.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
         new = stored(_verify(pairs, self.bags))
         self.checked = new if self.checked is None else self.checked.unionByName(new)
+        edges = new.where(F.col("s") >= self.similar).select("a", "b")
+        if self.roots is None:
+            self.roots = components(edges).select(F.col("node").alias("cls"), "root")
+            return
+        for c in ("a", "b"):
+            edges = self.rooted(edges, c, "r").drop(c).withColumnRenamed("r", c)
+        moved = components(edges)
+        old = self.roots.join(moved.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left").select("cls", F.coalesce("new", "root").alias("root"))
+        self.roots = stored(old.unionByName(moved.select(F.col("node").alias("cls"), "root")))
+
+    def rooted(self, rows: DataFrame, of: str, into: str) -> DataFrame:
+        """rows with the root of the class in column ``of``."""
+        roots = self.roots.select(F.col("cls").alias("_of"), F.col("root").alias("_root"))
+        return rows.join(roots, F.col(of) == F.col("_of"), "left").withColumn(into, F.coalesce("_root", of)).drop("_of", "_root")
 
     def links(self) -> DataFrame:
+        """(a, b) of the pairs found alike; with their components they say all, as pairs within a component aren't verified."""
         return self.checked.where(F.col("s") >= self.similar).select("a", "b")
 
     def meet(self, rows: DataFrame, n: int) -> DataFrame:
-        """One round of rows (key, cls, met, size, own, short) with n leaders a group; returns the rows that go on."""
+        """One round of rows (key, cls, root, met, size, own, rest) with n leaders a group; returns the rows that go on."""
         leaders = stored(_leaders(rows, n))
-        bound = _bound("size", "own", "l_size", "l_own")
-        # Of each pair the smaller has to count the group's shingle among its rarest.
-        due = F.when(F.col("size") < F.col("l_size"), F.col("short")).when(F.col("size") > F.col("l_size"), F.col("l_short")).otherwise(F.col("short") | F.col("l_short"))
-        met = rows.join(leaders, (rows["key"] == leaders["key"]) & (F.col("cls") != F.col("leader")))
-        met = met.select("leader", "cls", bound.alias("bound"), due.alias("due")).where(F.col("bound") >= 2 * self.similar - 1 - _ROUNDING)
-        near = stored(met.groupBy("leader", "cls", "bound").agg(F.max("due").alias("due")).withColumns({"a": F.least("leader", "cls"), "b": F.greatest("leader", "cls")}))
-        self.verify(near.where(F.col("due") & (F.col("bound") >= self.similar)).select("a", "b").distinct())
-        # Of a pair that isn't due here all that is known is that this group needn't link it.
-        most = F.least(F.col("bound"), F.lit(self.similar - 2 * _ROUNDING))
-        known = stored(near.join(self.checked, ["a", "b"], "left").select("leader", "cls", F.coalesce("s", most).alias("s")))
-        self.sides = known if self.sides is None else self.sides.unionByName(known)
-        # Leaders have met all of their group; what they matched has joined their component.
-        new = known.where(F.col("s") >= self.similar).select("leader", "cls")
-        done = new.join(leaders.select("key", "leader"), "leader").select("key", "cls").unionByName(leaders.select("key", F.col("leader").alias("cls")))
-        left = rows.join(leaders.select("key").distinct(), "key", "left_semi")
-        return stored(left.join(done, ["key", "cls"], "left_anti"))
-
-    def across(self, facts: DataFrame) -> None:
-        """Verifies members that a leader didn't match against those that it matched, where they may be alike.
-
-        Members are compared unless their similarities to the leader exclude it, by the triangle inequality, or an
-        earlier slice has joined them.
-        """
-        t = self.similar
-        sides = self.sides.groupBy("leader", "cls").agg(F.max("s").alias("most"), F.min("s").alias("s"))
-        sides = stored(sides.select("leader", "cls", F.when(F.col("most") >= t, F.col("most")).otherwise(F.col("s")).alias("s")))
-        matched = sides.where(F.col("s") >= t)
-        some = matched.select("leader").distinct()
-        open_ = sides.where((F.col("s") < t) & (F.col("s") >= 2 * t - 1 - _ROUNDING)).join(some, "leader", "left_semi")
-        for low, high in _SLICES:
-            roots = components(self.links())
-            placed = open_.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-            placed = placed.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("l_root")), "leader", "left")
-            # All that a leader matched is of the leader's component; a component's root is no node of its own.
-            outer = stored(placed.where(F.coalesce("root", "cls") != F.coalesce("l_root", "leader")).select("leader", "cls", "s").join(facts, "cls"))
-            if outer.isEmpty():
-                break
-            slot = F.pmod(F.xxhash64("cls"), F.lit(_SLICES[-1][1]))
-            inner = matched.where((slot >= low) & (slot < high)).join(facts, "cls")
-            inner = inner.select("leader", F.col("cls").alias("t_cls"), F.col("s").alias("t_s"), F.col("size").alias("t_size"), F.col("own").alias("t_own"))
-            pairs = outer.join(inner, "leader").where((F.col("t_s") <= F.col("s") + (1 - t) + _ROUNDING) & (_bound("size", "own", "t_size", "t_own") >= t))
-            self.verify(stored(pairs.select(F.least("cls", "t_cls").alias("a"), F.greatest("cls", "t_cls").alias("b")).where("a != b").distinct()))
+        # In the group of the first shingle that a pair shares, both have from there on all that they share.
+        due = F.least("rest", "l_rest") * (1 + self.similar) >= (F.col("size") + F.col("l_size")) * self.similar - _ROUNDING * F.col("size")
+        alike = due & (_bound("size", "own", "l_size", "l_own") >= self.similar) & (F.col("root") != F.col("l_root"))
+        met = rows.join(leaders, (rows["key"] == leaders["key"]) & alike)
+        self.verify(met.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct())
+        # Leaders have met all of their group. The others go on unless they are of one component.
+        left = rows.join(leaders.select("key", F.col("leader").alias("cls")), ["key", "cls"], "left_anti").drop("root")
+        return self.open_groups(self.rooted(left, "cls", "root"))
+
+    @staticmethod
+    def open_groups(rows: DataFrame) -> DataFrame:
+        """Rows of groups with members of several components."""
+        rows = stored(rows)
+        several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        return stored(rows.join(several, "key", "left_semi"))
 
 
 def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,16 +340,16 @@ def search(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col
     # Classes whose own shingles weigh too much have no partner.
     facts = stored(_own_weight(bags).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
     found = _Search(bags, similar)
-    left = found.meet(stored(rows.select("key", "cls").join(facts.withColumn("short", F.lit(True)), "cls")), 1)
-    crowded = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alone = stored(left.join(crowded, "key", "left_semi").select("cls").distinct().join(bags, "cls"))
+    first = rows.select("key", "cls").join(facts.withColumns({"rest": F.col("size"), "root": F.col("cls")}), "cls")
+    left = found.meet(found.open_groups(first), 1)
+    alone = stored(left.select("cls").distinct().join(bags, "cls"))
     n = 4
     if not alone.isEmpty():
-        rows = stored(_rare_shingles(alone, similar).join(alone.select("cid", "cls"), "cid").join(facts, "cls").select("key", "cls", "met", "size", "own", "short"))
+        rare = _rare_shingles(alone, similar).join(alone.select("cid", "cls"), "cid").join(facts, "cls").select("key", "cls", "met", "size", "own", "rest")
+        rows = found.open_groups(found.rooted(rare, "cls", "root"))
         while not rows.isEmpty():
             rows = found.meet(rows, n)
-            n *= 4
-    found.across(facts.select("cls", "size", "own"))
+            n *= 16
     return found
 
 
@@ -398,8 +381,8 @@ def _placed(docs: DataFrame, similar: float, id_col: str, text_col: str) -> Data
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
     classes = sigs.where("cls IS NOT NULL").groupBy("cls", "bands").agg(F.min(row).alias("row"))
     classes = stored(classes.select("cls", "bands", F.col("row.doc_id").alias("rep"), "row.r1", "row.r2"))
-    roots = components(links(docs, classes, similar, id_col, text_col))
-    placed = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = search(docs, classes, similar, id_col, text_col).roots
+    placed = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     of = placed.join(least, "root").select("cls", "root", "class_id", F.col("rep").alias("copy_id"))
     return sigs.select("doc_id", "r1", "r2", "cls").join(of, "cls", "left")
