@@ -17,7 +17,8 @@ it, the rounding nearest to the words still due. Random numbers come from hashes
 Defined results: a null text has size 0. A null source is a source of its own, last. A
 source of size 0 has target 0. Rows that repeat an id are separate units. Targets stop at
 3 times the source's size, so no document is taken more than 3 times. All sources at
-their cap: the rest is not taken.
+their cap: the rest is not taken. An empty table gives no rows; a text of any length counts whole. Of the input only id,
+text and source are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import checkpoint, table
+from leafpress.llm.common import checkpoint, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -193,12 +194,25 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or repeated."""
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("dup").alias("_dup"), "copies")
-    alike = Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))
-    numbered = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_n", F.row_number().over(alike) - 1)
-    joined = numbered.join(
-        taken.hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_n") == F.col("_dup")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(docs.columns))
+    """Every document as often as the mix takes it: not at all, once or repeated.
+
+    Edges as in ``mix``: a null text has no words and a null source is its own; a document that repeats another's id,
+    source and size is a unit of its own, taken as often as its number says (numbers are dealt by a hash of the row). An
+    empty table stays empty. Columns pass through whatever their names.
+    """
+    units = stored(mix(docs).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "dup", "copies"))
+    # Units that repeat id, source and size are told apart by their number; all others are found without one.
+    several = units.where("dup > 0").select("_i", "_s", "_z").distinct()
+    same = lambda a, b: a["_i"].eqNullSafe(b["_i"]) & a["_s"].eqNullSafe(b["_s"]) & (a["_z"] == b["_z"])
+    names = docs.columns
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_o"), word_count(F.col("text")).alias("_w"))
+    match = lambda: F.col("_d").eqNullSafe(F.col("_i")) & F.col("_o").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_z"))
+    several = stored(several)
+    if several.isEmpty():
+        out = own.join(units.where("copies > 0").select("_i", "_s", "_z", "copies").hint("shuffle_hash"), match()).select("_row", "copies")
+    else:
+        alone = units.join(several, same(units, several), "left_anti").where("copies > 0").select("_i", "_s", "_z", "copies")
+        out = own.join(alone.hint("shuffle_hash"), match()).select("_row", "copies")
+        numbered = own.join(several.hint("shuffle_hash"), match(), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_o", "_w").orderBy(F.xxhash64("_row"))) - 1)
+        out = out.unionByName(numbered.join(units.where("copies > 0"), match() & (F.col("_n") == F.col("dup"))).select("_row", "copies"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col("_row").getField(c).alias(c) for c in names))
