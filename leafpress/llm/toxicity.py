@@ -9,7 +9,8 @@ a letter stand between them. Landmarks are
 tokens of the training sentences; the Nystroem map takes a token to its kernel values with
 them, whitened by the landmarks' own kernel matrix, and a linear hinge-loss model is
 fitted there by dual coordinate descent. Labels belong to documents: each round takes the highest
-scoring sentences of toxic documents as the toxic ones and all of clean documents as clean.
+scoring tokens of toxic documents as the toxic ones; clean are tokens of clean documents, a bounded number at random
+(``max_clean``) and the hardest of each document.
 
 As the model is linear in kernel values with fixed landmarks, it is one weight per
 three-letter subsequence: a document is scored exactly, on its whole text, by table look-ups. A
@@ -18,14 +19,15 @@ calibrate the score.
 
 Defined results: null and empty texts, and texts without a token of three letters, get the
 lowest score. Labels are read as in the quality classifier. With one class only, that
-class is predicted.
+class is predicted. Repeated rows are scored each, an empty table gives no rows, a text of any length is scored
+whole. Columns of the input pass through whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate, combinations
@@ -34,10 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from leafpress.llm import textkernel as tk
-from leafpress.llm.common import table
+from leafpress.llm.common import table, with_judgements
 from leafpress.llm.linear import dual_coordinate_descent, logistic, sigmoid
 from leafpress.llm.quality import held_out_mod, labelled
 
@@ -122,12 +123,16 @@ def bounds(weights: np.ndarray, text: str) -> tuple:
     s = np.concatenate((sym[at], np.zeros(SPAN, np.uint8))).astype(np.int32)
     decay = DECAY ** np.arange(2 * SPAN, dtype=np.float32)
     total, square = np.zeros(n, np.float32), np.zeros(n, np.float32)
-    head = s[:n] << 2 * BITS
-    for a, b in PATTERNS:
-        valid = (token[:n] >= 0) & (token[:n] == token[b : b + n])
-        weight = np.where(valid, decay[np.clip(place[b : b + n] - place[:n] + 1, 0, 2 * SPAN - 1)], np.float32(0))
-        total += weights[head + (s[a : a + n] << BITS) + s[b : b + n]] * weight
-        square += weight * weight
+    i = np.flatnonzero(token[:n] >= 0)
+    for b in range(2, SPAN):
+        i = i[token[i + b] == token[i]]  # first letters whose token reaches b letters on; fewer for each b
+        ends_ = (s[i] << 2 * BITS) + s[i + b]
+        inner = np.zeros(len(i), np.float32)
+        for a in range(1, b):
+            inner += weights[ends_ + (s[i + a] << BITS)]
+        weight = decay[np.minimum(place[i + b] - place[i] + 1, 2 * SPAN - 1)]
+        total[i] += inner * weight
+        square[i] += (b - 1) * weight * weight
     summed = [np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (total, square)]
     sums, squares = (x[last] - x[first] for x in summed)
     return sums, np.sqrt(np.maximum(squares, 1e-9)), starts, ends, sym
@@ -185,7 +190,13 @@ def _vectors(found: list[Counter], landmarks: list[Counter]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, cost: float = 2.0, seed: int = 5) -> Model:
+def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, cost: float = 2.0, seed: int = 5, max_candidates: int = 400, max_clean: int = 6000, seeds_each: int = 2) -> Model:
+    """The model of labelled texts.
+
+    max_candidates: telling tokens that are tried as landmarks. max_clean: clean tokens, at random, that the first fit
+    takes; the hardest token of every clean document joins them each round, whether drawn or not. seeds_each: tokens of a toxic
+    document that it starts with. A token that a clean document holds isn't evidence against a toxic one.
+    """
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), np.zeros(2), -30.0 if not len(y) or not y[0] else 30.0)
     rng = np.random.default_rng(seed)
@@ -201,7 +212,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: i
     # Landmarks: the most telling tokens that aren't near an earlier one, then clean ones at random.
     chosen: list[str] = []
     kept: list[Counter] = []
-    for w in ranked[:400]:
+    for w in ranked[:max_candidates]:
         c = subsequences(w)
         if c and (not kept or _vectors([c], kept).max() / np.sqrt(sum(v * v for v in c.values())) < 0.85):
             chosen.append(w)
@@ -227,8 +238,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: i
             cache.update(zip(new, np.column_stack((z, np.ones(len(new))))))
         return np.array([cache[w] for w in words])
 
-    negatives = set(pool[:6000])
-    positives = {w for words, label, out in zip(each, y, fold) if label and not out for w in sorted(words, key=lambda w: (-odds.get(w, 0) * min(seen[1][w], 20), w))[:2] if odds.get(w, 0) > 2}
+    negatives = set(pool[:max_clean])
+    positives = {w for words, label, out in zip(each, y, fold) if label and not out for w in sorted(words, key=lambda w: (-odds.get(w, 0) * min(seen[1][w], 20), w))[:seeds_each] if odds.get(w, 0) > 2}
     table_ = np.zeros(SYMBOLS**ORDER, np.float32)
     bias = 0.0
     for _ in range(rounds):
@@ -264,8 +275,8 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: i
 def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from at most max_rows labelled documents of each class, of at most max_chars characters."""
     chosen = labelled(labels, label, where, max_rows, id_col)  # at most 2 * max_rows ids, so it may be broadcast
-    rows = docs.select(id_col, text_col).where(F.char_length(text_col) <= max_chars).join(F.broadcast(chosen), id_col)
-    found = rows.groupBy(id_col, "y").agg(F.min(text_col).alias("t")).toPandas().sort_values(id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.char_length("_text") <= max_chars).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
+    found = rows.groupBy("_id", "y").agg(F.min("_text").alias("t")).toPandas().sort_values("_id")
     order = np.random.default_rng(3).permutation(len(found))
     return train([found["t"].iloc[i] for i in order], found["y"].to_numpy()[order])
 
@@ -273,24 +284,21 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic",
 def score_toxicity(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs (or its columns ``keep``) plus score (0 to 1), predicted, and the start and end of its worst token."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "worst_start", "worst_end")]
-    given = text_col if text_col in names else "_text"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = shared.value
-        for b in batches:
+
+        def judge(texts: list) -> list[pa.Array]:
             out = []
-            for t in b[given]:
-                first, second, i, j = worst(m.weights, t.as_py())
+            for t in texts:
+                first, second, i, j = worst(m.weights, t)
                 s = m.score_of(first, second)
                 out.append((s, int(s >= threshold), i if i >= 0 else None, j if i >= 0 else None))
-            cols = list(zip(*out)) if out else [()] * 4
-            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*names, "score", "predicted", "worst_start", "worst_end"])
+            return [pa.array(c, k) for c, k in zip(zip(*out), (pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+
+        return judge
 
-    schema = StructType([*(docs.schema[c] for c in names), *StructType.fromDDL("score double, predicted int, worst_start int, worst_end int").fields])
-    text = [] if given == text_col else [F.col(f"`{text_col}`").alias(given)]
-    return docs.select(*(F.col(f"`{c}`") for c in names), *text).mapInArrow(run, schema)
+    return with_judgements(docs, docs.columns if keep is None else keep, text_col, make, "score double, predicted int, worst_start int, worst_end int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
