@@ -93,14 +93,51 @@ def paragraphs_blank(spark, d):
     return text.paragraphs(blanks, "doc_id")
 
 
+def _asked(orders: DataFrame) -> DataFrame:
+    """(id): every order's key, and for each one an id that no order has."""
+    return orders.select(F.explode(F.array(F.col("o_orderkey"), -1 - F.col("o_orderkey"))).alias("id"))
+
+
 def download_gate(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    asked = spark.range(0, 15010, 7)
+    asked = _asked(orders)
     done = F.when(F.col("o_orderstatus") == "F", gates.COMPLETED).otherwise(F.col("o_orderstatus"))
     joined = asked.join(orders, asked["id"] == orders["o_orderkey"], "left")
     return joined.select("id", gates.download_code(F.col("o_orderkey").isNotNull(), done, F.col("o_orderkey") % 2 == 1).alias("code"))
 
 
+def _order_ledger(spark, d) -> DataFrame:
+    """Events of one scan per order: F completes and O fails an hour and a half later, P stays pending. Updates of unknown scans do nothing."""
+    orders = _t(spark, d, "orders")
+    key, later = F.col("o_orderkey"), F.col("at")
+    none = F.lit(None).cast("string")
+    made = orders.select(
+        key.alias("scan_id"), F.lit(0).alias("seq"), F.lit("Pending").alias("status"), names.upload_name(F.col("o_orderdate"), F.lit(".png"), key.cast("string")).alias("filename"),
+        none.alias("text_content"), none.alias("docx_path"), F.col("o_orderdate").alias("event_ts"), F.lit(0).cast("long").alias("batch_id"),
+    )
+    ok = F.col("o_orderstatus") == "F"
+    changes = orders.where("o_orderstatus IN ('F', 'O')").select(
+        F.explode(F.array(key, -1 - key)).alias("scan_id"),
+        F.when(ok, gates.COMPLETED).otherwise(gates.failed_status(F.col("o_orderpriority"))).alias("status"),
+        F.when(ok, F.col("o_orderpriority")).alias("text_content"),
+        F.when(ok, names.docx_name(key, F.col("o_orderdate"))).alias("docx_path"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 90 MINUTES")).alias("at"),
+    )
+    return made.unionByName(ledger.update_events(changes, made, later, 1))
+
+
+def ledger_response(spark, d):
+    """Insert, update, latest state and JSON of five or seven keys, through the ledger's own functions."""
+    return ledger.status_response(ledger.scans(_order_ledger(spark, d)))
+
+
+def download_listing(spark, d):
+    """Every known and as many unknown scans asked for, against a listing that holds the documents of odd ids."""
+    scans = ledger.scans(_order_ledger(spark, d))
+    files = scans.where("docx_path IS NOT NULL AND id % 2 = 1").select(F.col("docx_path").alias("path"))
+    return gates.download_requests(_asked(_t(spark, d, "orders")), scans, files)
+
+
 def upload_gate(spark, d):
     kind = F.when(F.col("event_type") == "click", "text/plain").when(F.col("event_type") == "view", F.lit("image/png")).otherwise("image/jpeg")
     return _t(spark, d, "events").select("event_id", gates.upload_code(kind, F.col("event_type") != "error", F.col("value") > 10).alias("code"))
@@ -146,12 +183,34 @@ def docx_build(spark, d):
     return built.select("doc_id", count(F.col("docx.value")).alias("paragraphs"))
 
 
+def docx_content(spark, d):
+    """Title, paragraphs and the sizes of their runs (in half points) of the built packages, read back."""
+
+    @F.pandas_udf("struct<title:string,texts:string,runs:int,sizes:string>")
+    def content(raw: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in raw:
+            texts, sizes = docx.read_docx(x)
+            rows.append((texts[0], "\n".join(texts[1:]), len(sizes), ",".join(map(str, sorted(set(sizes))))))
+        return pd.DataFrame(rows, columns=["title", "texts", "runs", "sizes"])
+
+    built = docx.with_docx(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", content(F.col("docx.value")).alias("c"))
+    return built.select("doc_id", "c.title", F.sha2("c.texts", 256).alias("texts_sha256"), "c.runs", "c.sizes")
+
+
 def preprocess_pixels(spark, d):
-    """The cleaning chain on small synthetic pages: the embedding's label sets the side, its values the pixels."""
-    side = (F.col("label") % 4 + 5).cast("int")
-    data = F.unhex(F.array_join(F.transform(F.slice("embedding", F.lit(1), side * side), lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 1000), F.lit(256))), 2, "0")), ""))
-    pages = _t(spark, d, "embeddings").where(F.size("embedding") >= 64).select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
-    out = pages.select("vec_id", images.clean_pixels("pixels").alias("c"))
+    """The cleaning chain on a page of each embedding: pixel (i, j) is the sum of its i-th value and of the j-th of its second half.
+
+    A vector that is null or has fewer than two values gives no page, and the row carries the error.
+    """
+    v = F.col("embedding")
+    side = F.floor(F.size(v) / 2).cast("int")
+    gray = lambda a, b: F.lpad(F.hex(F.pmod(F.floor((a + b) * 1000), F.lit(256))), 2, "0")
+    half = lambda first: F.slice(v, first, F.greatest(side, F.lit(0)))
+    data = F.unhex(F.array_join(F.flatten(F.transform(half(F.lit(1)), lambda a: F.transform(half(F.greatest(side, F.lit(0)) + 1), lambda b: gray(a, b)))), ""))
+    pages = _t(spark, d, "embeddings").select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
+    # Cleaning a page takes far longer than reading its vector, so pages are dealt evenly before it.
+    out = pages.repartition("vec_id").select("vec_id", images.clean_pixels("pixels").alias("c"))
     return out.select("vec_id", F.col("c.value.height").alias("height"), F.col("c.value.width").alias("width"), F.sha2("c.value.data", 256).alias("pixels_sha256"), F.col("c.error").alias("error"))
 
 
@@ -179,7 +238,17 @@ _ALL = {
     "paragraphs": (paragraphs, _PARAGRAPHS.format(text="text", blank=_BLANK)),
     "paragraphs_blank": (paragraphs_blank, _PARAGRAPHS.format(text="replace(text, '. ', '.' || chr(10) || ' ' || chr(10))", blank=_BLANK)),
     "download_gate": (download_gate, """SELECT r.id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 400 WHEN o_orderkey % 2 <> 1 THEN 404 ELSE 200 END AS code
-        FROM (SELECT unnest(range(0, 15010, 7)) AS id) r LEFT JOIN orders ON r.id = o_orderkey"""),
+        FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -1 - o_orderkey FROM orders) r LEFT JOIN orders ON r.id = o_orderkey"""),
+    "ledger_response": (ledger_response, """SELECT o_orderkey AS id, CASE o_orderstatus
+        WHEN 'F' THEN json_object('id', o_orderkey, 'filename', n, 'status', 'Completed', 'created_at', c, 'updated_at', u, 'text_content', o_orderpriority, 'docx_path', p)::varchar
+        WHEN 'O' THEN json_object('id', o_orderkey, 'filename', n, 'status', 'Failed: ' || o_orderpriority, 'created_at', c, 'updated_at', u)::varchar
+        ELSE json_object('id', o_orderkey, 'filename', n, 'status', 'Pending', 'created_at', c, 'updated_at', c)::varchar END AS body
+        FROM (SELECT *, 'upload_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || o_orderkey || '.png' AS n, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c,
+          strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS u, 'outputs/scan_' || o_orderkey || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.docx' AS p FROM orders)"""),
+    "download_listing": (download_listing, """SELECT id, code, CASE WHEN code = 200 THEN 'outputs/' || n END AS path, CASE WHEN code = 200 THEN n END AS download_name FROM (
+        SELECT r.id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 400 WHEN o_orderkey % 2 <> 1 THEN 404 ELSE 200 END AS code,
+          'scan_' || o_orderkey || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.docx' AS n
+        FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -1 - o_orderkey FROM orders) r LEFT JOIN orders ON r.id = o_orderkey)"""),
     "upload_gate": (upload_gate, "SELECT event_id, CASE WHEN event_type = 'click' THEN 400 WHEN event_type = 'error' THEN 500 WHEN value > 10 THEN 201 ELSE 400 END AS code FROM events"),
     "text_fallback": (text_fallback, "SELECT doc_id, coalesce(nullif(text, ''), 'Không có nội dung') AS shown FROM documents"),
     "failed_status": (failed_status, "SELECT event_id, 'Failed: ' || props AS status FROM events WHERE event_type = 'error' AND starts_with('Failed: ' || props, 'Failed')"),
@@ -189,6 +258,8 @@ _ALL = {
     "parse_id": (parse_id, "SELECT page_id, coalesce(try_cast(split_part(url, '/', -1) AS bigint), -1)::bigint AS number FROM pages"),
     "docx_paragraph_count": (docx_paragraph_count, f"SELECT doc_id, (len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')]) + 1)::int AS paragraphs FROM documents"),
     "docx_build": (docx_build, f"SELECT doc_id, (len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')]) + 1)::int AS paragraphs FROM documents"),
+    "docx_content": (docx_content, f"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')] AS a FROM documents)
+        SELECT doc_id, 'OCR Extracted Text' AS title, sha256(array_to_string(a, chr(10))) AS texts_sha256, len(a)::int AS runs, CASE WHEN len(a) > 0 THEN '24' ELSE '' END AS sizes FROM p"""),
     "preprocess_pixels": (preprocess_pixels, None),
 }
 

@@ -21,8 +21,11 @@ from leafpress.sources.images import clean_pixels, content_type, read_decoded, v
 
 
 def accept(uploads: DataFrame) -> DataFrame:
-    """Binary uploads (path, content, ...) plus code; cheap checks come before the content is looked at."""
-    typed = uploads.withColumn("content_type", content_type(F.col("path")))
+    """Binary uploads (path, content, ...) plus code; cheap checks come before the content is looked at.
+
+    The sender's type counts where uploads have a column content_type, else the one that the file's name suggests.
+    """
+    typed = uploads if "content_type" in uploads.columns else uploads.withColumn("content_type", content_type(F.col("path")))
     return typed.withColumn("code", upload_code(F.col("content_type"), F.col("content").isNotNull(), valid_image("content")))
 
 

@@ -38,7 +38,7 @@ def read_decoded(spark: SparkSession, folder: str | list[str]) -> DataFrame:
 def content_type(path: Column) -> Column:
     """The media type that a file name's extension suggests, else application/octet-stream."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
-    kinds = F.create_map(*[F.lit(x) for kv in (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("gif", "image/gif"), ("bmp", "image/bmp")) for x in kv])
+    kinds = F.create_map(*[F.lit(x) for kv in (("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("gif", "image/gif"), ("bmp", "image/bmp"), ("webp", "image/webp"), ("tif", "image/tiff"), ("tiff", "image/tiff")) for x in kv])
     return F.coalesce(F.try_element_at(kinds, ext), F.lit("application/octet-stream"))
 
 
@@ -78,8 +78,21 @@ def _jpeg(raw: bytes) -> bool:
     return False
 
 
+def _tiff(raw: bytes, order: str) -> bool:
+    """The chain of directories lies inside the file, and the first one holds entries."""
+    (at,) = struct.unpack(f"{order}I", raw[4:8])
+    seen: set[int] = set()
+    while at and at not in seen:
+        seen.add(at)
+        (n,) = struct.unpack(f"{order}H", raw[at : at + 2])
+        if not n or at + 2 + 12 * n + 4 > len(raw):
+            return False
+        (at,) = struct.unpack(f"{order}I", raw[at + 2 + 12 * n : at + 6 + 12 * n])
+    return bool(seen) and not at
+
+
 def is_valid_image(raw: bytes | None) -> bool:
-    """Structural check: chunk checksums of PNG, the marker walk of JPEG, headers of GIF and BMP. Never raises."""
+    """Structural check: chunk checksums of PNG, the marker walk of JPEG, the directories of TIFF, headers of GIF, BMP and WebP. Never raises."""
     try:
         if not raw:
             return False
@@ -89,6 +102,10 @@ def is_valid_image(raw: bytes | None) -> bool:
             return _jpeg(raw)
         if raw[:6] in (b"GIF87a", b"GIF89a"):
             return len(raw) > 13 and raw.rstrip(b"\0").endswith(b";")
+        if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+            return raw[12:15] == b"VP8" and 8 + struct.unpack("<I", raw[4:8])[0] <= len(raw)
+        if raw[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff(raw, "<" if raw[:1] == b"I" else ">")
         if raw[:2] == b"BM":
             return len(raw) >= struct.unpack("<I", raw[2:6])[0] > 26
     except (struct.error, IndexError):
@@ -137,7 +154,8 @@ def clean_pixels(pixels: Column | str) -> Column:
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(clean_rows(list(batch[["height", "width", "channels", "data"]].itertuples(index=False, name=None))), columns=["value", "error"])
 
-    return F.pandas_udf(run, CLEANED)(pixels)
+    # Not to be moved into a filter or computed twice.
+    return F.pandas_udf(run, CLEANED).asNondeterministic()(pixels)
 
 
 def encode_png(height: int, width: int, data: bytes) -> bytes:

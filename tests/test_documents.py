@@ -1,9 +1,11 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafpress.functions import kernels
 from leafpress.operators import ledger
 from leafpress.operators.recognize import Embedded
 from leafpress.plans.digitize import process_batch
@@ -129,3 +131,75 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         process_batch(ups, book, str(tmp_path / "out"), 0, "embedded", Embedded).collect()
         assert book.events().count() == 2
     assert book.scans().first().status == "Completed"
+
+
+def test_webp_and_tiff_are_known_and_broken_ones_refused():
+    import struct
+
+    webp = b"RIFF" + struct.pack("<I", 12) + b"WEBPVP8 " + b"\0" * 4
+    tiff = b"II*\0" + struct.pack("<IH", 8, 1) + b"\0" * 12 + struct.pack("<I", 0)
+    big = b"MM\0*" + struct.pack(">IH", 8, 1) + b"\0" * 12 + struct.pack(">I", 0)
+    loop = tiff[:-4] + struct.pack("<I", 8)
+    assert all(map(images.is_valid_image, (webp, tiff, big)))
+    assert not any(map(images.is_valid_image, (webp[:14], b"RIFF" + webp[4:8] + b"WAVEfmt ", tiff[:-1], tiff[:6], loop, b"II*\0" + b"\0" * 4)))
+
+
+def test_the_senders_type_counts(spark):
+    from leafpress.plans.digitize import accept
+
+    rows = [("a.png", bytearray(GOOD), "image/png"), ("b.bin", bytearray(GOOD), "image/png"), ("c.png", bytearray(GOOD), "text/plain"), ("d.png", bytearray(GOOD), None)]
+    df = spark.createDataFrame(rows, "path string, content binary, content_type string")
+    assert [r.code for r in accept(df).orderBy("path").collect()] == [201, 201, 400, 400]
+    assert [r.code for r in accept(df.drop("content_type")).orderBy("path").collect()] == [201, 400, 201, 201]
+
+
+def scalar_blur(g):
+    h, w = g.shape
+    mirror = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    t = kernels.BLUR_TAPS
+    out = [[sum(t[a + 2] * t[b + 2] * int(g[mirror(y + a, h)][mirror(x + b, w)]) for a in range(-2, 3) for b in range(-2, 3)) for x in range(w)] for y in range(h)]
+    return np.array([[(v + 128) // 256 for v in row] for row in out])
+
+
+def scalar_threshold(g):
+    h, w = g.shape
+    r = kernels.THRESHOLD_BLOCK // 2
+    k = [np.exp(-(i**2) / 8.0) for i in range(-r, r + 1)]
+    norm = sum(k) ** 2
+    near = lambda i, n: min(max(i, 0), n - 1)
+    out = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            mean = sum(k[a + r] * k[b + r] * int(g[near(y + a, h)][near(x + b, w)]) for a in range(-r, r + 1) for b in range(-r, r + 1)) / norm
+            out[y, x] = 255 if int(g[y][x]) - int(mean + 0.5) > -kernels.THRESHOLD_OFFSET else 0
+    return out
+
+
+def scalar_denoise(g):
+    h, w = g.shape
+    t, s = kernels.TEMPLATE // 2, kernels.SEARCH // 2
+    wide = np.pad(g.astype(float), s + t, "symmetric")
+    out = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            cy, cx = y + s + t, x + s + t
+            home = wide[cy - t : cy + t + 1, cx - t : cx + t + 1]
+            total = weight = 0.0
+            for dy in range(-s, s + 1):
+                for dx in range(-s, s + 1):
+                    away = wide[cy + dy - t : cy + dy + t + 1, cx + dx - t : cx + dx + t + 1]
+                    like = np.exp(-((home - away) ** 2).mean() / kernels.DENOISE_STRENGTH**2)
+                    total += like * wide[cy + dy, cx + dx]
+                    weight += like
+            out[y, x] = int(total / weight + 0.5)
+    return out
+
+
+def test_kernels_equal_their_scalar_twins():
+    rng = np.random.default_rng(4)
+    page = rng.integers(0, 256, (24, 19)).astype(np.uint8)
+    page[5:12, 4:9] = 30
+    assert (kernels.blur(page) == scalar_blur(page)).all()
+    assert (kernels.adaptive_threshold(page) == scalar_threshold(page)).all()
+    two = kernels.adaptive_threshold(kernels.blur(page))
+    assert (kernels.denoise(two) == scalar_denoise(two)).all()
