@@ -57,6 +57,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for a table that its maker discards."""
+    with_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/leafpress-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder whose table nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fitted(small: DataFrame) -> DataFrame:
     """A stored side of a join, of narrow rows: broadcast if it has at most BROADCAST_ROWS, else hashed where it lies."""
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("shuffle_hash")
