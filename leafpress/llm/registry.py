@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from leafpress.llm import ann, bpe, chat, elkan, fingerprint, langid, line_dedup, mixing, near_dup, quality, toxicity, url_filter
+from leafpress.llm import ann, bpe, chat, elkan, fingerprint, langid, line_dedup, mixing, near_dup, quality, repair, toxicity, url_filter
 
 _MODULES = (
     ("op1_winnowing", fingerprint.op1_winnowing, None),
@@ -17,6 +17,7 @@ _MODULES = (
     ("op9_cube_mixing", mixing.op9_cube_mixing, None),
     ("op10_line_dedup", line_dedup.op10_line_dedup, line_dedup.ORACLE_SQL),
     ("op11_chat_format", chat.op11_chat_format, chat.ORACLE_SQL),
+    ("op12_structure_repair", repair.op12_structure_repair, repair.ORACLE_SQL),
     ("op13_elkan_clusters", elkan.op13_elkan_clusters, elkan.ORACLE_SQL),
 )
 
