@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress.functions import names, text
-from leafpress.operators import gates, ledger
+from leafpress.operators import gates, ledger, numbering
+from leafpress.session import scratch, written
 from leafpress.sources import docx, images
+from leafpress.streaming import ledger_stream
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +21,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's paragraphs as the text of a completed scan, through the ledger's events and view."""
     docs = _t(spark, sf_dir, "documents")
     clock = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    none = F.lit(None).cast("string")
-    made = docs.select(
-        F.col("doc_id").alias("scan_id"), F.lit(0).alias("seq"), F.lit("Pending").alias("status"), F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename"),
-        none.alias("text_content"), none.alias("docx_path"), clock.alias("event_ts"), F.lit(0).cast("long").alias("batch_id"),
-    )
+    made = ledger.create_events(docs.select(F.col("doc_id").alias("scan_id"), F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("filename")), clock, 0)
     done = docs.select(F.col("doc_id").alias("scan_id"), F.lit(gates.COMPLETED).alias("status"), F.array_join(text.paragraph_array(F.col("text")), "\n").alias("text_content"), names.docx_name(F.col("doc_id"), clock).alias("docx_path"))
-    return ledger.scans(made.unionByName(ledger.update_events(done, made, clock, 1)))
+    return ledger.scans(made.unionByName(ledger.update_events(done, clock, 1)))
 
 
 def content_type_gate(spark, d):
@@ -106,15 +104,55 @@ def download_gate(spark, d):
     return joined.select("id", gates.download_code(F.col("o_orderkey").isNotNull(), done, F.col("o_orderkey") % 2 == 1).alias("code"))
 
 
+def ledger_replay(spark, d):
+    """Events replayed in ten batches of time: a user's first event creates a scan, each batch's last event of a user updates it; compacted after every third.
+
+    The ledger's folder lies in the shared scratch folder.
+    """
+    events = _t(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    span = events.agg(F.min("ts").cast("timestamp").cast("double").alias("low"), F.max("ts").cast("timestamp").cast("double").alias("high")).first()
+    if span.low is None:
+        return spark.createDataFrame([], "user_id long, event_id long, status string, first_id long")
+    number = F.least(F.lit(9), F.floor((F.col("ts").cast("timestamp").cast("double") - span.low) / max(span.high - span.low, 1e-6) * 10)).cast("int")
+    dealt = written(events.withColumn("number", number))
+    firsts = written(dealt.groupBy("user_id").agg(F.min_by(F.struct("number", "event_id", "ts"), F.struct("ts", "event_id")).alias("f")).select("user_id", "f.*"))
+    book = ledger.Ledger(spark, scratch(spark), bucket_size=64, compact_after=None)
+    for n in range(10):
+        new = firsts.where(F.col("number") == n).select(F.col("user_id").alias("scan_id"), F.col("event_id").cast("string").alias("filename"), "ts")
+        book.create(new, 2 * n, F.col("ts"))
+        last = ledger.latest(dealt.where(F.col("number") == n), "user_id", ("ts", "event_id"), ("event_id", "event_type", "ts"))
+        book.update(last.select(F.col("user_id").alias("scan_id"), F.col("event_type").alias("status"), F.col("event_id").cast("string").alias("text_content"), "ts"), 2 * n + 1, F.col("ts"))
+        if n % 3 == 2:
+            book.compact()
+    return book.scans(None).select(F.col("id").alias("user_id"), F.col("text_content").cast("long").alias("event_id"), "status", F.col("filename").cast("long").alias("first_id"))
+
+
+def stream_ledger(spark, d):
+    """Orders as a stream of files into the ledger: created and answered batch by batch, stopped by an error, restarted, and its last batch replayed.
+
+    Files reach batches in no fixed order, so the ids are shown by what they must be: 1, 2, ... without a gap.
+    """
+    folder = scratch(spark)
+    orders = _t(spark, d, "orders")
+    orders.repartition(12, "o_orderkey").write.parquet(f"{folder}/landing")
+    book = ledger.Ledger(spark, f"{folder}/ledger", compact_after=6)
+    ledger_stream.replayed(spark, f"{folder}/landing", orders.schema, book, f"{folder}/checkpoint", files=3)
+    state = book.scans(None)
+    ids = state.agg((F.count("*") == F.count_distinct("id")).alias("distinct"), ((F.min("id") == 1) & (F.max("id") == F.count("*"))).alias("dense"))
+    return state.crossJoin(F.broadcast(ids)).select("filename", "status", "created_at", "updated_at", "text_content", (F.col("distinct") & F.col("dense")).alias("dense_ids"))
+
+
+def dense_ids(spark, d):
+    lines = _t(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    return numbering.dense_ids(lines, ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"))
+
+
 def _order_ledger(spark, d) -> DataFrame:
     """Events of one scan per order: F completes and O fails an hour and a half later, P stays pending. Updates of unknown scans do nothing."""
     orders = _t(spark, d, "orders")
     key, later = F.col("o_orderkey"), F.col("at")
-    none = F.lit(None).cast("string")
-    made = orders.select(
-        key.alias("scan_id"), F.lit(0).alias("seq"), F.lit("Pending").alias("status"), names.upload_name(F.col("o_orderdate"), F.lit(".png"), key.cast("string")).alias("filename"),
-        none.alias("text_content"), none.alias("docx_path"), F.col("o_orderdate").alias("event_ts"), F.lit(0).cast("long").alias("batch_id"),
-    )
+    uploads = orders.select(key.alias("scan_id"), names.upload_name(F.col("o_orderdate"), F.lit(".png"), key.cast("string")).alias("filename"), "o_orderdate")
+    made = ledger.create_events(uploads, F.col("o_orderdate"), 0)
     ok = F.col("o_orderstatus") == "F"
     changes = orders.where("o_orderstatus IN ('F', 'O')").select(
         F.explode(F.array(key, -1 - key)).alias("scan_id"),
@@ -123,7 +161,7 @@ def _order_ledger(spark, d) -> DataFrame:
         F.when(ok, names.docx_name(key, F.col("o_orderdate"))).alias("docx_path"),
         (F.col("o_orderdate") + F.expr("INTERVAL 90 MINUTES")).alias("at"),
     )
-    return made.unionByName(ledger.update_events(changes, made, later, 1))
+    return made.unionByName(ledger.update_events(changes, later, 1))
 
 
 def ledger_response(spark, d):
@@ -261,6 +299,13 @@ _ALL = {
     "docx_content": (docx_content, f"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')] AS a FROM documents)
         SELECT doc_id, 'OCR Extracted Text' AS title, sha256(array_to_string(a, chr(10))) AS texts_sha256, len(a)::int AS runs, CASE WHEN len(a) > 0 THEN '24' ELSE '' END AS sizes FROM p"""),
     "preprocess_pixels": (preprocess_pixels, None),
+    "ledger_replay": (ledger_replay, """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, arg_min(event_id, (ts, event_id)) AS first_id
+        FROM events GROUP BY user_id"""),
+    "stream_ledger": (stream_ledger, """SELECT 'order_' || o_orderkey || '.png' AS filename, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Failed: ' || o_orderpriority ELSE 'Pending' END AS status,
+        o_orderdate AS created_at, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL 90 MINUTE ELSE o_orderdate END AS updated_at,
+        CASE o_orderstatus WHEN 'F' THEN o_orderpriority END AS text_content, true AS dense_ids FROM orders"""),
+    "dense_ids": (dense_ids, """SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey,
+        row_number() OVER (ORDER BY l_shipdate NULLS FIRST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST) AS id FROM lineitem"""),
 }
 
 

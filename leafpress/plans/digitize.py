@@ -16,6 +16,7 @@ from leafpress.functions.text import fold_fragments
 from leafpress.operators.gates import COMPLETED, failed_status, upload_code
 from leafpress.operators.ledger import Ledger
 from leafpress.operators.recognize import EasyOcr, Recognizer, recognizer_column
+from leafpress.session import written
 from leafpress.sources.docx import with_docx, write_files
 from leafpress.sources.images import clean_pixels, content_type, read_decoded, valid_image
 
@@ -62,10 +63,11 @@ def process_batch(uploads: DataFrame, ledger: Ledger, out_folder: str, batch_id:
     partitions overwritten, so a replay changes nothing.
     """
     spark = uploads.sparkSession
-    judged = accept(uploads)
+    # Each file is read and judged once; what follows reads these slim rows.
+    judged = written(accept(uploads).select("path", "modificationTime", "code"))
     good = judged.where("code = 201").select(F.col("path").alias("filename"), "modificationTime")
     ledger.create(good, 2 * batch_id, order=("modificationTime", "filename"))
-    pending = ledger.events().where((F.col("batch_id") == 2 * batch_id) & (F.col("seq") == 0)).select("scan_id", "filename", "event_ts")
+    pending = ledger.batch(2 * batch_id).select("scan_id", "filename", "event_ts")
     paths = [r["filename"] for r in pending.select("filename").collect()]  # one micro-batch of files, as listed by the source
     if paths:
         pages = read_decoded(spark, paths)
