@@ -74,6 +74,11 @@ def denoise(gray: np.ndarray, strength: float = DENOISE_STRENGTH) -> np.ndarray:
     return np.clip(np.floor(total / weight + 0.5), 0, 255).astype(np.uint8)
 
 
+def clean_gray(gray: np.ndarray) -> np.ndarray:
+    """The chain after gray: blur, threshold, denoise."""
+    return denoise(adaptive_threshold(blur(gray)))
+
+
 def clean(pixels: np.ndarray) -> np.ndarray:
     """The whole chain, fused: gray, blur, threshold, denoise. (..., height, width, channels) to (..., height, width)."""
-    return denoise(adaptive_threshold(blur(to_gray(pixels))))
+    return clean_gray(to_gray(pixels))

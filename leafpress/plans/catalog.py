@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leafpress.functions import names, text
 from leafpress.operators import gates, ledger, numbering
 from leafpress.session import scratch, written
-from leafpress.sources import docx, images
+from leafpress.sources import docx, images, sink, tiles
 from leafpress.streaming import ledger_stream
 
 
@@ -252,6 +252,46 @@ def preprocess_pixels(spark, d):
     return out.select("vec_id", F.col("c.value.height").alias("height"), F.col("c.value.width").alias("width"), F.sha2("c.value.data", 256).alias("pixels_sha256"), F.col("c.error").alias("error"))
 
 
+def download_content(spark, d):
+    """Every document's package written as a file, all or nothing, and downloaded: the name, and what the file holds."""
+
+    @F.pandas_udf("struct<title:string,texts:string>")
+    def content(raw: pd.Series) -> pd.DataFrame:
+        read = [docx.read_docx(x)[0] for x in raw]
+        return pd.DataFrame([(t[0], "\n".join(t[1:])) for t in read], columns=["title", "texts"])
+
+    folder = scratch(spark)
+    built = docx.with_docx(_t(spark, d, "documents").select("doc_id", "text"))
+    name = F.concat(F.lit("outputs/scan_"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    sink.write_all(built.select(name.alias("path"), F.col("docx.value").alias("value")), folder)
+    files = docx.read_downloads(spark, f"{folder}/outputs")
+    number = F.regexp_extract("download_name", r"_(-?\d+)\.docx$", 1).cast("long")
+    return files.select(number.alias("doc_id"), "download_name", content("content").alias("c")).select("doc_id", "download_name", "c.title", F.sha2("c.texts", 256).alias("texts_sha256"))
+
+
+def _stacked(spark, d) -> DataFrame:
+    """Pages of up to 1,024 rows of 64 BGR pixels: row y is the y-th vector of the page by vec_id; vectors of another length, or with a null, are left out."""
+    byte = lambda v: F.lpad(F.hex(F.pmod(v, F.lit(256))), 2, "0")
+    kept = _t(spark, d, "embeddings").where((F.size("embedding") == 64) & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e)))
+    line = F.array_join(F.transform("embedding", lambda e: F.concat(*(byte(f(F.floor(e.cast("double") * 1000).cast("long"))) for f in (lambda v: v, lambda v: F.floor(v / 7).cast("long"), lambda v: 3 * v + 11)))), "")
+    rows = kept.select(F.floor(F.col("vec_id") / 1024).cast("long").alias("id"), "vec_id", line.alias("line"))
+    pages = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "line"))).alias("lines"))
+    return pages.select("id", F.size("lines").alias("height"), F.lit(64).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(F.transform("lines", lambda r: r["line"]), "")).alias("data"))
+
+
+def gray_blur_pages(spark, d):
+    """Gray and blur, in tiles, of stacked vectors."""
+    return tiles.tiled(_stacked(spark, d), "blur", 48).select(F.col("id").alias("page"), "height", "width", F.sha2("data", 256).alias("pixels_sha256"))
+
+
+def clean_in_tiles(spark, d):
+    """The whole chain on stacked vectors, in tiles, beside the untiled one."""
+    pages = written(_stacked(spark, d))
+    whole = pages.repartition("id").select("id", images.clean_pixels(F.struct("height", "width", "channels", "data")).alias("c")).select("id", F.sha2("c.value.data", 256).alias("whole"))
+    made = tiles.tiled(pages, "clean", 48).select("id", "height", "width", F.sha2("data", 256).alias("pixels_sha256"))
+    return made.join(whole, "id").select(F.col("id").alias("page"), "height", "width", "pixels_sha256", (F.col("pixels_sha256") == F.col("whole")).alias("as_whole"))
+
+
 _UPLOAD = "'upload_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png'"
 _BLANK = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _EXT = r"regexp_extract(url, '[^./][^/]*(\.[^./]*)\z', 1)"
@@ -299,6 +339,19 @@ _ALL = {
     "docx_content": (docx_content, f"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')] AS a FROM documents)
         SELECT doc_id, 'OCR Extracted Text' AS title, sha256(array_to_string(a, chr(10))) AS texts_sha256, len(a)::int AS runs, CASE WHEN len(a) > 0 THEN '24' ELSE '' END AS sizes FROM p"""),
     "preprocess_pixels": (preprocess_pixels, None),
+    "clean_in_tiles": (clean_in_tiles, None),
+    "download_content": (download_content, f"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')] AS a FROM documents)
+        SELECT doc_id, 'scan_' || doc_id || '.docx' AS download_name, 'OCR Extracted Text' AS title, sha256(array_to_string(a, chr(10))) AS texts_sha256 FROM p"""),
+    "gray_blur_pages": (gray_blur_pages, """WITH v AS (SELECT vec_id // 1024 AS page, row_number() OVER (PARTITION BY vec_id // 1024 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings
+          WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
+        p AS (SELECT page, y, unnest(range(64)) AS x, unnest([floor(e::DOUBLE * 1000)::BIGINT FOR e IN embedding]) AS v FROM v),
+        b AS (SELECT page, y, x, ((v % 256) + 256) % 256 AS b, ((floor(v / 7)::BIGINT % 256) + 256) % 256 AS g, (((3 * v + 11) % 256) + 256) % 256 AS r FROM p),
+        gray AS MATERIALIZED (SELECT page, y, x, (9798 * r + 19235 * g + 3735 * b + 16384) >> 15 AS v, count(*) OVER (PARTITION BY page, x) AS h FROM b),
+        taps(k, w) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
+        a AS MATERIALIZED (SELECT g.page, g.y, g.x, g.h, sum(w * s.v) AS v FROM gray g, taps JOIN gray s ON s.page = g.page AND s.y = g.y AND s.x = CASE WHEN g.x + k < 0 THEN -(g.x + k) WHEN g.x + k > 63 THEN 126 - g.x - k ELSE g.x + k END GROUP BY ALL),
+        c AS (SELECT g.page, g.y, g.x, g.h, ((sum(w * s.v) + 128) // 256)::INT AS v FROM a g, taps JOIN a s ON s.page = g.page AND s.x = g.x
+          AND s.y = CASE WHEN g.h < 3 THEN greatest(0, least(g.h - 1, g.y + k)) WHEN g.y + k < 0 THEN -(g.y + k) WHEN g.y + k >= g.h THEN 2 * g.h - 2 - g.y - k ELSE g.y + k END GROUP BY ALL)
+        SELECT page, max(h)::INT AS height, 64 AS width, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY y, x))) AS pixels_sha256 FROM c GROUP BY page"""),
     "ledger_replay": (ledger_replay, """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, arg_min(event_id, (ts, event_id)) AS first_id
         FROM events GROUP BY user_id"""),
     "stream_ledger": (stream_ledger, """SELECT 'order_' || o_orderkey || '.png' AS filename, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Failed: ' || o_orderpriority ELSE 'Pending' END AS status,

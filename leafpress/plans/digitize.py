@@ -18,7 +18,8 @@ from leafpress.operators.ledger import Ledger
 from leafpress.operators.recognize import EasyOcr, Recognizer, recognizer_column
 from leafpress.session import written
 from leafpress.sources.docx import with_docx, write_files
-from leafpress.sources.images import clean_pixels, content_type, read_decoded, valid_image
+from leafpress.sources.images import content_type, read_decoded, valid_image
+from leafpress.sources.tiles import cleaned_pages
 
 
 def accept(uploads: DataFrame) -> DataFrame:
@@ -31,9 +32,8 @@ def accept(uploads: DataFrame) -> DataFrame:
 
 
 def recognized(pages: DataFrame, name: str = "easyocr", make: Callable[[], Recognizer] = EasyOcr) -> DataFrame:
-    """pages (scan_id, pixels) -> (scan_id, text, error)."""
-    cleaned = pages.withColumn("clean", clean_pixels("pixels"))
-    seen = cleaned.withColumn("found", recognizer_column(F.col("clean.value"), name, make))
+    """pages (scan_id, pixels) -> (scan_id, text, error); large pages are cleaned in tiles."""
+    seen = cleaned_pages(pages).withColumn("found", recognizer_column(F.col("clean.value"), name, make))
     error = F.coalesce("clean.error", "found.error")
     return seen.select("scan_id", F.when(error.isNull(), fold_fragments(F.col("found.value"))).alias("text"), error.alias("error"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress.functions.text import paragraph_array
+from leafpress.sources.sink import opened, put_whole, qualified
 
 #: The title, the run size in half points, the media type.
 TITLE = "OCR Extracted Text"
@@ -90,28 +91,21 @@ def with_docx(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def write_files(df: DataFrame, root: str, path_col: str = "docx_path", value_col: str = "value") -> DataFrame:
-    """Writes each binary value to root/path through pyarrow's file systems; returns (path, bytes, error).
+    """Writes each binary value to root/path; returns (path, bytes, error), so that one bad file is that scan's failure. ``sink.write_all`` writes all or nothing.
 
-    A retried task writes the same bytes again. Nulls are passed by.
+    A root without a scheme lies on Hadoop's default file system. A file appears whole, by a rename; a retried task writes the same bytes again. Nulls are passed by.
     """
+    target = qualified(df.sparkSession, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        if "://" in root or root.startswith("file:"):
-            system, base = fs.FileSystem.from_uri(root)
-        else:
-            system, base = fs.LocalFileSystem(), root
+        system, base = opened(target)
         for b in batches:
             rows = []
             for path, value in zip(b["path"], b["value"]):
                 if value is None:
                     continue
                 try:
-                    full = f"{base}/{path}"
-                    system.create_dir(full.rpartition("/")[0], recursive=True)
-                    with system.open_output_stream(full) as out:
-                        out.write(value)
+                    put_whole(system, f"{base}/{path}", value)
                     rows.append((path, len(value), None))
                 except Exception as e:  # noqa: BLE001
                     rows.append((path, 0, str(e)))
