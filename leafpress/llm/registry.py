@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from leafpress.llm import ann, bpe, chat, elkan, fingerprint, langid, line_dedup, mixing, near_dup, quality, repair, toxicity, url_filter
 
 _MODULES = (
@@ -23,9 +22,8 @@ _MODULES = (
 
 
 def queries() -> dict:
-    return {name: query for name, query, _ in _MODULES} | {"pipeline": corpus_pipeline.run}
+    return {name: query for name, query, _ in _MODULES}
 
 
 def oracle_sql() -> dict:
-    out = {name: sql for name, _, sql in _MODULES if sql}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: sql for name, _, sql in _MODULES if sql}
