@@ -19,7 +19,7 @@ calibrate the score.
 
 Defined results: null and empty texts, and texts without a token of three letters, get the
 lowest score. Labels are read as in the quality classifier. With one class only, that
-class is predicted. Repeated rows are scored each, an empty table gives no rows, a text of any length is scored
+class is predicted; if no training text holds a token of three letters, every text gets the share of toxic ones. Repeated rows are scored each, an empty table gives no rows, a text of any length is scored
 whole. Columns of the input pass through whatever their names; those named like a result are replaced.
 """
 
@@ -97,12 +97,18 @@ def subsequences(token: str | bytes) -> Counter:
     return found
 
 
-@lru_cache(maxsize=1 << 17)
-def norm(token: bytes) -> float:
-    """Root of a token's kernel value with itself."""
+def _norm(token: bytes) -> float:
     return float(np.sqrt(sum(v * v for v in subsequences(token).values()) or 1.0))
 
 
+_kept_norm = lru_cache(maxsize=1 << 17)(_norm)
+
+
+def norm(token: bytes) -> float:
+    """Root of a token's kernel value with itself. Those of short tokens are kept, 8 MB at most; long ones hardly come again."""
+    return _kept_norm(token) if len(token) <= 64 else _norm(token)
+
+
 def bounds(weights: np.ndarray, text: str) -> tuple:
     """Of each token with three letters or more: kernel sum, lower bound of its norm, start, end; and all symbols."""
     sym, starts, ends = tokens(text)
@@ -224,6 +230,9 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: i
     for w in pool[: landmarks - len(chosen)]:
         if c := subsequences(w):
             kept.append(c)
+    if not kept:  # no training text holds a token
+        share = float(np.mean(y))
+        return Model(np.zeros(SYMBOLS**ORDER, np.float32), np.zeros(2), float(np.log(share / (1 - share))))
     k_mm = _vectors(kept, kept) / np.sqrt([sum(v * v for v in c.values()) for c in kept])[:, None]
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = values > 1e-6
