@@ -84,10 +84,10 @@ def restored(names: Sequence[str]) -> list[Column]:
     return [F.col(f"_in{k}").alias(c) for k, c in enumerate(names)]
 
 
-def with_judgements(docs: DataFrame, names: Sequence[str], text_col: str, make: Callable[[], Callable[[list], list[pa.Array]]], results: str) -> DataFrame:
+def with_judgements(docs: DataFrame, names: Sequence[str], text_col: str, make: Callable[[], Callable[[list], list[pa.Array]]], results: str, slice_bytes: int = tk.SLICE) -> DataFrame:
     """Columns ``names`` of docs plus ``results`` (DDL), which make()(texts) gives as arrays for some texts at a time.
 
-    Texts become Python strings in slices of bounded size, whatever a batch holds.
+    Texts become Python strings in slices of ``slice_bytes``, or one longer text, whatever a batch holds.
     """
     added = StructType.fromDDL(results)
     names = [c for c in names if c not in added.fieldNames()]
@@ -97,7 +97,7 @@ def with_judgements(docs: DataFrame, names: Sequence[str], text_col: str, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
         for batch in batches:
-            for part, texts in tk.slices(batch, "_text"):
+            for part, texts in tk.slices(batch, "_text", slice_bytes):
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in own), *judge(texts)], [*own, *added.fieldNames()])
 
     fed = docs.select(*aside(others), F.col(f"`{text_col}`").alias("_text"))

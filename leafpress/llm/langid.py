@@ -177,12 +177,16 @@ def label_words(model: Model, texts: list[str], penalty: float = SWITCH) -> tupl
     return doc, lo, hi, letters, label, held, total
 
 
+#: Bytes of text that are labelled at a time: Viterbi takes a step for all documents of a slice together.
+SLICE = 1 << 20
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH, with_spans: bool = True, keep: Sequence[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) plus lang_pred, lang_score, n_spans and lang_spans (start, end,
     lang; null unless with_spans)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     results = "lang_pred string, lang_score double, n_spans int, lang_spans array<struct<start:int,end:int,lang:string>>"
-    return with_judgements(docs, docs.columns if keep is None else keep, text_col, lambda: partial(_judged, shared.value, penalty=penalty, with_spans=with_spans), results)
+    return with_judgements(docs, docs.columns if keep is None else keep, text_col, lambda: partial(_judged, shared.value, penalty=penalty, with_spans=with_spans), results, SLICE)
 
 
 def _judged(m: Model, texts: list, *, penalty: float, with_spans: bool) -> list[pa.Array]:
