@@ -40,6 +40,8 @@ from leafpress.llm.common import fitted, stored, table
 TREES, BITS = 24, 64
 VISITS = 1.0
 BLOCK, QUERY_SLICE = 8192, 256
+#: A block of long vectors has fewer rows, so that a task holds no more than this of them.
+BLOCK_BYTES = 64 << 20
 #: Candidates that the trees together hold in the first step, for each neighbour asked for; the second step has GROWTH times as many at least.
 START, GROWTH = 16, 1.5
 #: A query is answered by the first pass if at most this share of its best came from the second step alone.
@@ -176,7 +178,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     slim = slim.withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
     counts = slim.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
     # One row for each length of vectors.
-    plan = stored(counts.where("q > 0").select("dim", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    plan = stored(counts.where("q > 0").select("dim", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / (8 * F.col("dim")))))).cast("int").alias("blocks")))
     dealt = slim.join(fitted(plan), "dim").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int"))
     data = dealt.select("dim", "b", F.lit(0).alias("kind"), "vec_id", "v")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

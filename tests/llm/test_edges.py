@@ -146,3 +146,35 @@ def test_op8_and_op2_and_op6_and_op9_on_whole_tables(spark, sf):
         taken[r.source] += r.taken
         goal[r.source] = r.target
     assert len(mixed) == len(texts) and all(abs(taken[s] - g) <= 0.01 * g + 5 for s, g in goal.items())
+
+
+def test_op8_without_tokens_or_labels_of_a_class(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "1 2 3"), (4, "no"), (5, "some words to score")], "doc_id long, text string")
+    labels = lambda toxic: spark.createDataFrame([(k, t) for k, t in toxic.items()], "doc_id long, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 5"), labels({1: 0, 2: 1, 3: 1, 4: 0}), F.lit(True))
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(scores) == 5 and len(set(scores.values())) == 1 and 0 < scores[5] < 1
+    for kind in (0, 1):  # one class
+        model = toxicity.fit(docs, labels({5: kind}), F.lit(True))
+        assert {r.predicted for r in toxicity.score_toxicity(docs, model).collect()} == {kind}
+    empty = toxicity.fit(docs.where("false"), labels({5: 1}), F.lit(True))
+    assert toxicity.score_toxicity(docs.where("false"), empty).count() == 0
+
+
+def test_op8_long_tokens_are_not_kept():
+    toxicity._kept_norm.cache_clear()
+    long = bytes([1, 2, 3] * 50)
+    assert toxicity.norm(long) == toxicity._norm(long) and toxicity._kept_norm.cache_info().currsize == 0
+    assert toxicity.norm(long[:30]) == toxicity._norm(long[:30]) and toxicity._kept_norm.cache_info().currsize == 1
+
+
+def test_op4_long_vectors_make_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8 * 16 * 40)  # 40 rows of 16 components
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((150, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 30 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [int(i) for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:5] for q in range(0, 150, 30)}
+    assert np.mean([len(set(got[q]) & set(want[q])) for q in want]) >= 4.5
