@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress.functions import names, text
 from leafpress.operators import gates, ledger, numbering
+from leafpress.plans import statements
 from leafpress.session import scratch, written
 from leafpress.sources import docx, images, sink, tiles
-from leafpress.streaming import ledger_stream
+from leafpress.streaming import ledger_stream, poll
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +145,37 @@ def stream_ledger(spark, d):
     return state.crossJoin(F.broadcast(ids)).select("filename", "status", "created_at", "updated_at", "text_content", (F.col("distinct") & F.col("dense")).alias("dense_ids"))
 
 
+def poll_outcomes(spark, d):
+    """A scan for each user and day, polled until it completes (purchase), fails (error) or has been silent for six hours; the stream's last hours stay open."""
+    folder = scratch(spark)
+    events = _t(spark, d, "events")
+    poll.in_time_order(events, "ts", f"{folder}/landing", 5)
+
+    def updates(stream: DataFrame) -> DataFrame:
+        kind = F.col("event_type")
+        status = F.when(kind == "purchase", gates.COMPLETED).when(kind == "error", gates.failed_status(F.lit("error"))).otherwise("Pending")
+        return stream.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("scan_id"), status.alias("status"), "ts")
+
+    return poll.polled(spark, f"{folder}/landing", events.schema, updates, 6 * 3_600_000, folder)
+
+
+def sql_statements(spark, d):
+    """A scan for each order through SQL text with named parameters: inserted, answered, and selected."""
+    orders = _t(spark, d, "orders")
+    at = F.col("o_orderdate").cast("timestamp")
+    table = statements.Statements(spark, f"scan_events_{uuid.uuid4().hex}", scratch(spark))
+    orders.select(F.col("o_orderkey").alias("scan_id"), F.concat(F.lit("it's "), F.col("o_orderkey").cast("string")).alias("filename"), at.alias("at")).createOrReplaceTempView("new_uploads")
+    table.insert("new_uploads")
+    ok = F.col("o_orderstatus") == "F"
+    ended = orders.where("o_orderstatus IN ('F', 'O')").select(
+        F.explode(F.array(F.col("o_orderkey"), -1 - F.col("o_orderkey"))).alias("scan_id"), F.when(ok, gates.COMPLETED).otherwise(gates.failed_status(F.col("o_orderpriority"))).alias("status"),
+        F.when(ok, F.col("o_orderpriority")).alias("text_content"), F.lit(None).cast("string").alias("docx_path"), (at + F.expr("INTERVAL 90 MINUTES")).alias("at"),
+    )
+    ended.createOrReplaceTempView("new_changes")
+    table.update("new_changes")
+    return table.select().drop("docx_path")
+
+
 def dense_ids(spark, d):
     lines = _t(spark, d, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     return numbering.dense_ids(lines, ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"))
@@ -357,6 +391,13 @@ _ALL = {
     "stream_ledger": (stream_ledger, """SELECT 'order_' || o_orderkey || '.png' AS filename, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Failed: ' || o_orderpriority ELSE 'Pending' END AS status,
         o_orderdate AS created_at, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL 90 MINUTE ELSE o_orderdate END AS updated_at,
         CASE o_orderstatus WHEN 'F' THEN o_orderpriority END AS text_content, true AS dense_ids FROM orders"""),
+    "poll_outcomes": (poll_outcomes, """WITH u AS (SELECT user_id * 100 + day(ts) AS scan_id, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'error' THEN 'Failed: error' ELSE 'Pending' END AS status, ts FROM events),
+        s AS (SELECT *, row_number() OVER w AS n, lead(ts) OVER w AS next, max(ts) OVER () AS top FROM u WINDOW w AS (PARTITION BY scan_id ORDER BY ts, status)),
+        e AS (SELECT scan_id, n, ts, status, CASE WHEN status <> 'Pending' THEN status WHEN next > ts + INTERVAL 6 HOUR THEN 'Stalled'
+          WHEN next IS NULL AND epoch_ms(ts) + 21600000 < epoch_ms(top) THEN 'Stalled' END AS outcome FROM s)
+        SELECT scan_id, arg_min(outcome, n) AS outcome, min(n) AS polls, arg_min(CASE outcome WHEN 'Stalled' THEN ts + INTERVAL 6 HOUR ELSE ts END, n) AS at FROM e WHERE outcome IS NOT NULL GROUP BY scan_id"""),
+    "sql_statements": (sql_statements, """SELECT o_orderkey AS id, 'it''s ' || o_orderkey AS filename, CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Failed: ' || o_orderpriority ELSE 'Pending' END AS status,
+        o_orderdate AS created_at, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL 90 MINUTE ELSE o_orderdate END AS updated_at, CASE o_orderstatus WHEN 'F' THEN o_orderpriority END AS text_content FROM orders"""),
     "dense_ids": (dense_ids, """SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey,
         row_number() OVER (ORDER BY l_shipdate NULLS FIRST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST) AS id FROM lineitem"""),
 }

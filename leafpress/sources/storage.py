@@ -42,5 +42,9 @@ class Storage:
         if not self.fs.rename(self.at(hidden), self.at(name)):
             raise OSError(f"can't publish {name}")
 
+    def set_time(self, name: str, millis: int) -> None:
+        """Sets a file's time of change."""
+        self.fs.setTimes(self.at(name), millis, -1)
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.at(name), True)
