@@ -16,8 +16,8 @@ from leafpress.llm.common import stored
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but the first; a document that loses all of its lines goes, as nothing of it is left.
 
-    Null and empty texts are one empty line, which stays. Repeated rows and null ids as in the operator. An empty table
-    stays empty. Columns pass through whatever their names.
+    Null and empty texts are one empty line, which stays. Repeated rows, null ids and ties (rows of one id hold their lines together) as in the operator. A text of
+    any length is read whole. An empty table stays empty. Columns pass through whatever their names.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     out = line_dedup.dedup_lines(docs.select("doc_id", "text", row.alias("row")))
@@ -32,7 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of ids and decoded bytes of every row.
 
-    A null text is encoded as an empty one, repeated rows each; an empty table gives no rows; no column's name can clash.
+    A null text is encoded as an empty one, repeated rows each; an empty table gives no rows; no column's name can clash. A text of any length is encoded whole;
+    rows don't depend on each other, so there are no ties.
     """
     return bpe.encode_documents(docs)
 

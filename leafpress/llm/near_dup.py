@@ -420,5 +420,6 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, as ``one_of_each`` says; an empty table stays empty. Columns pass through."""
+    """One document of each near-duplicate class stays, as ``one_of_each`` says, which also settles ties; a text of any length is compared whole; an empty
+    table stays empty. Columns pass through."""
     return one_of_each(docs)
