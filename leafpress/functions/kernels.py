@@ -21,6 +21,15 @@ def to_gray(pixels: np.ndarray) -> np.ndarray:
     return ((9798 * r + 19235 * g + 3735 * b + 16384) >> 15).astype(np.uint8)
 
 
+def oriented(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """(height, width, ...) as it is to be seen, from the orientation (1 to 8) that a camera noted; other values leave it."""
+    turn = {
+        2: lambda p: p[:, ::-1], 3: lambda p: p[::-1, ::-1], 4: lambda p: p[::-1], 5: lambda p: p.swapaxes(0, 1),
+        6: lambda p: p[::-1].swapaxes(0, 1), 7: lambda p: p[::-1, ::-1].swapaxes(0, 1), 8: lambda p: p[:, ::-1].swapaxes(0, 1),
+    }
+    return turn[orientation](pixels) if orientation in turn else pixels
+
+
 def _padded(image: np.ndarray, reach: int, mode: str) -> np.ndarray:
     """Pads the last two axes; where an axis is too short to mirror, its edge is repeated."""
     out = image.astype(float)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.functions import names, text
+from leafpress.functions import jpeg, names, text
 from leafpress.operators import gates, ledger, numbering
 from leafpress.plans import statements
 from leafpress.session import scratch, written
@@ -326,6 +327,59 @@ def clean_in_tiles(spark, d):
     return made.join(whole, "id").select(F.col("id").alias("page"), "height", "width", "pixels_sha256", (F.col("pixels_sha256") == F.col("whole")).alias("as_whole"))
 
 
+def _small_pages(spark, d, height: int, width: int) -> DataFrame:
+    """(vec_id, pixels) of vectors of 64 components: a gray page of that size, filled row by row."""
+    kept = _t(spark, d, "embeddings").where((F.size("embedding") == height * width) & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e)))
+    line = F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(F.pmod(F.floor(e.cast("double") * 1000).cast("long"), F.lit(256))), 2, "0")), "")
+    return kept.select("vec_id", F.struct(F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(1).alias("channels"), F.unhex(line).alias("data")).alias("pixels"))
+
+
+def oriented_pages(spark, d):
+    """A page of 4 rows of each vector, turned by one of the eight orientations."""
+    pages = _small_pages(spark, d, 4, 16)
+    made = pages.select("vec_id", images.turned("pixels", (F.pmod("vec_id", F.lit(8)) + 1).cast("int")).alias("p"))
+    return made.select("vec_id", "p.height", "p.width", F.lower(F.hex("p.data")).alias("pixels"))
+
+
+def jpeg_blocks(spark, d):
+    """The quantised coefficients of each vector as one 8 x 8 block, and whether what they restore stays within the quantiser's bound."""
+
+    @F.pandas_udf("struct<coefficients:string,within:boolean>")
+    def run(pages: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for data in pages["data"]:
+            page = np.frombuffer(data, np.uint8).reshape(8, 8)
+            off = np.abs(jpeg.lossy(page).astype(int) - page).max()
+            rows.append((",".join(map(str, jpeg.coefficients(page).ravel().tolist())), bool(off <= jpeg.bound())))
+        return pd.DataFrame(rows, columns=["coefficients", "within"])
+
+    return _small_pages(spark, d, 8, 8).select("vec_id", run("pixels").alias("c")).select("vec_id", "c.*")
+
+
+_EXTENSIONS = (".png", ".jpg", ".bmp", ".tiff", ".xyz", ".JPEG")
+
+
+def encoded_pages(spark, d):
+    """A page of each vector written as a file of one of six extensions and read back by Spark's image source: lossless ones return every pixel,
+    JPEG what quantisation leaves, within one gray; an extension that can't be written gives the error."""
+    folder = scratch(spark)
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.pmod("vec_id", F.lit(len(_EXTENSIONS))) + 1).cast("int"))
+    pages = written(_small_pages(spark, d, 8, 8).withColumn("ext", ext).withColumn("file", images.encoded_page("pixels", "ext")))
+    clean = F.struct(F.col("pixels").alias("value"), F.lit(None).cast("string").alias("error"))
+    seen = pages.select("vec_id", "ext", F.col("file.error").alias("error"), images.as_written(clean, "ext").alias("seen"))
+    sink.write_all(pages.select(F.concat(F.lit("p"), F.col("vec_id").cast("string"), "ext").alias("path"), F.col("file.value").alias("value")), folder)
+    back = images.read_decoded(spark, folder).select(F.regexp_extract("path", r"p(-?\d+)\.\w+$", 1).cast("long").alias("_id"), F.col("pixels").alias("back"))
+
+    @F.pandas_udf("int")
+    def off(a: pd.Series, b: pd.Series, channels: pd.Series) -> pd.Series:
+        gray = lambda x, c: np.frombuffer(x, np.uint8).reshape(-1, int(c))[:, 0].astype(int)
+        return pd.Series([None if x is None or y is None else int(np.abs(gray(x, 1) - gray(y, c)).max()) for x, y, c in zip(a, b, channels)], dtype="Int32")
+
+    joined = seen.join(back, F.col("vec_id") == F.col("_id"), "left").withColumn("off", off("seen.value.data", "back.data", "back.channels"))
+    kept = F.when(F.lower("ext").isin(*images.LOSSY), F.col("off") <= 1).otherwise(F.col("off") == 0)
+    return joined.select("vec_id", "ext", "error", (F.col("error") == F.col("seen.error")).alias("same_error"), kept.alias("kept"))
+
+
 _UPLOAD = "'upload_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png'"
 _BLANK = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _EXT = r"regexp_extract(url, '[^./][^/]*(\.[^./]*)\z', 1)"
@@ -376,6 +430,22 @@ _ALL = {
     "clean_in_tiles": (clean_in_tiles, None),
     "download_content": (download_content, f"""WITH p AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_BLANK}')] AS a FROM documents)
         SELECT doc_id, 'scan_' || doc_id || '.docx' AS download_name, 'OCR Extracted Text' AS title, sha256(array_to_string(a, chr(10))) AS texts_sha256 FROM p"""),
+    "oriented_pages": (oriented_pages, """WITH p AS (SELECT vec_id, ((vec_id % 8) + 8) % 8 + 1 AS o, [((floor(e::DOUBLE * 1000)::BIGINT % 256) + 256) % 256 FOR e IN embedding] AS a FROM embeddings
+          WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
+        q AS (SELECT vec_id, o, a, CASE WHEN o < 5 THEN 4 ELSE 16 END AS h, CASE WHEN o < 5 THEN 16 ELSE 4 END AS w FROM p),
+        i AS (SELECT vec_id, o, a, h, w, k // w AS y, k % w AS x FROM q, range(64) r(k))
+        SELECT vec_id, h::INT AS height, w::INT AS width, string_agg(printf('%02x', a[1 + CASE o WHEN 1 THEN y * 16 + x WHEN 2 THEN y * 16 + 15 - x WHEN 3 THEN (3 - y) * 16 + 15 - x WHEN 4 THEN (3 - y) * 16 + x
+          WHEN 5 THEN x * 16 + y WHEN 6 THEN (3 - x) * 16 + y WHEN 7 THEN (3 - x) * 16 + 15 - y ELSE x * 16 + 15 - y END]), '' ORDER BY y, x) AS pixels FROM i GROUP BY vec_id, h, w"""),
+    "encoded_pages": (encoded_pages, """WITH e AS (SELECT vec_id, ['.png', '.jpg', '.bmp', '.tiff', '.xyz', '.JPEG'][1 + ((vec_id % 6) + 6) % 6] AS ext FROM embeddings
+          WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(x), false) FOR x IN embedding]))
+        SELECT vec_id, ext, CASE ext WHEN '.xyz' THEN 'no image can be written as ''.xyz''' END AS error, CASE ext WHEN '.xyz' THEN true END AS same_error, CASE WHEN ext <> '.xyz' THEN true END AS kept FROM e"""),
+    "jpeg_blocks": (jpeg_blocks, f"""WITH q(t) AS (VALUES ({[list(r) for r in jpeg.LUMINANCE]})),
+        p AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, ((floor(embedding[k + 1]::DOUBLE * 1000)::BIGINT % 256) + 256) % 256 - 128 AS v FROM embeddings, range(64) r(k)
+          WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
+        c AS (SELECT k // 8 AS u, k % 8 AS x, cos((2 * (k % 8) + 1) * (k // 8) * pi() / 16) / 2 / CASE WHEN k < 8 THEN sqrt(2) ELSE 1 END AS w FROM range(64) r(k)),
+        halves AS MATERIALIZED (SELECT vec_id, y, u AS v, sum(p.v * w) AS s FROM p JOIN c USING (x) GROUP BY ALL),
+        f AS (SELECT vec_id, c.u AS u, halves.v AS v, sum(s * w) AS s FROM halves JOIN c ON c.x = halves.y GROUP BY ALL)
+        SELECT vec_id, string_agg(floor(s / greatest(1, (t[u + 1][v + 1] * {200 - 2 * jpeg.QUALITY} + 50) // 100) + 0.5 + 1e-6)::INT::VARCHAR, ',' ORDER BY u, v) AS coefficients, true AS within FROM f, q GROUP BY vec_id"""),
     "gray_blur_pages": (gray_blur_pages, """WITH v AS (SELECT vec_id // 1024 AS page, row_number() OVER (PARTITION BY vec_id // 1024 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings
           WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
         p AS (SELECT page, y, unnest(range(64)) AS x, unnest([floor(e::DOUBLE * 1000)::BIGINT FOR e IN embedding]) AS v FROM v),

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.functions.names import docx_name
+from leafpress.functions.names import docx_name, extension
 from leafpress.functions.text import fold_fragments
 from leafpress.operators.gates import COMPLETED, failed_status, upload_code
 from leafpress.operators.ledger import Ledger
 from leafpress.operators.recognize import EasyOcr, Recognizer, recognizer_column
 from leafpress.session import written
 from leafpress.sources.docx import with_docx, write_files
-from leafpress.sources.images import content_type, read_decoded, valid_image
+from leafpress.sources.images import as_written, content_type, orientation, read_decoded, turned, valid_image
 from leafpress.sources.tiles import cleaned_pages
 
 
@@ -32,8 +32,14 @@ def accept(uploads: DataFrame) -> DataFrame:
 
 
 def recognized(pages: DataFrame, name: str = "easyocr", make: Callable[[], Recognizer] = EasyOcr) -> DataFrame:
-    """pages (scan_id, pixels) -> (scan_id, text, error); large pages are cleaned in tiles."""
-    seen = cleaned_pages(pages).withColumn("found", recognizer_column(F.col("clean.value"), name, make))
+    """pages (scan_id, pixels[, ext]) -> (scan_id, text, error); large pages are cleaned in tiles.
+
+    With an extension the recognizer sees the cleaned page as its file would hold it; one that can't be written fails the scan.
+    """
+    seen = cleaned_pages(pages)
+    if "ext" in pages.columns:
+        seen = seen.join(pages.select("scan_id", "ext"), "scan_id").withColumn("clean", as_written("clean", "ext"))
+    seen = seen.withColumn("found", recognizer_column(F.col("clean.value"), name, make))
     error = F.coalesce("clean.error", "found.error")
     return seen.select("scan_id", F.when(error.isNull(), fold_fragments(F.col("found.value"))).alias("text"), error.alias("error"))
 
@@ -64,14 +70,16 @@ def process_batch(uploads: DataFrame, ledger: Ledger, out_folder: str, batch_id:
     """
     spark = uploads.sparkSession
     # Each file is read and judged once; what follows reads these slim rows.
-    judged = written(accept(uploads).select("path", "modificationTime", "code"))
+    judged = written(accept(uploads).select("path", "modificationTime", "code", orientation("content").alias("orientation")))
     good = judged.where("code = 201").select(F.col("path").alias("filename"), "modificationTime")
     ledger.create(good, 2 * batch_id, order=("modificationTime", "filename"))
     pending = ledger.batch(2 * batch_id).select("scan_id", "filename", "event_ts")
     paths = [r["filename"] for r in pending.select("filename").collect()]  # one micro-batch of files, as listed by the source
     if paths:
         pages = read_decoded(spark, paths)
-        made = pending.join(pages, F.col("filename") == F.col("path"), "left").select("scan_id", "pixels")
+        how = judged.where("code = 201").select(F.col("path").alias("filename"), "orientation")
+        made = pending.join(how, "filename").join(pages, F.col("filename") == F.col("path"), "left")
+        made = made.select("scan_id", turned("pixels", "orientation").alias("pixels"), extension(F.col("filename")).alias("ext"))
         texts = recognized(made, name, make).join(pending.select("scan_id", "event_ts"), "scan_id")
         ready = documents(texts, F.col("event_ts"))
         files = write_files(ready.where("value IS NOT NULL"), out_folder)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.functions import kernels
+from leafpress.functions import jpeg, kernels
 
 MAX_BYTES = 256 << 20
 UPLOAD = "path string, modificationTime timestamp, length long, content binary"
@@ -113,6 +113,62 @@ def is_valid_image(raw: bytes | None) -> bool:
     return False
 
 
+def _exif_orientation(tiff: bytes) -> int:
+    """The orientation in a TIFF directory, of either byte order; 1 if it has none."""
+    order = {b"II": "<", b"MM": ">"}[tiff[:2]]
+    (at,) = struct.unpack(f"{order}I", tiff[4:8])
+    (n,) = struct.unpack(f"{order}H", tiff[at : at + 2])
+    for k in range(n):
+        tag, kind, count = struct.unpack(f"{order}HHI", tiff[at + 2 + 12 * k : at + 10 + 12 * k])
+        if tag == 0x0112 and kind == 3 and count == 1:
+            (value,) = struct.unpack(f"{order}H", tiff[at + 10 + 12 * k : at + 12 + 12 * k])
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+def orientation_of(raw: bytes | None) -> int:
+    """The orientation (1 to 8) that a JPEG's APP1 segment or a TIFF file notes; 1 for all else. Never raises."""
+    try:
+        if raw and raw[:4] in (b"II*\0", b"MM\0*"):
+            return _exif_orientation(raw)
+        if not raw or raw[:2] != b"\xff\xd8":
+            return 1
+        at = 2
+        while at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] not in (0xDA, 0xD9):
+            if raw[at + 1] == 0xFF or raw[at + 1] == 0x01 or 0xD0 <= raw[at + 1] <= 0xD8:
+                at += 1 if raw[at + 1] == 0xFF else 2
+                continue
+            (size,) = struct.unpack(">H", raw[at + 2 : at + 4])
+            if raw[at + 1] == 0xE1 and raw[at + 4 : at + 10] == b"Exif\0\0":
+                return _exif_orientation(raw[at + 10 : at + 2 + size])
+            at += 2 + size
+    except (struct.error, KeyError, IndexError):
+        pass
+    return 1
+
+
+def orientation(content: Column | str) -> Column:
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(orientation_of).astype("int32")
+
+    return F.pandas_udf(read, "int")(content)
+
+
+def turned(pixels: Column | str, orientation: Column | str) -> Column:
+    """Pixels as they are to be seen; those that need no turn, or can't be turned, stay as they are."""
+
+    def run(page: pd.DataFrame, how: pd.Series) -> pd.DataFrame:
+        rows = []
+        for (h, w, c, data), o in zip(page[["height", "width", "channels", "data"]].itertuples(index=False, name=None), how):
+            if o in range(2, 9) and data is not None and h > 0 and w > 0 and len(data) == h * w * c:
+                made = kernels.oriented(np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(c)), int(o))
+                h, w, data = *made.shape[:2], made.tobytes()
+            rows.append((h, w, c, data))
+        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"]).astype({c: "Int32" for c in ("height", "width", "channels")})
+
+    return F.pandas_udf(run, PIXELS)(pixels, orientation)
+
+
 def valid_image(content: Column | str) -> Column:
     def check(raw: pd.Series) -> pd.Series:
         return raw.map(is_valid_image)
@@ -164,3 +220,65 @@ def encode_png(height: int, width: int, data: bytes) -> bytes:
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def encode_bmp(height: int, width: int, data: bytes) -> bytes:
+    """A bitmap with a palette of 256 grays; rows from the last one up, each filled to four bytes."""
+    palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+    rows = b"".join(data[k * width : (k + 1) * width] + bytes(-width % 4) for k in range(height - 1, -1, -1))
+    start = 54 + len(palette)
+    return b"BM" + struct.pack("<IHHI", start + len(rows), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, len(rows), 2835, 2835, 256, 0) + palette + rows
+
+
+def encode_tiff(height: int, width: int, data: bytes) -> bytes:
+    """An uncompressed gray TIFF of one strip."""
+    tags = ((256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(data)))
+    at = 8 + len(data) + len(data) % 2
+    entries = b"".join(struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value) for tag, kind, value in tags)
+    return b"II*\0" + struct.pack("<I", at) + data + bytes(len(data) % 2) + struct.pack("<H", len(tags)) + entries + bytes(4)
+
+
+def _jpeg_file(height: int, width: int, data: bytes) -> bytes:
+    return jpeg.encode(np.frombuffer(data, np.uint8).reshape(height, width))
+
+
+#: The writer of a page by the extension of its file.
+WRITERS = {".png": encode_png, ".bmp": encode_bmp, ".tif": encode_tiff, ".tiff": encode_tiff, ".jpg": _jpeg_file, ".jpeg": _jpeg_file, ".jpe": _jpeg_file}
+LOSSY = (".jpg", ".jpeg", ".jpe")
+
+
+def encoded_page(page: Column | str, ext: Column | str) -> Column:
+    """struct<value binary, error> of a cleaned page (CLEANED's value) as a file of that extension, whatever its case; an unknown one is an error."""
+
+    @F.pandas_udf("struct<value:binary,error:string>")
+    def run(pages: pd.DataFrame, exts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for (h, w, data), e in zip(pages[["height", "width", "data"]].itertuples(index=False, name=None), exts):
+            writer = WRITERS.get((e or "").lower())
+            if data is None:
+                rows.append((None, None))
+            elif writer is None:
+                rows.append((None, f"no image can be written as {e!r}"))
+            else:
+                rows.append((writer(int(h), int(w), data), None))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    return run(page, ext)
+
+
+def as_written(clean: Column | str, ext: Column | str) -> Column:
+    """CLEANED as a reader of the written page sees it: JPEG loses some, the other formats nothing, and an extension that can't be written is the page's error."""
+
+    def run(pages: pd.DataFrame, exts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for (value, error), e in zip(pages[["value", "error"]].itertuples(index=False, name=None), exts):
+            kind = (e or "").lower()
+            if error is None and value is not None and kind not in WRITERS:
+                value, error = None, f"no image can be written as {e!r}"
+            elif value is not None and kind in LOSSY:
+                page = np.frombuffer(value["data"], np.uint8).reshape(value["height"], value["width"])
+                value = {**value, "data": jpeg.lossy(page).tobytes()}
+            rows.append((value, error))
+        return pd.DataFrame(rows, columns=["value", "error"])
+
+    return F.pandas_udf(run, CLEANED).asNondeterministic()(clean, ext)

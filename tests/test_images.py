@@ -1,0 +1,97 @@
+"""Page files and orientation: byte-level cases, every writer read by Spark's image source, and both inside the plan."""
+
+import struct
+
+import numpy as np
+import pytest
+
+from leafpress.functions import jpeg, kernels
+from leafpress.operators import ledger
+from leafpress.plans.digitize import process_batch
+from leafpress.sources import images
+
+
+def exif(order, orientation, tag=0x0112):
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}I", 8) + struct.pack(f"{order}H", 2)
+    tiff += struct.pack(f"{order}HHII", 0x0100, 4, 1, 7) + struct.pack(f"{order}HHI", tag, 3, 1) + struct.pack(f"{order}HH", orientation, 0) + bytes(4)
+    return tiff
+
+
+def with_exif(file, tiff):
+    body = b"Exif\0\0" + tiff
+    return file[:2] + b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body + file[2:]
+
+
+PAGE = np.random.default_rng(2).integers(0, 256, (20, 13)).astype(np.uint8)
+
+
+def test_orientation_in_both_byte_orders():
+    file = jpeg.encode(PAGE)
+    for order in "<>":
+        for o in range(1, 9):
+            assert images.orientation_of(with_exif(file, exif(order, o))) == o
+            assert images.orientation_of(exif(order, o)) == o
+        assert images.orientation_of(with_exif(file, exif(order, 9))) == 1 and images.orientation_of(with_exif(file, exif(order, 6, 0x0113))) == 1
+    for other in (None, b"", b"\xff\xd8", file, b"\x89PNG", with_exif(file, b"II*\0"), with_exif(file, b"XX*\0" + bytes(20)), with_exif(file, exif("<", 6))[:30], exif("<", 6)[:12]):
+        assert images.orientation_of(other) == 1
+
+
+def test_turns():
+    p = np.arange(6).reshape(2, 3)
+    want = {
+        1: [[0, 1, 2], [3, 4, 5]], 2: [[2, 1, 0], [5, 4, 3]], 3: [[5, 4, 3], [2, 1, 0]], 4: [[3, 4, 5], [0, 1, 2]],
+        5: [[0, 3], [1, 4], [2, 5]], 6: [[3, 0], [4, 1], [5, 2]], 7: [[5, 2], [4, 1], [3, 0]], 8: [[2, 5], [1, 4], [0, 3]],
+    }
+    for o, page in want.items():
+        assert kernels.oriented(p, o).tolist() == page
+    assert kernels.oriented(p, 0) is p
+    assert kernels.oriented(np.zeros((2, 3, 3)), 6).shape == (3, 2, 3)
+
+
+@pytest.mark.parametrize("quality", [10, 50, 95])
+def test_jpeg_error_is_bounded(quality):
+    smooth = np.add.outer(np.arange(40), np.arange(33)).astype(np.uint8)
+    for page in (PAGE, smooth, np.zeros((1, 1), np.uint8), np.full((8, 8), 255, np.uint8)):
+        off = np.abs(jpeg.lossy(page, quality).astype(int) - page).max()
+        assert off <= jpeg.bound(quality)
+    assert jpeg.ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and jpeg.ZIGZAG[-3:] == [55, 62, 63] and sorted(jpeg.ZIGZAG) == list(range(64))
+
+
+def test_every_writer_is_read_back(spark, tmp_path):
+    sizes = [(20, 13), (8, 8), (1, 1), (3, 50), (17, 16)]
+    rng = np.random.default_rng(3)
+    pages = {}
+    for k, (h, w) in enumerate(sizes):
+        page = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        if k == 3:
+            page[:] = 200
+        for ext in images.WRITERS:
+            pages[f"{k}{ext}"] = page
+            (tmp_path / f"{k}{ext}").write_bytes(images.WRITERS[ext](h, w, page.tobytes()))
+    got = {r.path.rsplit("/", 1)[1]: r.pixels for r in images.read_decoded(spark, str(tmp_path)).collect()}
+    for name, page in pages.items():
+        assert images.is_valid_image((tmp_path / name).read_bytes()), name
+        p = got[name]
+        seen = np.frombuffer(bytes(p.data), np.uint8).reshape(p.height, p.width, p.channels)[..., 0]
+        want = jpeg.lossy(page) if name.endswith(images.LOSSY) else page
+        assert np.abs(seen.astype(int) - want).max() <= (1 if name.endswith(images.LOSSY) else 0), name
+
+
+def test_orientation_and_extension_in_the_plan(spark, tmp_path):
+    class Shape:
+        def recognize(self, page):
+            return [([], f"{page.shape[0]}x{page.shape[1]} {len(np.unique(page))}", 1.0)]
+
+    land = tmp_path / "land"
+    land.mkdir()
+    file = jpeg.encode(PAGE)
+    (land / "a.jpg").write_bytes(file)
+    (land / "b.jpg").write_bytes(with_exif(file, exif(">", 6)))
+    (land / "c.png").write_bytes(images.encode_png(20, 13, PAGE.tobytes()))
+    (land / "d.gif").write_bytes(b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b",\0\0\0\0\1\0\1\0\0\2\2D\1\0;")
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    process_batch(images.read_uploads(spark, str(land)), book, str(tmp_path / "out"), 0, "shape", Shape).collect()
+    got = {r.filename.rsplit("/", 1)[1]: r for r in book.scans(None).collect()}
+    assert got["a.jpg"].text_content.startswith("20x13 ") and got["b.jpg"].text_content.startswith("13x20 ")
+    assert got["c.png"].text_content.startswith("20x13 ")
+    assert got["d.gif"].status == "Failed: no image can be written as '.gif'"
