@@ -50,6 +50,13 @@ class Embedded:
         return [([(0.0, float(k))], line, 1.0) for k, line in enumerate(raw.decode("utf-8", "replace").split("\n")) if raw]
 
 
+class PageSize:
+    """Stand-in where no engine is installed, no recognition: says how large the page is, with a blank fragment between."""
+
+    def recognize(self, page: np.ndarray):
+        return [([(0.0, float(k))], text, 1.0) for k, text in enumerate((f"{page.shape[0]} rows", " ", f"{page.shape[1]} columns"))]
+
+
 def recognizer_column(pixels: Column, name: str = "easyocr", make: Callable[[], Recognizer] = EasyOcr) -> Column:
     """struct<value fragments, error> of a pixels column (height, width, channels, data)."""
 

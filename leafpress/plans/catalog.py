@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import jpeg, names, text
 from leafpress.operators import gates, ledger, numbering
+from leafpress.operators.recognize import PageSize
 from leafpress.plans import statements
 from leafpress.session import scratch, written
 from leafpress.sources import docx, images, sink, tiles
-from leafpress.streaming import ledger_stream, poll
+from leafpress.streaming import ingest, ledger_stream, poll
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -380,6 +381,33 @@ def encoded_pages(spark, d):
     return joined.select("vec_id", "ext", "error", (F.col("error") == F.col("seen.error")).alias("same_error"), kept.alias("kept"))
 
 
+_LANDED = (".png", ".txt", ".bmp", ".tiff", ".gif", ".PNG")
+
+
+def digitize_stream(spark, d):
+    """The whole plan as a stream: a file of each vector's page lands, is judged, cleaned, handed to a stand-in for the engine, written as a document and answered
+    by the ledger; then every document is downloaded. Text files and damaged ones (.PNG) are refused, an extension without a writer fails."""
+    folder = scratch(spark)
+    ext = F.element_at(F.array(*map(F.lit, _LANDED)), (F.pmod("vec_id", F.lit(len(_LANDED))) + 1).cast("int"))
+    pages = _small_pages(spark, d, 4, 16).withColumn("ext", ext)
+    file = images.encoded_page("pixels", F.when(F.col("ext").isin(".txt", ".gif"), ".png").otherwise(F.lower("ext"))).getField("value")
+    gif = F.unhex(F.lit("47494638396101000100800000000000ffffff2c00000000010001000002024401003b"))
+    content = F.when(F.col("ext") == ".gif", gif).when(F.col("ext") == ".PNG", F.substring(file, 1, 40)).otherwise(file)
+    sink.write_all(pages.select(F.concat(F.lit("v"), F.col("vec_id").cast("string"), "ext").alias("path"), content.alias("value")), f"{folder}/landing")
+    book = ledger.Ledger(spark, f"{folder}/ledger")
+    ingest.start(spark, f"{folder}/landing", book, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/rejects", "page_size", PageSize, 2000).awaitTermination()
+
+    @F.pandas_udf("string")
+    def texts(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: "|".join(docx.read_docx(x)[0]))
+
+    written_files = docx.read_downloads(spark, f"{folder}/out/outputs").select("download_name", texts("content").alias("paragraphs"))
+    answered = book.scans(None).withColumn("download_name", names.basename(F.col("docx_path"))).join(written_files, "download_name", "left")
+    none = F.lit(None).cast("string")
+    refused = spark.read.parquet(f"{folder}/rejects").select(names.basename(F.col("path")).alias("name"), "code", none.alias("status"), none.alias("text_content"), none.alias("paragraphs"))
+    return answered.select(names.basename(F.col("filename")).alias("name"), F.lit(201).alias("code"), "status", "text_content", "paragraphs").unionByName(refused)
+
+
 _UPLOAD = "'upload_' || strftime(ts, '%Y%m%d_%H%M%S') || '.png'"
 _BLANK = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _EXT = r"regexp_extract(url, '[^./][^/]*(\.[^./]*)\z', 1)"
@@ -446,6 +474,12 @@ _ALL = {
         halves AS MATERIALIZED (SELECT vec_id, y, u AS v, sum(p.v * w) AS s FROM p JOIN c USING (x) GROUP BY ALL),
         f AS (SELECT vec_id, c.u AS u, halves.v AS v, sum(s * w) AS s FROM halves JOIN c ON c.x = halves.y GROUP BY ALL)
         SELECT vec_id, string_agg(floor(s / greatest(1, (t[u + 1][v + 1] * {200 - 2 * jpeg.QUALITY} + 50) // 100) + 0.5 + 1e-6)::INT::VARCHAR, ',' ORDER BY u, v) AS coefficients, true AS within FROM f, q GROUP BY vec_id"""),
+    "digitize_stream": (digitize_stream, """WITH e AS (SELECT vec_id, ['.png', '.txt', '.bmp', '.tiff', '.gif', '.PNG'][1 + ((vec_id % 6) + 6) % 6] AS ext FROM embeddings
+          WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(x), false) FOR x IN embedding]))
+        SELECT 'v' || vec_id || ext AS name, CASE WHEN ext IN ('.txt', '.PNG') THEN 400 ELSE 201 END AS code,
+          CASE WHEN ext IN ('.png', '.bmp', '.tiff') THEN 'Completed' WHEN ext = '.gif' THEN 'Failed: no image can be written as ' || chr(39) || '.gif' || chr(39) END AS status,
+          CASE WHEN ext IN ('.png', '.bmp', '.tiff') THEN '4 rows' || chr(10) || ' ' || chr(10) || '16 columns' END AS text_content,
+          CASE WHEN ext IN ('.png', '.bmp', '.tiff') THEN 'OCR Extracted Text|4 rows|16 columns' END AS paragraphs FROM e"""),
     "gray_blur_pages": (gray_blur_pages, """WITH v AS (SELECT vec_id // 1024 AS page, row_number() OVER (PARTITION BY vec_id // 1024 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings
           WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
         p AS (SELECT page, y, unnest(range(64)) AS x, unnest([floor(e::DOUBLE * 1000)::BIGINT FOR e IN embedding]) AS v FROM v),

@@ -19,6 +19,7 @@ from leafpress.operators.recognize import EasyOcr, Recognizer, recognizer_column
 from leafpress.session import written
 from leafpress.sources.docx import with_docx, write_files
 from leafpress.sources.images import as_written, content_type, orientation, read_decoded, turned, valid_image
+from leafpress.sources.storage import Storage
 from leafpress.sources.tiles import cleaned_pages
 
 
@@ -76,12 +77,14 @@ def process_batch(uploads: DataFrame, ledger: Ledger, out_folder: str, batch_id:
     pending = ledger.batch(2 * batch_id).select("scan_id", "filename", "event_ts")
     paths = [r["filename"] for r in pending.select("filename").collect()]  # one micro-batch of files, as listed by the source
     if paths:
-        pages = read_decoded(spark, paths)
+        pages = read_decoded(spark, [p for p in paths if Storage(spark, p).exists("")])
         how = judged.where("code = 201").select(F.col("path").alias("filename"), "orientation")
         made = pending.join(how, "filename").join(pages, F.col("filename") == F.col("path"), "left")
-        made = made.select("scan_id", turned("pixels", "orientation").alias("pixels"), extension(F.col("filename")).alias("ext"))
-        texts = recognized(made, name, make).join(pending.select("scan_id", "event_ts"), "scan_id")
-        ready = documents(texts, F.col("event_ts"))
+        lost = F.when(F.col("path").isNull(), F.concat(F.lit("Image not found: "), "filename"))
+        made = made.select("scan_id", turned("pixels", "orientation").alias("pixels"), extension(F.col("filename")).alias("ext"), lost.alias("lost"))
+        texts = recognized(made.drop("lost"), name, make).join(made.select("scan_id", "lost"), "scan_id").join(pending.select("scan_id", "event_ts"), "scan_id")
+        # Recognition runs once: files and changes are made from what is written here.
+        ready = written(documents(texts.withColumn("error", F.coalesce("lost", "error")), F.col("event_ts")))
         files = write_files(ready.where("value IS NOT NULL"), out_folder)
         done = ready.drop("value").join(files.select(F.col("path").alias("docx_path"), F.col("error").alias("write_error")), "docx_path", "left")
         ledger.update(changes(done.withColumn("error", F.coalesce("error", "write_error"))), 2 * batch_id + 1)

@@ -27,12 +27,14 @@ def read_uploads(spark: SparkSession, folder: str, streaming: bool = False, max_
 
 
 def read_decoded(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """Decoded images as (path, pixels); undecodable files have height -1."""
+    """Decoded images as (path, pixels); undecodable files have height -1, and one that vanishes meanwhile has no row."""
+    if not folder:
+        return spark.createDataFrame([], f"path string, pixels {PIXELS}")
     i = F.col("image")
     pixels = F.struct(i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
     # The two sources write an empty authority differently: file:/// and file:/.
     path = F.regexp_replace(i["origin"], r"^(\w+):///", "$1:/")
-    return spark.read.format("image").load(folder).select(path.alias("path"), pixels.alias("pixels"))
+    return spark.read.format("image").option("ignoreMissingFiles", "true").load(folder).select(path.alias("path"), pixels.alias("pixels"))
 
 
 def content_type(path: Column) -> Column:

@@ -7,6 +7,7 @@ import pytest
 
 from leafpress.functions import jpeg, kernels
 from leafpress.operators import ledger
+from leafpress.operators.recognize import PageSize
 from leafpress.plans.digitize import process_batch
 from leafpress.sources import images
 
@@ -95,3 +96,39 @@ def test_orientation_and_extension_in_the_plan(spark, tmp_path):
     assert got["a.jpg"].text_content.startswith("20x13 ") and got["b.jpg"].text_content.startswith("13x20 ")
     assert got["c.png"].text_content.startswith("20x13 ")
     assert got["d.gif"].status == "Failed: no image can be written as '.gif'"
+
+
+def test_a_file_that_vanishes_fails_its_scan_alone(spark, tmp_path, monkeypatch):
+    land = tmp_path / "land"
+    land.mkdir()
+    for name in ("a.png", "b.png"):
+        (land / name).write_bytes(images.encode_png(20, 13, PAGE.tobytes()))
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    create = book.create
+
+    def and_lose(*args, **kwargs):
+        create(*args, **kwargs)
+        (land / "a.png").unlink()
+
+    monkeypatch.setattr(book, "create", and_lose)
+    process_batch(images.read_uploads(spark, str(land)), book, str(tmp_path / "out"), 0, "page_size", PageSize).collect()
+    got = {r.filename.rsplit("/", 1)[1]: r for r in book.scans(None).collect()}
+    assert got["a.png"].status.startswith("Failed: Image not found: ") and got["a.png"].status.endswith("/a.png")
+    assert got["b.png"].status == "Completed" and got["b.png"].text_content == "20 rows\n \n13 columns"
+
+
+def test_recognition_runs_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    class Counting:
+        def recognize(self, page):
+            with open(log, "a") as f:
+                f.write("x")
+            return [([], "t", 1.0)]
+
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "a.png").write_bytes(images.encode_png(20, 13, PAGE.tobytes()))
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    process_batch(images.read_uploads(spark, str(land)), book, str(tmp_path / "out"), 0, "counting", Counting).collect()
+    assert log.read_text() == "x" and book.get(1).first().status == "Completed"
