@@ -190,7 +190,7 @@ def clean_rows(rows: list[tuple]) -> list[dict]:
     out: list[dict] = [{}] * len(rows)
     alike: dict[tuple, list[int]] = {}
     for k, (h, w, c, data) in enumerate(rows):
-        if h is None or w is None or not h > 0 or not w > 0:
+        if pd.isna(h) or pd.isna(w) or not h > 0 or not w > 0:
             out[k] = {"value": None, "error": "image can't be decoded"}
         elif data is None or c not in (1, 3, 4) or len(data) != h * w * c:
             out[k] = {"value": None, "error": "pixels don't fill the image"}
