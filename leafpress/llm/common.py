@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -69,6 +69,36 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Workspace:
+    """Tables that an operator writes for itself, with their numbers of rows, and that it deletes once they are consumed.
+
+    Rows are counted while they are written, so knowing a table's size takes no job. A table of at most BROADCAST_ROWS slim
+    rows is read as one partition: what follows it in Spark needs no exchange, and a long series of small steps no thousands of tasks.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def keep(self, df: DataFrame, slim: bool = True, **facts: Column) -> tuple[DataFrame, dict]:
+        """df as a table; and the facts (aggregates) of its rows, n among them. Rows that aren't slim stay spread, however few."""
+        folder = own_folder(self.spark)
+        seen = Observation()
+        named = {"n": F.count(F.lit(1)), **facts}
+        df.observe(seen, *(c.alias(k) for k, c in named.items())).write.option("parquet.block.size", str(ROW_GROUP)).parquet(folder)
+        self.folders.append(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        found = seen.get
+        return (table.coalesce(1) if slim and found["n"] <= BROADCAST_ROWS else table), found | {"folder": folder}
+
+    def drop(self, *folders: str) -> None:
+        for folder in folders:
+            discard(self.spark, folder)
+            self.folders.remove(folder)
+
+    def clear(self, *but: str) -> None:
+        self.drop(*(f for f in list(self.folders) if f not in but))
+
+
 def fitted(small: DataFrame) -> DataFrame:
     """A stored side of a join, of narrow rows: broadcast if it has at most BROADCAST_ROWS, else hashed where it lies."""
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("shuffle_hash")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafpress.llm import textkernel as tk
-from leafpress.llm.common import fitted, stored, table
+from leafpress.llm.common import BROADCAST_ROWS, Workspace, fitted, stored, table
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -240,7 +240,7 @@ def _own_weight(bags: DataFrame) -> DataFrame:
     return bags.select("cid", "cls", "size").join(own, "cid", "left").select("cls", "size", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def _rare_shingles(bags: DataFrame, similar: float) -> DataFrame:
+def _rare_shingles(bags: DataFrame, similar: float, work: Workspace) -> DataFrame:
     """(cid, key, rest): the shingles of which any two classes of that similarity share one; rest is a class's weight from there on.
 
     Let both multisets be sorted by how many classes hold a shingle, then by hash, and z be the first that they share. All
@@ -254,7 +254,7 @@ def _rare_shingles(bags: DataFrame, similar: float) -> DataFrame:
     before = F.coalesce(F.sum("w").over(mine.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = shared.withColumn("rest", F.sum("w").over(mine) - before)
     holds = lambda least: F.col("rest") >= (least - _ROUNDING) * F.col("size")
-    rare = stored(placed.where(holds(similar)).select("cid", F.col("h").alias("key"), "rest", holds(2 * similar / (1 + similar)).alias("short")))
+    rare, _ = work.keep(placed.where(holds(similar)).select("cid", F.col("h").alias("key"), "rest", holds(2 * similar / (1 + similar)).alias("short")))
     groups = rare.groupBy("key").agg(F.count("*").alias("n"), F.max("short").alias("some")).where("n > 1 AND some").select("key")
     return rare.join(groups, "key").drop("short")
 
@@ -275,39 +275,54 @@ def _leaders(rows: DataFrame, n: int) -> DataFrame:
 class _Search:
     """What is known of pairs of classes, and their components so far, while leaders meet the members of their groups."""
 
-    def __init__(self, bags: DataFrame, similar: float):
-        self.bags, self.similar = bags, similar
+    def __init__(self, bags: DataFrame, similar: float, work: Workspace):
+        self.bags, self.similar, self.work = bags, similar, work
         self.checked: DataFrame | None = None  # (a, b, s) of verified pairs, a < b
         self.roots: DataFrame | None = None  # (cls, root) of linked classes; a component's root has no row
+        self.roots_at, self.few_roots = "", True
 
     def verify(self, pairs: DataFrame) -> None:
         """Verifies pairs (a, b) that haven't been, and joins the components of those that are alike."""
         if self.checked is not None:
             pairs = pairs.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(_verify(pairs, self.bags))
+        pairs, due = self.work.keep(pairs)
+        # Few pairs need few bags, which are picked without moving the others.
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        bags = self.work.keep(self.bags.join(F.broadcast(ids), "cls", "left_semi"), slim=False)[0] if due["n"] <= BROADCAST_ROWS else self.bags
+        new, _ = self.work.keep(_verify(pairs, bags))
         self.checked = new if self.checked is None else self.checked.unionByName(new)
         edges = new.where(F.col("s") >= self.similar).select("a", "b")
         if self.roots is None:
-            self.roots = components(edges).select(F.col("node").alias("cls"), "root")
+            self._now(components(edges, self.work).select(F.col("node").alias("cls"), "root"))
             return
         for c in ("a", "b"):
             edges = self.rooted(edges, c, "r").drop(c).withColumnRenamed("r", c)
-        moved = components(edges)
-        old = self.roots.join(moved.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left").select("cls", F.coalesce("new", "root").alias("root"))
-        self.roots = stored(old.unionByName(moved.select(F.col("node").alias("cls"), "root")))
+        moved = components(edges, self.work)
+        to = moved.withColumnRenamed("root", "new")
+        old = self.roots.join(to, F.col("root") == F.col("node"), "left").select("cls", F.coalesce("new", "root").alias("root"))
+        self._now(old.unionByName(moved.select(F.col("node").alias("cls"), "root")))
+
+    def _now(self, roots: DataFrame) -> None:
+        before = self.roots_at
+        self.roots, facts = self.work.keep(roots)
+        self.roots_at, self.few_roots = facts["folder"], facts["n"] <= BROADCAST_ROWS
+        if before:
+            self.work.drop(before)
 
     def rooted(self, rows: DataFrame, of: str, into: str) -> DataFrame:
         """rows with the root of the class in column ``of``."""
         roots = self.roots.select(F.col("cls").alias("_of"), F.col("root").alias("_root"))
+        roots = F.broadcast(roots) if self.few_roots else roots
         return rows.join(roots, F.col(of) == F.col("_of"), "left").withColumn(into, F.coalesce("_root", of)).drop("_of", "_root")
 
     def links(self) -> DataFrame:
         """(a, b) of the pairs found alike; with their components they say all, as pairs within a component aren't verified."""
         return self.checked.where(F.col("s") >= self.similar).select("a", "b")
 
-    def meet(self, rows: DataFrame, n: int) -> DataFrame:
-        """One round of rows (key, cls, root, met, size, own, rest) with n leaders a group; returns the rows that go on."""
-        leaders = stored(_leaders(rows, n))
+    def meet(self, rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """One round of rows (key, cls, root, met, size, own, rest) with n leaders a group; returns the rows that go on, and how many."""
+        leaders, led = self.work.keep(_leaders(rows, n))
+        leaders = F.broadcast(leaders) if led["n"] <= BROADCAST_ROWS else leaders
         # In the group of the first shingle that a pair shares, both have from there on all that they share.
         due = F.least("rest", "l_rest") * (1 + self.similar) >= (F.col("size") + F.col("l_size")) * self.similar - _ROUNDING * F.col("size")
         alike = due & (_bound("size", "own", "l_size", "l_own") >= self.similar) & (F.col("root") != F.col("l_root"))
@@ -317,12 +332,13 @@ class _Search:
         left = rows.join(leaders.select("key", F.col("leader").alias("cls")), ["key", "cls"], "left_anti").drop("root")
         return self.open_groups(self.rooted(left, "cls", "root"))
 
-    @staticmethod
-    def open_groups(rows: DataFrame) -> DataFrame:
-        """Rows of groups with members of several components."""
-        rows = stored(rows)
+    def open_groups(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of groups with members of several components, and how many."""
+        rows, facts = self.work.keep(rows)
         several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        return stored(rows.join(several, "key", "left_semi"))
+        out, left = self.work.keep(rows.join(several, "key", "left_semi"))
+        self.work.drop(facts["folder"])
+        return out, left["n"]
 
 
 def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,47 +348,53 @@ def links(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col:
 
 def search(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> _Search:
     """The pairs verified to find the links between classes."""
+    work = Workspace(docs.sparkSession)
     rows = classes.select("cls", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(shared, "key"))
-    needed = stored(rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.drop("bands"), "cls"))
-    bags = stored(_bags(docs, needed, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()))
+    rows, _ = work.keep(rows.join(shared, "key"))
+    needed, _ = work.keep(rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.drop("bands"), "cls"))
+    bags, _ = work.keep(_bags(docs, needed, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()), slim=False)
     # Classes whose own shingles weigh too much have no partner.
-    facts = stored(_own_weight(bags).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
-    found = _Search(bags, similar)
+    facts, _ = work.keep(_own_weight(bags).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
+    found = _Search(bags, similar, work)
     first = rows.select("key", "cls").join(facts.withColumns({"rest": F.col("size"), "root": F.col("cls")}), "cls")
-    left = found.meet(found.open_groups(first), 1)
-    alone = stored(left.select("cls").distinct().join(bags, "cls"))
+    left, going = found.meet(found.open_groups(first)[0], 1)
     n = 4
-    if not alone.isEmpty():
-        rare = _rare_shingles(alone, similar).join(alone.select("cid", "cls"), "cid").join(facts, "cls").select("key", "cls", "met", "size", "own", "rest")
-        rows = found.open_groups(found.rooted(rare, "cls", "root"))
-        while not rows.isEmpty():
-            rows = found.meet(rows, n)
+    if going:
+        alone, _ = work.keep(left.select("cls").distinct().join(bags, "cls"), slim=False)
+        rare = _rare_shingles(alone, similar, work).join(alone.select("cid", "cls"), "cid").join(facts, "cls").select("key", "cls", "met", "size", "own", "rest")
+        rows, going = found.open_groups(found.rooted(rare, "cls", "root"))
+        while going:
+            rows, going = found.meet(rows, n)
             n *= 16
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the component's smallest node.
 
     Alternates large-star and small-star steps; each only joins nodes with their smallest
-    neighbour, so a node with very many neighbours is never gathered.
+    neighbour, so a node with very many neighbours is never gathered. A step's table goes when the next one is written.
     """
-    e = edges.select("a", "b").where("a != b")
+    work = work or Workspace(edges.sparkSession)
+    mark = {"hash": F.expr("sum(cast(xxhash64(a, b) as decimal(20,0)))")}
+    e, facts = work.keep(edges.select("a", "b").where("a != b"), **mark)
     state = None
     while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        few = facts["n"] <= BROADCAST_ROWS
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        e = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        new = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20,0)))")).first()
-        if new == state:
+        made = small.unionByName(least.select("a", F.col("m").alias("b")))
+        before, at = state, facts["folder"]
+        e, facts = work.keep((made.coalesce(1) if few else made).distinct(), **mark)
+        work.drop(at)
+        state = (facts["n"], facts["hash"])
+        if state == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = new
 
 
 def _placed(docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
@@ -381,7 +403,9 @@ def _placed(docs: DataFrame, similar: float, id_col: str, text_col: str) -> Data
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
     classes = sigs.where("cls IS NOT NULL").groupBy("cls", "bands").agg(F.min(row).alias("row"))
     classes = stored(classes.select("cls", "bands", F.col("row.doc_id").alias("rep"), "row.r1", "row.r2"))
-    roots = search(docs, classes, similar, id_col, text_col).roots
+    found = search(docs, classes, similar, id_col, text_col)
+    found.work.clear(found.roots_at)
+    roots = found.roots
     placed = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     of = placed.join(least, "root").select("cls", "root", "class_id", F.col("rep").alias("copy_id"))
