@@ -181,14 +181,14 @@ def unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bag, "<u8", n), np.frombuffer(bag, "<u4", n, 8 * n)
 
 
-def _bags(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cls, size, bag), one row for each needed class (cls, rep and, if there, r1 and r2 of one of its rows)."""
+def _bags(docs: DataFrame, needed: DataFrame, few: bool, id_col: str, text_col: str) -> DataFrame:
+    """(cls, size, bag), one row for each needed class (cls, rep and, if there, r1 and r2 of one of its rows). If they are few, texts stay where they are."""
     keys = [c for c in ("r1", "r2") if c in needed.columns]
     of = needed.select("cls", "rep", *(F.col(k).alias(f"n{k}") for k in keys))
     same = F.col("doc_id").eqNullSafe(F.col("rep"))
     for k in keys:
         same = same & (F.col(k) == F.col(f"n{k}"))
-    found = _slim(docs, id_col, text_col).join(of.hint("shuffle_hash"), same).select("cls", "_text")
+    found = _slim(docs, id_col, text_col).join(F.broadcast(of) if few else of.hint("shuffle_hash"), same).select("cls", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One id may stand for several texts; only the class's own counts.
@@ -352,8 +352,8 @@ def search(docs: DataFrame, classes: DataFrame, similar: float = SIMILAR, id_col
     rows = classes.select("cls", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows, _ = work.keep(rows.join(shared, "key"))
-    needed, _ = work.keep(rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.drop("bands"), "cls"))
-    bags, _ = work.keep(_bags(docs, needed, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()), slim=False)
+    needed, found = work.keep(rows.groupBy("cls").agg(F.sum("n").alias("met")).join(classes.drop("bands"), "cls"))
+    bags, _ = work.keep(_bags(docs, needed, found["n"] <= BROADCAST_ROWS, id_col, text_col).withColumn("cid", F.monotonically_increasing_id()), slim=False)
     # Classes whose own shingles weigh too much have no partner.
     facts, _ = work.keep(_own_weight(bags).where(F.col("size") - F.col("own") >= similar * F.col("size")).join(needed.select("cls", "met"), "cls"))
     found = _Search(bags, similar, work)
