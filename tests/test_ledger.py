@@ -33,7 +33,7 @@ def play(spark, book, model, batch, rng, n=12):
 def test_equals_a_dictionary(spark, tmp_path):
     rng, model = random.Random(8), {}
     book = ledger.Ledger(spark, str(tmp_path / "l"), bucket_size=4, compact_after=None)
-    for batch in range(18):
+    for batch in range(12):
         play(spark, book, model, batch, rng)
         if batch % 4 == 3:
             book.compact()
@@ -74,10 +74,10 @@ def test_a_compaction_that_is_killed_loses_nothing(spark, tmp_path, monkeypatch,
     rng, model = random.Random(9), {}
     path = str(tmp_path / "l")
     book = ledger.Ledger(spark, path, bucket_size=4, compact_after=None)
-    for batch in range(4):
+    for batch in range(3):
         play(spark, book, model, batch, rng)
     book.compact()
-    for batch in range(4, 8):
+    for batch in range(3, 5):
         play(spark, book, model, batch, rng)
 
     def killed(*args, **kwargs):
@@ -90,9 +90,9 @@ def test_a_compaction_that_is_killed_loses_nothing(spark, tmp_path, monkeypatch,
             book.compact()
     book = ledger.Ledger(spark, path, compact_after=None)
     assert state(book) == model
-    play(spark, book, model, 8, rng)
+    play(spark, book, model, 5, rng)
     book.compact()
-    assert state(book) == model and book.version()["upto"] == 8
+    assert state(book) == model and book.version()["upto"] == 5
     book.compact()
     assert state(book) == model
 
