@@ -48,7 +48,8 @@ def dirname(spark, d):
 
 
 def create_records(spark, d):
-    return _t(spark, d, "events").select(F.col("event_id").alias("id"), names.upload_name(F.col("ts"), F.lit(".png")).alias("filename"), F.lit("Pending").alias("status"))
+    uploads = _t(spark, d, "events").select(F.col("event_id").alias("scan_id"), names.upload_name(F.col("ts"), F.lit(".png")).alias("filename"), "ts")
+    return ledger.create_events(uploads, F.col("ts"), 0).select(F.col("scan_id").alias("id"), "filename", "status")
 
 
 def last_write_wins(spark, d):

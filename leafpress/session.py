@@ -29,9 +29,10 @@ def scratch(spark: SparkSession) -> str:
     """A new folder name inside spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafpress-"))
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="leafpress-"))
     return f"{context.getCheckpointDir().get()}/leafpress-{uuid.uuid4().hex}"
 
 
