@@ -114,7 +114,7 @@ class Ledger:
         return json.loads(self.storage.read(f"versions/{name}"))
 
     def version(self) -> dict:
-        known = [n for n in self.storage.names("versions") if not n.startswith(".")]
+        known = self.storage.names("versions")
         return self._version(known[-1]) if known else {"number": 0, "upto": -1, "max_id": 0, "bucket_size": self.bucket_size, "buckets": {}}
 
     def batches(self, after: int = -1) -> list[int]:
@@ -212,5 +212,5 @@ class Ledger:
             if n.startswith("v=") and int(n.removeprefix("v=")) not in needed:
                 self.storage.delete(f"state/{n}")
         for n in self.storage.names("versions"):
-            if not n.startswith(".") and int(n) < before["number"]:
+            if int(n) < before["number"]:
                 self.storage.delete(f"versions/{n}")

@@ -20,8 +20,9 @@ class Storage:
         return self.fs.exists(self.at(name))
 
     def names(self, folder: str = "") -> list[str]:
-        """Names in a folder; none if it doesn't exist."""
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(folder))) if self.exists(folder) else []
+        """Names in a folder, without hidden ones; none if it doesn't exist."""
+        found = (s.getPath().getName() for s in self.fs.listStatus(self.at(folder))) if self.exists(folder) else ()
+        return sorted(n for n in found if not n.startswith("."))
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.at(name))
