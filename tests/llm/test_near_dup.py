@@ -70,3 +70,41 @@ def test_long_text_gives_the_same_signature_in_slices(monkeypatch):
     whole = near_dup.bag_min_hash(doc, h, w, 5)
     monkeypatch.setattr(near_dup, "_SEEDS", 100)
     assert (near_dup.bag_min_hash(doc, h, w, 5) == whole).all()
+
+
+def test_consumed_tables_are_deleted(spark):
+    import os
+
+    docs = spark.createDataFrame(list(enumerate(boilerplate(30) + [" ".join(f"a{k}" for k in range(60))] * 3)), "doc_id long, text string")
+    near_dup.near_duplicates(docs).count()
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(root))
+    out = near_dup.near_duplicates(docs)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 3, left  # signatures, classes and roots, which the result is read from
+    assert out.count() == 33
+
+
+def test_every_near_copy_of_a_whole_table_is_found(spark):
+    """Classes equal those of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    each = {r.doc_id: near_dup.shingles(r.text) for r in docs.collect()}
+    ids = sorted(each)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i in ids:
+        for h in each[i][0].tolist():
+            holders.setdefault(h, []).append(i)
+    pairs = {(a, b) for held in holders.values() if len(held) > 1 for x, a in enumerate(held) for b in held[x + 1 :]}
+    for a, b in pairs:
+        if near_dup.similarity(each[a], each[b]) >= near_dup.SIMILAR:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in ids}
