@@ -1,8 +1,7 @@
 """Document fingerprints (operator 1), native: DataFrame expressions only.
 
-Winnowing: every run of ``K`` characters has a rolling hash: each character's 64-bit hash, shifted by its
-distance from the run's end, all combined by exclusive or (the kept high bits depend on every character). A run's
-hash follows from those of the runs of half its length by one shift, so no run is cut out and hashed afresh. Of each window of ``WINDOW`` hashes in a
+Winnowing: every run of ``K`` characters has a hash that is rolled along the text: that of its first half, combined by exclusive or with that of
+its second half, shifted. Each half is hashed once and serves the two runs that hold it, so no run is hashed afresh. Of each window of ``WINDOW`` hashes in a
 row the smallest is kept, the rightmost if several are equal, with its position. Two texts that share a
 passage of ``K + WINDOW - 1`` characters share a kept hash from it. A text is read in blocks that
 overlap by one window, so a hash array never holds more than a block and long texts take
@@ -46,19 +45,12 @@ def _let(value: str, name: str, body: str) -> str:
 def _rolled() -> str:
     """The hashes of all runs of K characters of block b, or of b itself if it is shorter.
 
-    Runs of 1, 2, 4, ... characters double; the binary digits of K say which of them make up a run of K.
+    A hash keeps its high 48 bits; below stands the position of its run, reversed so that of equal hashes the rightmost is the smallest.
     """
-    ends = lambda a, n: f"slice({a}, {n + 1}, size({a}))"
-    turn = lambda n: f"shiftleft(p, {n}) ^ q"
-    parts = [1 << i for i in reversed(range(K.bit_length())) if K >> i & 1]
-    run, done = f"c{parts[0]}", parts[0]
-    for n in parts[1:]:
-        run, done = f"zip_with({run}, {ends(f'c{n}', done)}, (p, q) -> {turn(n)})", done + n
-    body = f"slice({run}, 1, size(c1) - {K - 1})"
-    for n in reversed([1 << i for i in range(1, parts[0].bit_length())]):
-        body = _let(f"zip_with(c{n // 2}, {ends(f'c{n // 2}', n // 2)}, (p, q) -> {turn(n // 2)})", f"c{n}", body)
-    body = _let("transform(split(b, ''), c -> xxhash64(c))", "c1", body)
-    return f"IF(char_length(b) >= {K}, {body}, array(xxhash64(b)))"
+    half = K // 2
+    halves = rf"transform(regexp_extract_all(b, '(?s)(?=(.{{{half}}})).', 1), (c, i) -> (xxhash64(c) & -65536L) | (65535 - i))"
+    runs = f"zip_with(slice(c, 1, size(c) - {half}), slice(c, {half + 1}, size(c)), (p, q) -> p ^ shiftleft(q & -65536L, {half}))"
+    return f"IF(char_length(b) >= {K}, {_let(halves, 'c', runs)}, array((xxhash64(b) & -65536L) | 65535))"
 
 
 def winnow(text: str, offset: str = "0L") -> Column:
@@ -66,14 +58,12 @@ def winnow(text: str, offset: str = "0L") -> Column:
 
     Positions count code points from ``offset``, a column name or literal.
     """
-    # A hash keeps its high 48 bits; below stands the position, reversed so that the minimum is the rightmost.
-    hashes = f"transform({_rolled()}, (g, i) -> (g & -65536L) | (65535 - i))"
     body = f"slice(m{WINDOW}, 1, CASE WHEN size(m{WINDOW}) >= {WINDOW} THEN size(m{WINDOW}) - {WINDOW - 1} WHEN j = 0 THEN 1 ELSE 0 END)"
     step = WINDOW
     while step > 1:
         step //= 2
-        body = _let(f"zip_with(m{step}, slice(m{step}, {step + 1}, size(m{step})), (p, q) -> least(p, q))", f"m{2 * step}", body)
-    kept = f"array_distinct({_let(hashes, 'm1', body)})"
+        body = _let(f"zip_with(m{step}, slice(m{step}, {step + 1}, size(m{step})), (p, q) -> IF(q < p, q, p))", f"m{2 * step}", body)
+    kept = f"array_distinct({_let(_rolled(), 'm1', body)})"
     found = f"transform({kept}, x -> named_struct('hash', shiftright(x, 16), 'pos', {offset} + j * {BLOCK}L + (65535 - (x & 65535L))))"
     blocks = rf"regexp_extract_all({text}, '(?s)(?=(.{{1,{BLOCK + _REACH}}})).{{1,{BLOCK}}}', 1)"
     return F.expr(_let(f"flatten(transform({blocks}, (b, j) -> {found}))", "f", _ADJACENT))

@@ -28,9 +28,8 @@ def winnow(t):
         return []
 
     def h(s):
-        v = 0
-        for c in s if len(s) >= k else [s]:
-            v = (v << 1 ^ xxh64_intdigest(c.encode(), seed=42)) & (1 << 64) - 1
+        x = [xxh64_intdigest(c.encode(), seed=42) >> 16 << 16 for c in ((s[: k // 2], s[k // 2 :]) if len(s) >= k else (s,))]
+        v = (x[0] ^ (x[1] << k // 2 if len(x) > 1 else 0)) & (1 << 64) - 1
         return (v - (1 << 64) if v >> 63 else v) >> 16
 
     g = [h(t[i : i + k]) for i in range(len(t) - k + 1)] or [h(t)]
