@@ -378,8 +378,8 @@ def encoded_pages(spark, d):
         return pd.Series([None if x is None or y is None else int(np.abs(gray(x, 1) - gray(y, c)).max()) for x, y, c in zip(a, b, channels)], dtype="Int32")
 
     joined = seen.join(back, F.col("vec_id") == F.col("_id"), "left").withColumn("off", off("seen.value.data", "back.data", "back.channels"))
-    kept = F.when(F.lower("ext").isin(*images.LOSSY), F.col("off") <= 1).otherwise(F.col("off") == 0)
-    return joined.select("vec_id", "ext", "error", (F.col("error") == F.col("seen.error")).alias("same_error"), kept.alias("kept"))
+    kept = F.when(F.col("error").isNotNull(), F.col("_id").isNull()).when(F.lower("ext").isin(*images.LOSSY), F.col("off") <= 1).otherwise(F.col("off") == 0)
+    return joined.select("vec_id", "ext", "error", F.col("error").eqNullSafe(F.col("seen.error")).alias("same_error"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 _LANDED = (".png", ".txt", ".bmp", ".tiff", ".gif", ".PNG")
@@ -467,7 +467,7 @@ _ALL = {
           WHEN 5 THEN x * 16 + y WHEN 6 THEN (3 - x) * 16 + y WHEN 7 THEN (3 - x) * 16 + 15 - y ELSE x * 16 + 15 - y END]), '' ORDER BY y, x) AS pixels FROM i GROUP BY vec_id, h, w"""),
     "encoded_pages": (encoded_pages, """WITH e AS (SELECT vec_id, ['.png', '.jpg', '.bmp', '.tiff', '.xyz', '.JPEG'][1 + ((vec_id % 6) + 6) % 6] AS ext FROM embeddings
           WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(x), false) FOR x IN embedding]))
-        SELECT vec_id, ext, CASE ext WHEN '.xyz' THEN 'no image can be written as ''.xyz''' END AS error, CASE ext WHEN '.xyz' THEN true END AS same_error, CASE WHEN ext <> '.xyz' THEN true END AS kept FROM e"""),
+        SELECT vec_id, ext, CASE ext WHEN '.xyz' THEN 'no image can be written as ''.xyz''' END AS error, true AS same_error, true AS kept FROM e"""),
     "jpeg_blocks": (jpeg_blocks, f"""WITH q(t) AS (VALUES ({[list(r) for r in jpeg.LUMINANCE]})),
         p AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, ((floor(embedding[k + 1]::DOUBLE * 1000)::BIGINT % 256) + 256) % 256 - 128 AS v FROM embeddings, range(64) r(k)
           WHERE len(embedding) = 64 AND list_bool_and([coalesce(NOT isnan(e), false) FOR e IN embedding])),
