@@ -273,6 +273,10 @@ def docx_content(spark, d):
     return built.select("doc_id", "c.title", F.sha2("c.texts", 256).alias("texts_sha256"), "c.runs", "c.sizes")
 
 
+#: Small pages that a task cleans: some seconds of work.
+PAGES_A_TASK = 250
+
+
 def preprocess_pixels(spark, d):
     """The cleaning chain on a page of each embedding: pixel (i, j) is the sum of its i-th value and of the j-th of its second half.
 
@@ -283,9 +287,11 @@ def preprocess_pixels(spark, d):
     gray = lambda a, b: F.lpad(F.hex(F.pmod(F.floor((a + b) * 1000), F.lit(256))), 2, "0")
     half = lambda first: F.slice(v, first, F.greatest(side, F.lit(0)))
     data = F.unhex(F.array_join(F.flatten(F.transform(half(F.lit(1)), lambda a: F.transform(half(F.greatest(side, F.lit(0)) + 1), lambda b: gray(a, b)))), ""))
-    pages = _t(spark, d, "embeddings").select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
-    # Cleaning a page takes far longer than reading its vector, so pages are dealt evenly before it.
-    out = pages.repartition("vec_id").select("vec_id", images.clean_pixels("pixels").alias("c"))
+    # Cleaning a page takes far longer than reading its vector, so vectors are dealt evenly before it, to as many tasks as pages need.
+    vectors = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // PAGES_A_TASK))
+    pages = vectors.repartition(tasks, "vec_id").select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
+    out = pages.select("vec_id", images.clean_pixels("pixels").alias("c"))
     return out.select("vec_id", F.col("c.value.height").alias("height"), F.col("c.value.width").alias("width"), F.sha2("c.value.data", 256).alias("pixels_sha256"), F.col("c.error").alias("error"))
 
 

@@ -120,3 +120,19 @@ def test_files_without_a_scheme_lie_on_the_default_file_system(spark, tmp_path):
     got = {r.path: r for r in docx.write_files(df, str(tmp_path)).collect()}
     assert got["x/1"].bytes == 1 and got["x"].error and "x/2" not in got
     assert files_below(tmp_path) == ["x/1"]
+
+
+def test_a_thresholded_page_is_denoised_by_counting(monkeypatch):
+    rng = np.random.default_rng(5)
+    exp, seen = np.exp, []
+    for shape in ((9, 32, 32), (40, 64), (2, 1, 50), (1, 1)):
+        page = np.where(rng.random(shape) < 0.3, 255, 0).astype(np.uint8)
+        monkeypatch.setattr(kernels.np, "exp", lambda x: seen.append(np.size(x)) or exp(x))
+        got = kernels.denoise(page)
+        monkeypatch.undo()
+        assert max(seen) == kernels.TEMPLATE**2 + 1  # a weight for each count, none for each pixel and shift
+        gray = page.copy()
+        gray.flat[0] ^= 1  # no longer of two values: distances by prefix sums, on nearly the same page
+        assert np.abs(got.astype(int) - kernels.denoise(gray)).max() <= 2
+    pages = np.where(rng.random((700, 8, 9)) < 0.3, 255, 0).astype(np.uint8)
+    assert (np.stack([kernels.denoise(p) for p in pages]) == kernels.denoise(pages)).all()  # stacks are cut into blocks
