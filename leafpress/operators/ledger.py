@@ -19,6 +19,8 @@ from leafpress.sources.storage import Storage
 
 EVENTS = "scan_id long, seq long, created boolean, status string, filename string, text_content string, docx_path string, event_ts timestamp"
 STATE = "scan_id long, seq long, filename string, status string, created_at timestamp, updated_at timestamp, text_content string, docx_path string"
+#: Buckets that the first events of a ledger may lie in; each is a folder and a file in every batch that touches it.
+MOST_BUCKETS = 256
 _VALUES = ("seq", "status", "text_content", "docx_path", "event_ts")
 
 
@@ -96,8 +98,8 @@ class Ledger:
 
     ``delta/batch=<n>/bucket=<b>`` holds the events of a batch, which count once the batch's ``_SUCCESS`` stands there;
     ``state/v=<n>/bucket=<b>`` the scans of a bucket as of a version; ``versions/<n>`` what a version consists of: which buckets are where,
-    and up to which batch they hold everything. The greatest version counts. A bucket is ``bucket_size`` ids in a row, so its size stays and
-    buckets whose scans have ended aren't rewritten. A compaction writes the buckets that the batches touched and then publishes a version
+    and up to which batch they hold everything. The greatest version counts. A bucket is ``bucket_size`` ids in a row (more, if the first events
+    lie far apart; the size is kept with the first version), so its size stays and buckets whose scans have ended aren't rewritten. A compaction writes the buckets that the batches touched and then publishes a version
     by renaming one small file: before that nothing has changed, after it all has. What a version no longer needs goes with the
     compaction after the next, so views taken before one stay readable.
     """
@@ -168,10 +170,22 @@ class Ledger:
     def _append(self, events: DataFrame, batch_id: int) -> None:
         if batch_id <= self.version()["upto"]:
             return  # a replay of what a snapshot holds
-        events.withColumn("bucket", self._bucket()).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.storage.root}/delta/batch={batch_id}")
+        self._fit(events)
+        # A bucket's events go to one task, at most one row an id, else each task would write a file of its own in every bucket.
+        dealt = events.withColumn("bucket", self._bucket()).repartition("bucket")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.storage.root}/delta/batch={batch_id}")
         if self.compact_after and len(self.batches(self.version()["upto"])) >= self.compact_after:
             self.compact()
 
+    def _fit(self, events: DataFrame) -> None:
+        """Before anything is written: doubles the bucket's size until the first events lie in at most MOST_BUCKETS buckets, and publishes it as version 0."""
+        if self.storage.names("versions") or self.storage.names("delta"):
+            return
+        span = events.agg(F.min("scan_id").alias("low"), F.max("scan_id").alias("high")).first()
+        while span.low is not None and span.high // self.bucket_size - span.low // self.bucket_size >= MOST_BUCKETS:
+            self.bucket_size *= 2
+        self.storage.publish("versions/000000000000", json.dumps(self.version()))
+
     def create(self, uploads: DataFrame, batch_id: int, clock: Column | None = None, order: tuple[str, ...] = ("filename",)) -> None:
         """Appends Pending events with the next ids, in the given order; uploads with a column scan_id keep those ids."""
         if "scan_id" not in uploads.columns:

@@ -144,3 +144,21 @@ def test_storage(spark, tmp_path):
     assert s.names("a") == ["b"] and s.read("a/b") == "ä" and s.exists("a/b")
     s.delete("a")
     assert not s.exists("a/b")
+
+
+def test_folders_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "MOST_BUCKETS", 4)
+    book = ledger.Ledger(spark, str(tmp_path / "l"), bucket_size=4, compact_after=None)
+    many = spark.range(-500, 500, numPartitions=8).selectExpr("id AS scan_id", "concat('f', id) AS filename")
+    book.create(many, 0)
+    book.update(many.selectExpr("scan_id", "'Completed' AS status", "filename AS text_content"), 1)
+    for batch in (0, 1):
+        folder = tmp_path / "l" / "delta" / f"batch={batch}"
+        buckets = [b for b in os.listdir(folder) if b.startswith("bucket=")]
+        assert 1 < len(buckets) <= 5
+        assert all(len([f for f in os.listdir(folder / b) if f.endswith(".parquet")]) == 1 for b in buckets)  # not one a task
+    again = ledger.Ledger(spark, str(tmp_path / "l"), bucket_size=4)  # keeps the size that it has, also before a compaction
+    assert again.bucket_size == book.bucket_size > 4
+    assert [r.filename for r in again.get(-3).collect()] == ["f-3"] and again.scans(None).where("status = 'Completed' AND text_content = filename").count() == 1000
+    again.compact()
+    assert again.scans(None).count() == 1000 and [r.filename for r in again.get(499).collect()] == ["f499"]
