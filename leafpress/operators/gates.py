@@ -53,7 +53,10 @@ def download_requests(requests: DataFrame, scans: DataFrame, files: DataFrame) -
     """requests (id) against scans (id, status, docx_path) and a listing of files (path): code, path and name."""
     known = scans.select(F.col("id").alias("_id"), "status", "docx_path")
     listed = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("_path")).distinct()
-    joined = requests.join(known, requests["id"] == F.col("_id"), "left").join(listed, F.col("docx_path") == F.col("_path"), "left")
+    # Scans without a document get keys of their own, which no path equals: as nulls they would all meet in one task.
+    key = F.coalesce("docx_path", F.concat(F.lit("\0"), F.coalesce(requests["id"].cast("string"), F.lit(""))))
+    asked = requests.join(known, requests["id"] == F.col("_id"), "left").withColumn("_key", key)
+    joined = asked.join(listed, F.col("_key") == F.col("_path"), "left")
     code = download_code(F.col("_id").isNotNull(), F.col("status"), F.col("_path").isNotNull())
     path = F.when(code == 200, F.col("docx_path"))
     return joined.select("id", code.alias("code"), path.alias("path"), F.substring_index(path, "/", -1).alias("download_name"))

@@ -136,3 +136,24 @@ def test_a_thresholded_page_is_denoised_by_counting(monkeypatch):
         assert np.abs(got.astype(int) - kernels.denoise(gray)).max() <= 2
     pages = np.where(rng.random((700, 8, 9)) < 0.3, 255, 0).astype(np.uint8)
     assert (np.stack([kernels.denoise(p) for p in pages]) == kernels.denoise(pages)).all()  # stacks are cut into blocks
+
+
+def test_requests_without_a_document_are_spread(spark):
+    from leafpress.operators import gates
+
+    requests = spark.range(2000).select(F.when(F.col("id") < 1800, F.col("id")).alias("id"))  # unknown, pending and null ids
+    scans = spark.range(0, 2000, 2).select("id", F.when(F.col("id") % 20 == 0, "Completed").otherwise("Pending").alias("status"), F.when(F.col("id") % 20 == 0, F.format_string("outputs/%d.docx", "id")).alias("docx_path"))
+    files = scans.where("id % 40 = 0").select(F.col("docx_path").alias("path"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        out = gates.download_requests(requests, scans, files)
+        loads = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        codes = {r.code: r.n for r in out.groupBy("code").agg(F.count("*").alias("n")).collect()}
+        right = out.where("code = 200 AND (download_name IS NULL OR path != concat('outputs/', id, '.docx'))").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert codes == {404: 900 + 200 + 45, 400: 810, 200: 45} and right == 0
+    assert max(loads) < 2 * 2000 / len(loads) and len(loads) == 4  # nulls in one task would be 1,910 of 2,000 rows
