@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,16 +263,19 @@ def docx_build(spark, d):
 def docx_content(spark, d):
     """Title, paragraphs and the sizes of their runs (in half points) of the built packages, read back."""
 
-    @F.pandas_udf("struct<title:string,texts:string,runs:int,sizes:string>")
-    def content(raw: pd.Series) -> pd.DataFrame:
+    kind = "struct<title:string,texts_sha256:string,runs:int,sizes:string>"
+
+    def content(raw: pa.Array) -> pa.Array:
         rows = []
         for x in raw:
-            texts, sizes = docx.read_docx(x)
-            rows.append((texts[0], "\n".join(texts[1:]), len(sizes), ",".join(map(str, sorted(set(sizes))))))
-        return pd.DataFrame(rows, columns=["title", "texts", "runs", "sizes"])
+            texts, sizes = docx.read_docx(x.as_py())
+            digest = hashlib.sha256("\n".join(texts[1:]).encode()).hexdigest()  # in place of the text, which would be held for the whole batch
+            rows.append({"title": texts[0], "texts_sha256": digest, "runs": len(sizes), "sizes": ",".join(map(str, sorted(set(sizes))))})
+        return pa.array(rows, pa.struct({"title": pa.string(), "texts_sha256": pa.string(), "runs": pa.int32(), "sizes": pa.string()}))
 
+    content = F.arrow_udf(content, kind)
     built = docx.with_docx(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", content(F.col("docx.value")).alias("c"))
-    return built.select("doc_id", "c.title", F.sha2("c.texts", 256).alias("texts_sha256"), "c.runs", "c.sizes")
+    return built.select("doc_id", "c.title", "c.texts_sha256", "c.runs", "c.sizes")
 
 
 #: Small pages that a task cleans: some seconds of work.

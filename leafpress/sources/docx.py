@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,19 +75,24 @@ def read_docx(raw: bytes) -> tuple[list[str], list[int]]:
     return texts, [int(x.get(f"{w}val")) for x in root.iter(f"{w}sz")]
 
 
+def _packages(paragraphs: pa.Array) -> pa.Array:
+    """struct<value, error> of each list of paragraphs. Of a batch, which may hold thousands of long texts, one at a time becomes Python strings."""
+    values, errors = [], []
+    for p in paragraphs:
+        value = error = None
+        try:
+            value = build_docx(p.as_py()) if p.is_valid else None
+        except Exception as e:  # noqa: BLE001
+            error = str(e)
+        values.append(value)
+        errors.append(error)
+    return pa.StructArray.from_arrays([pa.array(values, pa.binary()), pa.array(errors, pa.string())], ["value", "error"])
+
+
 def with_docx(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df plus docx struct<value binary, error string> built from the text's paragraphs."""
 
-    @F.pandas_udf("struct<value:binary,error:string>")
-    def build(paragraphs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in paragraphs:
-            try:
-                rows.append((build_docx(list(p)) if p is not None else None, None))
-            except Exception as e:  # noqa: BLE001
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["value", "error"])
-
+    build = F.arrow_udf(_packages, "struct<value:binary,error:string>")
     return df.withColumn("docx", build(paragraph_array(F.col(text_col))))
 
 

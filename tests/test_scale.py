@@ -157,3 +157,16 @@ def test_requests_without_a_document_are_spread(spark):
             spark.conf.set(k, v)
     assert codes == {404: 900 + 200 + 45, 400: 810, 200: 45} and right == 0
     assert max(loads) < 2 * 2000 / len(loads) and len(loads) == 4  # nulls in one task would be 1,910 of 2,000 rows
+
+
+def test_packages_hold_one_text_at_a_time():
+    import tracemalloc
+
+    texts = pa.array([[f"{k} " + "word " * 4000, "end"] for k in range(1500)] + [None, ["bad\x01"]])  # 30 MB
+    tracemalloc.start()
+    made = docx._packages(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    assert docx.read_docx(made[7]["value"].as_py())[0][1:] == texts[7].as_py()
+    assert made[1500].as_py() == {"value": None, "error": None} and "U+0001" in made[1501]["error"].as_py()
