@@ -1,7 +1,7 @@
 """A transactional sink of binary files, as a Spark data source: all files of a job appear, or none.
 
-Tasks write into a staging folder beside the files. When all have ended the driver writes down which attempts count, moves their files into place and removes the
-staging folder; when one fails for good, it removes the staging folder and nothing has appeared. A driver that dies while it moves
+Tasks write into a staging folder beside the files. When all have ended the driver writes down which attempts count; then tasks move their files into place, one attempt each, and the
+staging folder goes. When one fails for good, the driver removes the staging folder and nothing has appeared. A driver that dies meanwhile
 leaves that note, and ``recover`` goes on from it. A file of the same name is replaced.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from leafpress.sources.storage import Storage
 
 STAGING, NOTE = "_staging", "_counts"
-#: Files that the driver moves at a time.
+#: Files that a task moves at a time.
 MOVES = 16
 
 
@@ -68,18 +68,38 @@ def put_whole(system: fs.FileSystem, path: str, value: bytes) -> None:
         raise
 
 
-def finish(system: fs.FileSystem, base: str, job: str, attempts: list[str]) -> None:
-    """Moves what is staged in these attempts; what an earlier run has moved is no longer there."""
-    staged = f"{base}/{STAGING}/{job}"
-    pairs = []
-    for attempt in attempts:
-        top = f"{staged}/{attempt}"
-        for info in system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)):
-            if info.type == fs.FileType.File:
-                pairs.append((info.path, f"{base}{info.path[len(top) :]}"))
+def move_attempt(system: fs.FileSystem, base: str, job: str, attempt: str) -> None:
+    """Moves what is staged in an attempt; what an earlier run has moved is no longer there."""
+    top = f"{base}/{STAGING}/{job}/{attempt}"
+    found = system.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+    pairs = [(i.path, f"{base}{i.path[len(top) :]}") for i in found if i.type == fs.FileType.File]
     with ThreadPoolExecutor(MOVES) as pool:
         list(pool.map(lambda p: move(system, *p), pairs))
-    system.delete_dir(staged)
+
+
+def finish(system: fs.FileSystem, base: str, job: str, attempts: list[str]) -> None:
+    """Moves the files of these attempts and removes the staging folder."""
+    for attempt in attempts:
+        move_attempt(system, base, job, attempt)
+    system.delete_dir(f"{base}/{STAGING}/{job}")
+
+
+def finish_on_workers(spark: SparkSession, root: str, job: str) -> None:
+    """``finish`` of a job whose note stands, each attempt in a task of its own; ``recover`` goes on from one that dies."""
+    system, base = opened(root)
+    with system.open_input_stream(f"{base}/{STAGING}/{job}/{NOTE}") as f:
+        attempts = json.loads(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = opened(root)
+        for batch in batches:
+            for attempt in batch["attempt"].to_pylist():
+                move_attempt(own, folder, job, attempt)
+            yield batch
+
+    if attempts:
+        spark.createDataFrame([(a,) for a in attempts], "attempt string").repartition(len(attempts), "attempt").mapInArrow(run, "attempt string").collect()
+    system.delete_dir(f"{base}/{STAGING}/{job}")
 
 
 def recover(spark: SparkSession, root: str) -> None:
@@ -100,8 +120,9 @@ class Attempt(WriterCommitMessage):
 
 
 class FileWriter(DataSourceArrowWriter):
-    def __init__(self, root: str):
-        self.root, self.job = root, uuid.uuid4().hex
+    def __init__(self, root: str, job: str | None = None):
+        # With a job's name the caller moves the files, once the note stands.
+        self.root, self.job, self.moves = root, job or uuid.uuid4().hex, job is None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         system, base = opened(self.root)
@@ -123,7 +144,8 @@ class FileWriter(DataSourceArrowWriter):
         staged = f"{base}/{STAGING}/{self.job}"
         put(system, f"{staged}/.{NOTE}", json.dumps(attempts).encode())
         system.move(f"{staged}/.{NOTE}", f"{staged}/{NOTE}")
-        finish(system, base, self.job, attempts)
+        if self.moves:
+            finish(system, base, self.job, attempts)
 
     def abort(self, messages: list[Attempt | None]) -> None:
         system, base = opened(self.root)
@@ -143,11 +165,13 @@ class FileSink(DataSource):
         return "path string, value binary"
 
     def writer(self, schema, overwrite: bool) -> FileWriter:
-        return FileWriter(self.options["root"])
+        return FileWriter(self.options["root"], self.options.get("job"))
 
 
 def write_all(files: DataFrame, root: str) -> None:
     """Writes (path, value) below root, all or nothing."""
     spark = files.sparkSession
     spark.dataSource.register(FileSink)
-    files.select("path", "value").write.format("leafpress_files").mode("append").option("root", qualified(spark, root)).save()
+    target, job = qualified(spark, root), uuid.uuid4().hex
+    files.select("path", "value").write.format("leafpress_files").mode("append").option("root", target).option("job", job).save()
+    finish_on_workers(spark, target, job)

@@ -170,3 +170,13 @@ def test_packages_hold_one_text_at_a_time():
     assert peak < 10 << 20
     assert docx.read_docx(made[7]["value"].as_py())[0][1:] == texts[7].as_py()
     assert made[1500].as_py() == {"value": None, "error": None} and "U+0001" in made[1501]["error"].as_py()
+
+
+def test_tasks_move_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "finish", lambda *_: pytest.fail("moved by the driver"))
+    seen = []
+    move = sink.finish_on_workers
+    monkeypatch.setattr(sink, "finish_on_workers", lambda s, root, job: seen.append(files_below(tmp_path / "out")) or move(s, root, job))
+    sink.write_all(spark.range(0, 40, 1, 4).select(F.format_string("a/%d", "id").alias("path"), F.lit(bytearray(b"x")).alias("value")), str(tmp_path / "out"))
+    assert len(seen[0]) == 41 and all(f.startswith(sink.STAGING) for f in seen[0])  # staged, with the note
+    assert files_below(tmp_path / "out") == sorted(f"a/{k}" for k in range(40))
