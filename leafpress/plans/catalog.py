@@ -369,6 +369,16 @@ def jpeg_blocks(spark, d):
     return _small_pages(spark, d, 8, 8).select("vec_id", run("pixels").alias("c")).select("vec_id", "c.*")
 
 
+#: Small files that a task writes.
+FILES_A_TASK = 250
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Pages dealt evenly to as many tasks as their files need: writing a file takes far longer than reading its vector."""
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // FILES_A_TASK))
+    return pages.repartition(tasks, "vec_id")
+
+
 _EXTENSIONS = (".png", ".jpg", ".bmp", ".tiff", ".xyz", ".JPEG")
 
 
@@ -377,7 +387,7 @@ def encoded_pages(spark, d):
     JPEG what quantisation leaves, within one gray; an extension that can't be written gives the error."""
     folder = scratch(spark)
     ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.pmod("vec_id", F.lit(len(_EXTENSIONS))) + 1).cast("int"))
-    pages = written(_small_pages(spark, d, 8, 8).withColumn("ext", ext).withColumn("file", images.encoded_page("pixels", "ext")))
+    pages = written(_dealt(_small_pages(spark, d, 8, 8)).withColumn("ext", ext).withColumn("file", images.encoded_page("pixels", "ext")))
     clean = F.struct(F.col("pixels").alias("value"), F.lit(None).cast("string").alias("error"))
     seen = pages.select("vec_id", "ext", F.col("file.error").alias("error"), images.as_written(clean, "ext").alias("seen"))
     sink.write_all(pages.select(F.concat(F.lit("p"), F.col("vec_id").cast("string"), "ext").alias("path"), F.col("file.value").alias("value")), folder)
@@ -401,7 +411,7 @@ def digitize_stream(spark, d):
     by the ledger; then every document is downloaded. Text files and damaged ones (.PNG) are refused, an extension without a writer fails."""
     folder = scratch(spark)
     ext = F.element_at(F.array(*map(F.lit, _LANDED)), (F.pmod("vec_id", F.lit(len(_LANDED))) + 1).cast("int"))
-    pages = _small_pages(spark, d, 4, 16).withColumn("ext", ext)
+    pages = _dealt(_small_pages(spark, d, 4, 16)).withColumn("ext", ext)
     file = images.encoded_page("pixels", F.when(F.col("ext").isin(".txt", ".gif"), ".png").otherwise(F.lower("ext"))).getField("value")
     gif = F.unhex(F.lit("47494638396101000100800000000000ffffff2c00000000010001000002024401003b"))
     content = F.when(F.col("ext") == ".gif", gif).when(F.col("ext") == ".PNG", F.substring(file, 1, 40)).otherwise(file)

@@ -19,7 +19,6 @@ from leafpress.operators.recognize import EasyOcr, Recognizer, recognizer_column
 from leafpress.session import written
 from leafpress.sources.docx import with_docx, write_files
 from leafpress.sources.images import as_written, content_type, orientation, read_decoded, turned, valid_image
-from leafpress.sources.storage import Storage
 from leafpress.sources.tiles import cleaned_pages
 
 
@@ -33,16 +32,17 @@ def accept(uploads: DataFrame) -> DataFrame:
 
 
 def recognized(pages: DataFrame, name: str = "easyocr", make: Callable[[], Recognizer] = EasyOcr) -> DataFrame:
-    """pages (scan_id, pixels[, ext]) -> (scan_id, text, error); large pages are cleaned in tiles.
+    """pages (scan_id, pixels[, ext]) -> (scan_id, text, error), and what other columns there are; large pages are cleaned in tiles.
 
     With an extension the recognizer sees the cleaned page as its file would hold it; one that can't be written fails the scan.
     """
+    rest = [c for c in pages.columns if c not in ("scan_id", "pixels", "ext")]
     seen = cleaned_pages(pages)
     if "ext" in pages.columns:
-        seen = seen.join(pages.select("scan_id", "ext"), "scan_id").withColumn("clean", as_written("clean", "ext"))
+        seen = seen.withColumn("clean", as_written("clean", "ext"))
     seen = seen.withColumn("found", recognizer_column(F.col("clean.value"), name, make))
     error = F.coalesce("clean.error", "found.error")
-    return seen.select("scan_id", F.when(error.isNull(), fold_fragments(F.col("found.value"))).alias("text"), error.alias("error"))
+    return seen.select("scan_id", *rest, F.when(error.isNull(), fold_fragments(F.col("found.value"))).alias("text"), error.alias("error"))
 
 
 def documents(texts: DataFrame, clock: Column) -> DataFrame:
@@ -72,19 +72,19 @@ def process_batch(uploads: DataFrame, ledger: Ledger, out_folder: str, batch_id:
     spark = uploads.sparkSession
     # Each file is read and judged once; what follows reads these slim rows.
     judged = written(accept(uploads).select("path", "modificationTime", "code", orientation("content").alias("orientation")))
-    good = judged.where("code = 201").select(F.col("path").alias("filename"), "modificationTime")
-    ledger.create(good, 2 * batch_id, order=("modificationTime", "filename"))
-    pending = ledger.batch(2 * batch_id).select("scan_id", "filename", "event_ts")
-    paths = [r["filename"] for r in pending.select("filename").collect()]  # one micro-batch of files, as listed by the source
-    if paths:
-        pages = read_decoded(spark, [p for p in paths if Storage(spark, p).exists("")])
-        how = judged.where("code = 201").select(F.col("path").alias("filename"), "orientation")
-        made = pending.join(how, "filename").join(pages, F.col("filename") == F.col("path"), "left")
-        lost = F.when(F.col("path").isNull(), F.concat(F.lit("Image not found: "), "filename"))
-        made = made.select("scan_id", turned("pixels", "orientation").alias("pixels"), extension(F.col("filename")).alias("ext"), lost.alias("lost"))
-        texts = recognized(made.drop("lost"), name, make).join(made.select("scan_id", "lost"), "scan_id").join(pending.select("scan_id", "event_ts"), "scan_id")
+    good = judged.where("code = 201").select(F.col("path").alias("filename"), "modificationTime", "orientation")
+    ledger.create(good.drop("orientation"), 2 * batch_id, order=("modificationTime", "filename"))
+    pending = ledger.batch(2 * batch_id).select("scan_id", "filename", "event_ts").join(good.select("filename", "orientation"), "filename")
+    # The names of one micro-batch, as listed by the source. Tasks look which files are still there: without its content, reading an upload asks for its status alone.
+    named = pending.join(uploads.select("path"), F.col("filename") == F.col("path"), "left").select("path").collect()
+    if named:
+        # Each page is decoded once, where Spark reads it: the slim rows of the batch go to the pages, whose files may be far smaller than their pixels.
+        pages = read_decoded(spark, [r["path"] for r in named if r["path"]]).join(F.broadcast(pending), F.col("filename") == F.col("path"))
+        made = written(pages.select("scan_id", "event_ts", turned("pixels", "orientation").alias("pixels"), extension(F.col("filename")).alias("ext")))
+        lost = pending.join(made.select("scan_id"), "scan_id", "left_anti")
+        lost = lost.select("scan_id", "event_ts", F.lit(None).cast("string").alias("text"), F.concat(F.lit("Image not found: "), "filename").alias("error"))
         # Recognition runs once: files and changes are made from what is written here.
-        ready = written(documents(texts.withColumn("error", F.coalesce("lost", "error")), F.col("event_ts")))
+        ready = written(documents(recognized(made, name, make).unionByName(lost), F.col("event_ts")))
         files = write_files(ready.where("value IS NOT NULL"), out_folder)
         done = ready.drop("value").join(files.select(F.col("path").alias("docx_path"), F.col("error").alias("write_error")), "docx_path", "left")
         ledger.update(changes(done.withColumn("error", F.coalesce("error", "write_error"))), 2 * batch_id + 1)

@@ -92,10 +92,12 @@ def tiled(pages: DataFrame, chain: str = "clean", size: int = TILE) -> DataFrame
 
 
 def cleaned_pages(pages: DataFrame, large: int = LARGE, size: int = TILE) -> DataFrame:
-    """(scan_id, clean struct<value, error>) of pages (scan_id, pixels): small ones whole, larger ones through tiles."""
+    """(scan_id, clean struct<value, error>) of pages (scan_id, pixels): small ones whole, larger ones through tiles. Other columns stay."""
+    rest = [c for c in pages.columns if c not in ("scan_id", "pixels")]
     p = F.col("pixels")
     big = F.coalesce((p["height"] > 0) & (p["width"] > 0) & (p["height"].cast("long") * p["width"] > large) & p["channels"].isin(1, 3, 4) & (F.octet_length(p["data"]) == p["height"].cast("long") * p["width"] * p["channels"]), F.lit(False))
-    small = pages.where(~big).select("scan_id", clean_pixels("pixels").alias("clean"))
+    small = pages.where(~big).select("scan_id", *rest, clean_pixels("pixels").alias("clean"))
     cut_up = tiled(pages.where(big).select(F.col("scan_id").alias("id"), "pixels.*"), size=size)
     value = F.struct("height", "width", F.lit(1).alias("channels"), "data")
-    return small.unionByName(cut_up.select(F.col("id").alias("scan_id"), F.struct(value.alias("value"), F.lit(None).cast("string").alias("error")).cast(CLEANED).alias("clean")))
+    large_ones = cut_up.select(F.col("id").alias("scan_id"), F.struct(value.alias("value"), F.lit(None).cast("string").alias("error")).cast(CLEANED).alias("clean"))
+    return small.unionByName(large_ones.join(pages.where(big).select("scan_id", *rest), "scan_id") if rest else large_ones)

@@ -132,3 +132,34 @@ def test_recognition_runs_once(spark, tmp_path):
     book = ledger.Ledger(spark, str(tmp_path / "events"))
     process_batch(images.read_uploads(spark, str(land)), book, str(tmp_path / "out"), 0, "counting", Counting).collect()
     assert log.read_text() == "x" and book.get(1).first().status == "Completed"
+
+
+def test_files_are_not_asked_for_one_by_one(spark, tmp_path, monkeypatch):
+    from leafpress.sources.storage import Storage
+
+    land = tmp_path / "land"
+    land.mkdir()
+    for k in range(80):
+        (land / f"{k}.png").write_bytes(images.encode_png(4, 4, bytes(16)))
+    asked, exists = [], Storage.exists
+    monkeypatch.setattr(Storage, "exists", lambda self, name: asked.append(name) or exists(self, name))
+    spark.sparkContext.setJobGroup("one batch", "one batch")
+    try:
+        book = ledger.Ledger(spark, str(tmp_path / "events"))
+        process_batch(images.read_uploads(spark, str(land)), book, str(tmp_path / "out"), 0, "page_size", PageSize).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("one batch") for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) > 5 and max(s.numTasks for s in stages if s) < 40  # before, a task for each file
+    assert len(asked) < 40  # before, a call for each file
+    assert book.scans(None).where("status = 'Completed'").count() == 80
+
+
+def test_large_and_small_pages_keep_their_extension(spark):
+    from leafpress.plans.digitize import recognized
+
+    rows = [(1, (4, 4, 1, bytearray(16)), ".png", "a"), (2, (1100, 1000, 1, bytearray(1100000)), ".bmp", "b"), (3, (1100, 1000, 1, bytearray(1100000)), ".gif", "c")]
+    pages = spark.createDataFrame(rows, f"scan_id long, pixels {images.PIXELS}, ext string, kept string")
+    got = {r.scan_id: (r.kept, r.text, r.error) for r in recognized(pages, "page_size", PageSize).collect()}
+    assert got == {1: ("a", "4 rows\n \n4 columns", None), 2: ("b", "1100 rows\n \n1000 columns", None), 3: ("c", None, "no image can be written as '.gif'")}
