@@ -5,7 +5,8 @@ its second half, shifted. Each half is hashed once and serves the two runs that
 row the smallest is kept, the rightmost if several are equal, with its position. Two texts that share a
 passage of ``K + WINDOW - 1`` characters share a kept hash from it. A text is read in blocks that
 overlap by one window, so a hash array never holds more than a block and long texts take
-linear time. Window minima come from five doubling steps.
+linear time. Window minima come from five doubling steps, each of an array with itself moved on: something put before it moves
+an array far more cheaply than a slice does. What a window has beyond the block is ``NONE``, the least value, which marks the whole window.
 
 ``compare_with_next`` needs the document after each one. Documents are dealt to buckets by
 quantiles of their id; the first document of each bucket is also sent to the bucket before it,
@@ -42,15 +43,30 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+#: No hash: the low bits of one hold a position, and are never all 0.
+NONE = "(-9223372036854775807L - 1L)"
+
+
 def _rolled() -> str:
-    """The hashes of all runs of K characters of block b, or of b itself if it is shorter.
+    """The hashes of all runs of K characters of block b, between as many NONE as a half has characters.
 
     A hash keeps its high 48 bits; below stands the position of its run, reversed so that of equal hashes the rightmost is the smallest.
     """
     half = K // 2
     halves = rf"transform(regexp_extract_all(b, '(?s)(?=(.{{{half}}})).', 1), (c, i) -> (xxhash64(c) & -65536L) | (65535 - i))"
-    runs = f"zip_with(slice(c, 1, size(c) - {half}), slice(c, {half + 1}, size(c)), (p, q) -> p ^ shiftleft(q & -65536L, {half}))"
-    return f"IF(char_length(b) >= {K}, {_let(halves, 'c', runs)}, array((xxhash64(b) & -65536L) | 65535))"
+    runs = f"zip_with(concat(array_repeat(CAST(NULL AS BIGINT), {half}), c), c, (p, q) -> coalesce(p ^ shiftleft(q & -65536L, {half}), {NONE}))"
+    return _let(halves, "c", runs)
+
+
+def _minima() -> str:
+    """The distinct minima of all windows of block b, by position: of its one window if it is the text's first and shorter, of none if it is a later one."""
+    body, step = f"m{WINDOW}", WINDOW
+    while step > 1:
+        step //= 2
+        body = _let(f"zip_with(concat(array_repeat({NONE}, {step}), m{step}), m{step}, (p, q) -> IF(q < p, q, p))", f"m{2 * step}", body)
+    full = f"array_remove(array_distinct({_let(_rolled(), 'm1', body)}), {NONE})"
+    short = f"IF(char_length(b) >= {K}, array_min(array_remove({_rolled()}, {NONE})), (xxhash64(b) & -65536L) | 65535)"
+    return f"CASE WHEN char_length(b) > {_REACH} THEN {full} WHEN j = 0 THEN array({short}) ELSE CAST(array() AS ARRAY<BIGINT>) END"
 
 
 def winnow(text: str, offset: str = "0L") -> Column:
@@ -58,13 +74,7 @@ def winnow(text: str, offset: str = "0L") -> Column:
 
     Positions count code points from ``offset``, a column name or literal.
     """
-    body = f"slice(m{WINDOW}, 1, CASE WHEN size(m{WINDOW}) >= {WINDOW} THEN size(m{WINDOW}) - {WINDOW - 1} WHEN j = 0 THEN 1 ELSE 0 END)"
-    step = WINDOW
-    while step > 1:
-        step //= 2
-        body = _let(f"zip_with(m{step}, slice(m{step}, {step + 1}, size(m{step})), (p, q) -> IF(q < p, q, p))", f"m{2 * step}", body)
-    kept = f"array_distinct({_let(_rolled(), 'm1', body)})"
-    found = f"transform({kept}, x -> named_struct('hash', shiftright(x, 16), 'pos', {offset} + j * {BLOCK}L + (65535 - (x & 65535L))))"
+    found = f"transform({_minima()}, x -> named_struct('hash', shiftright(x, 16), 'pos', {offset} + j * {BLOCK}L + (65535 - (x & 65535L))))"
     blocks = rf"regexp_extract_all({text}, '(?s)(?=(.{{1,{BLOCK + _REACH}}})).{{1,{BLOCK}}}', 1)"
     return F.expr(_let(f"flatten(transform({blocks}, (b, j) -> {found}))", "f", _ADJACENT))
 

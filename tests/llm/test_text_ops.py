@@ -186,3 +186,25 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark, monkeypatch):
     kept = mixing.mixing_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert kept.count() == sum(r[4] for r in one) and kept.columns == ["doc_id", "text", "source"]
     assert mixing.mix(df.where("false")).count() == 0
+
+
+def test_hash_arrays_are_moved_on_without_slices(spark):
+    # A slice of an array costs more than the comparison it serves.
+    plan = spark.range(1).select(fingerprint.winnow("CAST(id AS STRING)"))._jdf.queryExecution().analyzed().toString()
+    assert "zip_with" in plan and "slice(" not in plan
+
+
+def test_minima_around_a_window_and_a_block(spark):
+    fp = fingerprint
+
+    sizes = [0, 1, fp.K - 1, fp.K, fp._REACH, fp._REACH + 1, fp._REACH + 2, fp.BLOCK, fp.BLOCK + fp._REACH, fp.BLOCK + fp._REACH + 1, 2 * fp.BLOCK + 1]
+    texts = ["".join(chr(97 + (i * i * 7 + i // 3) % k) for i in range(n)) for n in sizes for k in (1, 2, 26)]
+    runs = r"transform(sequence(0, greatest(0, char_length(t) - 12)), i -> substring(t, i + 1, 12))"
+    half = "(xxhash64(substring(r, {}, 6)) & -65536L)"
+    value = f"IF(char_length(r) < 12, xxhash64(r) & -65536L, {half.format(1)} ^ shiftleft({half.format(7)}, 6) & -65536L)"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fp.winnow("t").alias("got"), F.expr(f"transform({runs}, r -> shiftright({value}, 16))").alias("all"))
+    for r in rows.collect():
+        n = len(r["all"])
+        windows = [range(a, min(a + fp.WINDOW, n)) for a in range(max(1, n - fp.WINDOW + 1))]
+        kept = sorted({min(w, key=lambda i: (r["all"][i], -i)) for w in windows}) if r.t else []
+        assert [(x.hash, x.pos) for x in r.got] == [(r["all"][i], i) for i in kept], len(r.t)
