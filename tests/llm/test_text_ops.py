@@ -196,7 +196,6 @@ def test_hash_arrays_are_moved_on_without_slices(spark):
 
 def test_minima_around_a_window_and_a_block(spark):
     fp = fingerprint
-
     sizes = [0, 1, fp.K - 1, fp.K, fp._REACH, fp._REACH + 1, fp._REACH + 2, fp.BLOCK, fp.BLOCK + fp._REACH, fp.BLOCK + fp._REACH + 1, 2 * fp.BLOCK + 1]
     texts = ["".join(chr(97 + (i * i * 7 + i // 3) % k) for i in range(n)) for n in sizes for k in (1, 2, 26)]
     runs = r"transform(sequence(0, greatest(0, char_length(t) - 12)), i -> substring(t, i + 1, 12))"
