@@ -292,10 +292,11 @@ def preprocess_pixels(spark, d):
     gray = lambda a, b: F.lpad(F.hex(F.pmod(F.floor((a + b) * 1000), F.lit(256))), 2, "0")
     half = lambda first: F.slice(v, first, F.greatest(side, F.lit(0)))
     data = F.unhex(F.array_join(F.flatten(F.transform(half(F.lit(1)), lambda a: F.transform(half(F.greatest(side, F.lit(0)) + 1), lambda b: gray(a, b)))), ""))
-    # Cleaning a page takes far longer than reading its vector, so vectors are dealt evenly before it, to as many tasks as pages need.
+    # Cleaning a page takes far longer than making it, so pages are dealt evenly before it, to as many tasks as they need. They are made before they are dealt: the
+    # optimizer left the call of Python in the plan, where it can't run, when its argument held these lambdas above a repartition.
     vectors = _t(spark, d, "embeddings").select("vec_id", "embedding")
     tasks = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // PAGES_A_TASK))
-    pages = vectors.repartition(tasks, "vec_id").select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels"))
+    pages = vectors.select("vec_id", F.struct(side.alias("height"), side.alias("width"), F.lit(1).alias("channels"), data.alias("data")).alias("pixels")).repartition(tasks, "vec_id")
     out = pages.select("vec_id", images.clean_pixels("pixels").alias("c"))
     return out.select("vec_id", F.col("c.value.height").alias("height"), F.col("c.value.width").alias("width"), F.sha2("c.value.data", 256).alias("pixels_sha256"), F.col("c.error").alias("error"))
 

@@ -1,5 +1,6 @@
 """Page files and orientation: byte-level cases, every writer read by Spark's image source, and both inside the plan."""
 
+import hashlib
 import struct
 
 import numpy as np
@@ -163,3 +164,19 @@ def test_large_and_small_pages_keep_their_extension(spark):
     pages = spark.createDataFrame(rows, f"scan_id long, pixels {images.PIXELS}, ext string, kept string")
     got = {r.scan_id: (r.kept, r.text, r.error) for r in recognized(pages, "page_size", PageSize).collect()}
     assert got == {1: ("a", "4 rows\n \n4 columns", None), 2: ("b", "1100 rows\n \n1000 columns", None), 3: ("c", None, "no image can be written as '.gif'")}
+
+
+def test_pages_of_vectors_are_cleaned_in_any_plan(spark, sf):
+    from leafpress.plans import catalog
+
+    spark.read.parquet(f"{sf}/documents.parquet").count()  # after a first query the call of Python stayed in the plan, where it can't run
+    made = catalog.preprocess_pixels(spark, sf)
+    assert made.where("error IS NOT NULL").count() == 0
+    got = {r.vec_id: r.pixels_sha256 for r in made.where("vec_id < 5").collect()}
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 5").collect()
+    for r in vectors:
+        v = np.array(r.embedding, np.float32)
+        half = len(v) // 2
+        page = (np.floor((v[:half, None] + v[None, half : 2 * half]).astype(float) * 1000) % 256).astype(np.uint8)
+        assert got[r.vec_id] == hashlib.sha256(kernels.clean(page[..., None]).tobytes()).hexdigest()
+    assert vectors
