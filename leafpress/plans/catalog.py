@@ -304,18 +304,21 @@ def preprocess_pixels(spark, d):
 def download_content(spark, d):
     """Every document's package written as a file, all or nothing, and downloaded: the name, and what the file holds."""
 
-    @F.pandas_udf("struct<title:string,texts:string>")
-    def content(raw: pd.Series) -> pd.DataFrame:
-        read = [docx.read_docx(x)[0] for x in raw]
-        return pd.DataFrame([(t[0], "\n".join(t[1:])) for t in read], columns=["title", "texts"])
+    def content(raw: pa.Array) -> pa.Array:
+        rows = []
+        for x in raw:
+            texts = docx.read_docx(x.as_py())[0]
+            rows.append({"title": texts[0], "texts_sha256": hashlib.sha256("\n".join(texts[1:]).encode()).hexdigest()})  # in place of the text, which would be held for the whole batch
+        return pa.array(rows, pa.struct({"title": pa.string(), "texts_sha256": pa.string()}))
 
+    content = F.arrow_udf(content, "struct<title:string,texts_sha256:string>")
     folder = scratch(spark)
-    built = docx.with_docx(_t(spark, d, "documents").select("doc_id", "text"))
+    docs = _t(spark, d, "documents").select("doc_id", "text")
     name = F.concat(F.lit("outputs/scan_"), F.col("doc_id").cast("string"), F.lit(".docx"))
-    sink.write_all(built.select(name.alias("path"), F.col("docx.value").alias("value")), folder)
-    files = docx.read_downloads(spark, f"{folder}/outputs")
+    sink.write_all(docx.with_docx(docs).select(name.alias("path"), F.col("docx.value").alias("value")), folder)
+    files = docx.downloads(docs.select(name.alias("path")), folder)
     number = F.regexp_extract("download_name", r"_(-?\d+)\.docx$", 1).cast("long")
-    return files.select(number.alias("doc_id"), "download_name", content("content").alias("c")).select("doc_id", "download_name", "c.title", F.sha2("c.texts", 256).alias("texts_sha256"))
+    return files.select(number.alias("doc_id"), "download_name", content("content").alias("c")).select("doc_id", "download_name", "c.title", "c.texts_sha256")
 
 
 def _stacked(spark, d) -> DataFrame:
@@ -424,8 +427,9 @@ def digitize_stream(spark, d):
     def texts(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: "|".join(docx.read_docx(x)[0]))
 
-    written_files = docx.read_downloads(spark, f"{folder}/out/outputs").select("download_name", texts("content").alias("paragraphs"))
-    answered = book.scans(None).withColumn("download_name", names.basename(F.col("docx_path"))).join(written_files, "download_name", "left")
+    scans = written(book.scans(None))
+    written_files = docx.downloads(scans.select("docx_path"), f"{folder}/out", "docx_path").select(F.col("path").alias("docx_path"), texts("content").alias("paragraphs"))
+    answered = scans.join(written_files, "docx_path", "left")
     none = F.lit(None).cast("string")
     refused = spark.read.parquet(f"{folder}/rejects").select(names.basename(F.col("path")).alias("name"), "code", none.alias("status"), none.alias("text_content"), none.alias("paragraphs"))
     return answered.select(names.basename(F.col("filename")).alias("name"), F.lit(201).alias("code"), "status", "text_content", "paragraphs").unionByName(refused)

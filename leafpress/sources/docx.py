@@ -20,6 +20,8 @@ from leafpress.sources.sink import opened, put_whole, qualified
 TITLE = "OCR Extracted Text"
 HALF_POINTS = 24
 MEDIA_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+#: Files that a task reads, and the bytes of them that it holds at a time (more, if one file is larger).
+READS_A_TASK, READ_BYTES = 2000, 4 << 20
 
 _MAIN = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
@@ -124,3 +126,34 @@ def read_downloads(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, download_name, media_type, content) of finished documents."""
     found = spark.read.format("binaryFile").load(paths)
     return found.select("path", F.substring_index("path", "/", -1).alias("download_name"), F.lit(MEDIA_TYPE).alias("media_type"), "content")
+
+
+def downloads(paths: DataFrame, root: str, path_col: str = "path") -> DataFrame:
+    """(path, download_name, media_type, content) of the documents at these paths below root, one row for each path; one that isn't there has none.
+
+    Tasks open the files by their names, so neither a listing nor a status of each file stands on the driver, as with ``read_downloads``.
+    """
+    target = qualified(paths.sparkSession, root)
+    asked = paths.select(F.col(path_col).alias("path")).where("path IS NOT NULL")
+    tasks = max(paths.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // READS_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(target)
+        pack = lambda rows: pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+        held, size = [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with system.open_input_file(f"{base}/{path}") as f:
+                        held.append((path.as_py(), f.read()))
+                except FileNotFoundError:
+                    continue
+                size += len(held[-1][1])
+                if size >= READ_BYTES:
+                    yield pack(held)
+                    held, size = [], 0
+        yield pack(held)
+
+    # Opening a file takes far longer than reading its name, so names are dealt to as many tasks as the files need.
+    found = asked.repartition(tasks, "path").distinct().mapInArrow(run, "path string, content binary")
+    return found.select("path", F.substring_index("path", "/", -1).alias("download_name"), F.lit(MEDIA_TYPE).alias("media_type"), "content")

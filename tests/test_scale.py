@@ -180,3 +180,17 @@ def test_tasks_move_the_files(spark, tmp_path, monkeypatch):
     sink.write_all(spark.range(0, 40, 1, 4).select(F.format_string("a/%d", "id").alias("path"), F.lit(bytearray(b"x")).alias("value")), str(tmp_path / "out"))
     assert len(seen[0]) == 41 and all(f.startswith(sink.STAGING) for f in seen[0])  # staged, with the note
     assert files_below(tmp_path / "out") == sorted(f"a/{k}" for k in range(40))
+
+
+def test_documents_are_read_without_a_listing(spark, sf, tmp_path):
+    from leafpress.plans import catalog
+
+    (tmp_path / "a").mkdir()
+    for name, value in (("a/1", b"x"), ("a/2", b""), ("3", b"yz"), ("a/other", b"not asked for")):
+        (tmp_path / name).write_bytes(value)
+    paths = spark.createDataFrame([("a/1",), ("a/2",), ("3",), ("a/1",), ("a/none",), (None,)], "path string")
+    made = docx.downloads(paths, str(tmp_path))
+    assert sorted((r.path, r.download_name, bytes(r.content)) for r in made.collect()) == [("3", "3", b"yz"), ("a/1", "1", b"x"), ("a/2", "2", b"")]
+    assert docx.read_downloads(spark, str(tmp_path / "a")).inputFiles()  # what the driver holds of a listing
+    for df in (made, catalog.download_content(spark, sf)):
+        assert not [f for f in df.inputFiles() if not f.endswith(".parquet")] and "binaryFile" not in df._jdf.queryExecution().toString()
