@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress.operators.gates import COMPLETED
-from leafpress.operators.numbering import dense_ids
+from leafpress.operators.numbering import numbered
 from leafpress.sources.storage import Storage
 
 EVENTS = "scan_id long, seq long, created boolean, status string, filename string, text_content string, docx_path string, event_ts timestamp"
@@ -109,6 +109,9 @@ class Ledger:
         self.storage = Storage(spark, path)
         known = self.storage.names("versions")
         self.bucket_size = self._version(known[-1])["bucket_size"] if known else bucket_size
+        # Batches whose ids are known to end at _top, so that the next ones are numbered without reading them again.
+        self._seen: set[int] = set()
+        self._top = 0
 
     # What is there.
 
@@ -119,10 +122,16 @@ class Ledger:
         known = self.storage.names("versions")
         return self._version(known[-1]) if known else {"number": 0, "upto": -1, "max_id": 0, "bucket_size": self.bucket_size, "buckets": {}}
 
+    def _folders(self, after: int) -> list[int]:
+        """Numbers of the batches above ``after`` that have a folder, whether they count or not."""
+        return sorted(n for n in (int(n.removeprefix("batch=")) for n in self.storage.names("delta") if n.startswith("batch=")) if n > after)
+
+    def _counts(self, number: int) -> bool:
+        return self.storage.exists(f"delta/batch={number}/_SUCCESS")
+
     def batches(self, after: int = -1) -> list[int]:
         """Numbers of the batches that count, above ``after``."""
-        found = (int(n.removeprefix("batch=")) for n in self.storage.names("delta") if n.startswith("batch="))
-        return sorted(n for n in found if n > after and self.storage.exists(f"delta/batch={n}/_SUCCESS"))
+        return [n for n in self._folders(after) if self._counts(n)]
 
     def _bucket(self) -> Column:
         return F.expr(f"(scan_id - pmod(scan_id, {self.bucket_size})) div {self.bucket_size}")
@@ -144,7 +153,7 @@ class Ledger:
         return self._read(EVENTS, "delta", folders)
 
     def batch(self, number: int) -> DataFrame:
-        return self._read(EVENTS, "delta", [f"batch={number}"] if number in self.batches(number - 1) else [])
+        return self._read(EVENTS, "delta", [f"batch={number}"] if self._counts(number) else [])
 
     def state(self, buckets: Sequence[int] | None = None, scan_id: int | None = None) -> DataFrame:
         """The merged state; of some buckets, or of one id, only those buckets are read, in the snapshot and in the batches after it."""
@@ -167,15 +176,18 @@ class Ledger:
 
     # What changes it.
 
-    def _append(self, events: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version()["upto"]:
-            return  # a replay of what a snapshot holds
+    def _append(self, events: DataFrame, batch_id: int) -> bool:
+        """Whether the events were written."""
+        version = self.version()
+        if batch_id <= version["upto"]:
+            return False  # a replay of what a snapshot holds
         self._fit(events)
         # A bucket's events go to one task, at most one row an id, else each task would write a file of its own in every bucket.
         dealt = events.withColumn("bucket", self._bucket()).repartition("bucket")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.storage.root}/delta/batch={batch_id}")
-        if self.compact_after and len(self.batches(self.version()["upto"])) >= self.compact_after:
+        if self.compact_after and len(self._folders(version["upto"])) >= self.compact_after and len(self.batches(version["upto"])) >= self.compact_after:
             self.compact()
+        return True
 
     def _fit(self, events: DataFrame) -> None:
         """Before anything is written: doubles the bucket's size until the first events lie in at most MOST_BUCKETS buckets, and publishes it as version 0."""
@@ -186,18 +198,29 @@ class Ledger:
             self.bucket_size *= 2
         self.storage.publish("versions/000000000000", json.dumps(self.version()))
 
-    def create(self, uploads: DataFrame, batch_id: int, clock: Column | None = None, order: tuple[str, ...] = ("filename",)) -> None:
-        """Appends Pending events with the next ids, in the given order; uploads with a column scan_id keep those ids."""
+    def create(self, uploads: DataFrame, batch_id: int, clock: Column | None = None, order: tuple[str, ...] = ("filename",), last: int | None = None) -> None:
+        """Appends Pending events with the next ids, in the given order; uploads with a column scan_id keep those ids, which end at ``last`` if they follow ``last_id``."""
         if "scan_id" not in uploads.columns:
-            version = self.version()
-            newer = self.events(version["upto"]).where(F.col("created") & (F.col("batch") != batch_id))
-            after = max(version["max_id"], newer.agg(F.max("scan_id")).first()[0] or 0)
-            uploads = dense_ids(uploads, order, "scan_id", after)
-        self._append(create_events(uploads, F.current_timestamp() if clock is None else clock, batch_id), batch_id)
+            uploads, last = numbered(uploads, order, "scan_id", self.last_id(batch_id))
+        wrote = self._append(create_events(uploads, F.current_timestamp() if clock is None else clock, batch_id), batch_id)
+        self._seen.discard(batch_id)
+        if wrote and last is not None:
+            self._seen, self._top = self._seen | {batch_id}, last
+
+    def last_id(self, batch_id: int) -> int:
+        """The greatest id of all batches but this one. They are read if there are some that this ledger hasn't written or read itself."""
+        version = self.version()
+        others = {n for n in self.batches(version["upto"]) if n != batch_id}
+        if batch_id in self._seen or not others <= self._seen:
+            newer = self._read(EVENTS, "delta", [f"batch={n}" for n in sorted(others)]).where("created")
+            self._seen, self._top = others, newer.agg(F.max("scan_id")).first()[0] or 0
+        return max(version["max_id"], self._top)
 
     def update(self, changes: DataFrame, batch_id: int, clock: Column | None = None) -> None:
         """Appends changes; one that follows a creation has a greater batch number."""
+        again = batch_id in self._seen
         self._append(update_events(changes, F.current_timestamp() if clock is None else clock, batch_id), batch_id)
+        self._seen = self._seen - {batch_id} if again else self._seen | {batch_id}  # a batch written over may have held ids
 
     def compact(self) -> None:
         """Folds the batches since the last version into the buckets that they touch."""

@@ -8,9 +8,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafpress.functions.text import paragraph_array
@@ -98,28 +97,38 @@ def with_docx(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("docx", build(paragraph_array(F.col(text_col))))
 
 
-def write_files(df: DataFrame, root: str, path_col: str = "docx_path", value_col: str = "value") -> DataFrame:
-    """Writes each binary value to root/path; returns (path, bytes, error), so that one bad file is that scan's failure. ``sink.write_all`` writes all or nothing.
+def file_written(spark: SparkSession, root: str, path: Column | str, value: Column | str) -> Column:
+    """struct<bytes long, error string> of writing each value to root/path; null values are passed by (null, null). One bad file is its row's error.
 
-    A root without a scheme lies on Hadoop's default file system. A file appears whole, by a rename; a retried task writes the same bytes again. Nulls are passed by.
+    A file appears whole, by a rename; a retried task writes the same bytes again.
     """
-    target = qualified(df.sparkSession, root)
+    target = qualified(spark, root)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(paths: pa.Array, values: pa.Array) -> pa.Array:
         system, base = opened(target)
-        for b in batches:
-            rows = []
-            for path, value in zip(b["path"], b["value"]):
-                if value is None:
-                    continue
+        rows = []
+        for p, v in zip(paths, values):
+            row = {"bytes": None, "error": None}
+            if v.is_valid:
                 try:
-                    put_whole(system, f"{base}/{path}", value)
-                    rows.append((path, len(value), None))
+                    put_whole(system, f"{base}/{p.as_py()}", v.as_py())
+                    row["bytes"] = len(v.as_py())
                 except Exception as e:  # noqa: BLE001
-                    rows.append((path, 0, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "bytes", "error"]).astype({"bytes": "int64"})
+                    row = {"bytes": 0, "error": str(e)}
+            rows.append(row)
+        return pa.array(rows, pa.struct({"bytes": pa.int64(), "error": pa.string()}))
+
+    # Not to be moved into a filter or done twice.
+    return F.arrow_udf(run, "struct<bytes:long,error:string>").asNondeterministic()(path, value)
+
 
-    return df.select(F.col(path_col).alias("path"), F.col(value_col).alias("value")).mapInPandas(run, "path string, bytes long, error string")
+def write_files(df: DataFrame, root: str, path_col: str = "docx_path", value_col: str = "value") -> DataFrame:
+    """Writes each binary value to root/path; returns (path, bytes, error), so that one bad file is that scan's failure. ``sink.write_all`` writes all or nothing.
+
+    A root without a scheme lies on Hadoop's default file system. Nulls are passed by.
+    """
+    kept = df.select(F.col(path_col).alias("path"), F.col(value_col).alias("value")).where("value IS NOT NULL")
+    return kept.select("path", file_written(df.sparkSession, root, "path", "value").alias("w")).select("path", "w.bytes", "w.error")
 
 
 def read_downloads(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import kernels
@@ -91,11 +91,16 @@ def tiled(pages: DataFrame, chain: str = "clean", size: int = TILE) -> DataFrame
     return joined(worked(cut(pages, chain, size), chain))
 
 
+def is_large(p: Column, large: int = LARGE) -> Column:
+    """Whether pixels are to be cut into tiles: of more than ``large`` pixels, and filling their page. Never null."""
+    area = p["height"].cast("long") * p["width"]
+    return F.coalesce((p["height"] > 0) & (p["width"] > 0) & (area > large) & p["channels"].isin(1, 3, 4) & (F.octet_length(p["data"]) == area * p["channels"]), F.lit(False))
+
+
 def cleaned_pages(pages: DataFrame, large: int = LARGE, size: int = TILE) -> DataFrame:
     """(scan_id, clean struct<value, error>) of pages (scan_id, pixels): small ones whole, larger ones through tiles. Other columns stay."""
     rest = [c for c in pages.columns if c not in ("scan_id", "pixels")]
-    p = F.col("pixels")
-    big = F.coalesce((p["height"] > 0) & (p["width"] > 0) & (p["height"].cast("long") * p["width"] > large) & p["channels"].isin(1, 3, 4) & (F.octet_length(p["data"]) == p["height"].cast("long") * p["width"] * p["channels"]), F.lit(False))
+    big = is_large(F.col("pixels"), large)
     small = pages.where(~big).select("scan_id", *rest, clean_pixels("pixels").alias("clean"))
     cut_up = tiled(pages.where(big).select(F.col("scan_id").alias("id"), "pixels.*"), size=size)
     value = F.struct("height", "width", F.lit(1).alias("channels"), "data")

@@ -31,9 +31,8 @@ def start(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        refused = process_batch(batch, ledger, out_folder, batch_id, name, make)
-        if rejects:
-            refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        refuse = (lambda refused: refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")) if rejects else None
+        process_batch(batch, ledger, out_folder, batch_id, name, make, refuse)
 
     source = read_uploads(spark, landing, True, max_files)
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -180,3 +180,63 @@ def test_pages_of_vectors_are_cleaned_in_any_plan(spark, sf):
         page = (np.floor((v[:half, None] + v[None, half : 2 * half]).astype(float) * 1000) % 256).astype(np.uint8)
         assert got[r.vec_id] == hashlib.sha256(kernels.clean(page[..., None]).tobytes()).hexdigest()
     assert vectors
+
+
+def landed(folder, n):
+    folder.mkdir()
+    for k in range(n):
+        (folder / f"{k:02d}.png").write_bytes(images.encode_png(4, 4, bytes(16)))
+    return str(folder)
+
+
+def test_a_batch_runs_few_jobs(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    land = landed(tmp_path / "land", 80)
+    (tmp_path / "land" / "x.txt").write_bytes(b"text")
+    codes = []
+    for n in (0, 1):  # the second batch finds the first one's ids
+        spark.sparkContext.setJobGroup(f"batch {n}", "")
+        try:
+            refuse = lambda refused: codes.append([r.code for r in refused.collect()])
+            process_batch(images.read_uploads(spark, land), book, str(tmp_path / "out"), n, "page_size", PageSize, refuse)
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = tracker.getJobIdsForGroup("batch 1")
+    assert 5 < len(jobs) <= 17  # before, 26
+    scans = sorted((r.id, r.status, r.text_content) for r in book.scans(None).collect())
+    assert scans == [(k, "Completed", "4 rows\n \n4 columns") for k in range(1, 161)] and codes == [[400], [400]]
+    assert [r.filename[-6:] for r in book.scans(None).orderBy("id").collect()][:3] == ["00.png", "01.png", "02.png"]
+
+
+def test_a_file_that_vanishes_fails_its_scan_alone(spark, tmp_path, monkeypatch):
+    from leafpress.plans import digitize
+
+    land, read = landed(tmp_path / "land", 4), images.read_decoded
+
+    def late(spark, folder):
+        (tmp_path / "land" / "02.png").unlink(missing_ok=True)
+        return read(spark, folder)
+
+    monkeypatch.setattr(digitize, "read_decoded", late)
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    process_batch(images.read_uploads(spark, land), book, str(tmp_path / "out"), 0, "page_size", PageSize)
+    got = {r.filename[-6:]: (r.status.split(": ")[:2], r.docx_path) for r in book.scans(None).collect()}
+    assert got.pop("02.png") == (["Failed", "Image not found"], None)
+    assert len(got) == 3 and all(status == ["Completed"] and (tmp_path / "out" / path).exists() for status, path in got.values())
+
+
+def test_large_pages_of_a_batch_pass_through_tiles(spark, tmp_path):
+    land = landed(tmp_path / "land", 2)
+    (tmp_path / "land" / "big.png").write_bytes(images.encode_png(1100, 1000, bytes(1100000)))
+    (tmp_path / "land" / "big.gif").write_bytes((tmp_path / "land" / "big.png").read_bytes())
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    process_batch(images.read_uploads(spark, land), book, str(tmp_path / "out"), 0, "page_size", PageSize)
+    got = {r.filename.rsplit("/", 1)[1]: (r.status, r.text_content) for r in book.scans(None).collect()}
+    assert got == {"00.png": ("Completed", "4 rows\n \n4 columns"), "01.png": ("Completed", "4 rows\n \n4 columns"), "big.png": ("Completed", "1100 rows\n \n1000 columns"), "big.gif": ("Failed: no image can be written as '.gif'", None)}
+
+
+def test_what_refused_files_raise_ends_the_batch(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "events"))
+    with pytest.raises(ZeroDivisionError):
+        process_batch(images.read_uploads(spark, landed(tmp_path / "land", 1)), book, str(tmp_path / "out"), 0, "page_size", PageSize, lambda refused: 1 / 0)

@@ -162,3 +162,29 @@ def test_folders_and_files_are_bounded(spark, tmp_path, monkeypatch):
     assert [r.filename for r in again.get(-3).collect()] == ["f-3"] and again.scans(None).where("status = 'Completed' AND text_content = filename").count() == 1000
     again.compact()
     assert again.scans(None).count() == 1000 and [r.filename for r in again.get(499).collect()] == ["f499"]
+
+
+def test_ids_go_on_without_reading_own_batches(spark, tmp_path, monkeypatch):
+    ups = lambda *names: spark.createDataFrame([(n,) for n in names], "filename string")
+    ids = lambda book: {r.filename: r.id for r in book.scans(None).collect()}
+    path = str(tmp_path / "l")
+    book, read = ledger.Ledger(spark, path, compact_after=None), []
+    real = ledger.Ledger._read
+    monkeypatch.setattr(ledger.Ledger, "_read", lambda self, schema, kind, folders: read.append(folders) or real(self, schema, kind, folders))
+    for n in (0, 2, 4):
+        book.create(ups(f"a{n}", f"b{n}"), n)
+        book.update(spark.createDataFrame([(1, "Completed")], "scan_id long, status string"), n + 1)
+    assert not read  # before, every batch so far, for each batch
+    book.create(ups("a4", "b4", "c4"), 4)  # a replay, with one file more
+    other = ledger.Ledger(spark, path, compact_after=None)
+    other.create(ups("d"), 6)  # another ledger's batch
+    book.create(ups("e"), 8)
+    assert ids(book) == {"a0": 1, "b0": 2, "a2": 3, "b2": 4, "a4": 5, "b4": 6, "c4": 7, "d": 8, "e": 9}
+    book.compact()
+    book.create(ups("x", "y"), 8)  # a replay of what a snapshot holds
+    book.create(ups("f"), 10)
+    book.create(spark.createDataFrame([(50, "g")], "scan_id long, filename string"), 12)
+    book.create(ups("h"), 14)
+    book.update(spark.createDataFrame([(51, "Completed")], "scan_id long, status string"), 14)  # over a batch that held ids
+    book.create(ups("i"), 16)
+    assert {k: v for k, v in ids(book).items() if k > "d"} == {"e": 9, "f": 10, "g": 50, "i": 51}
