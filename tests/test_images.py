@@ -240,3 +240,12 @@ def test_what_refused_files_raise_ends_the_batch(spark, tmp_path):
     book = ledger.Ledger(spark, str(tmp_path / "events"))
     with pytest.raises(ZeroDivisionError):
         process_batch(images.read_uploads(spark, landed(tmp_path / "land", 1)), book, str(tmp_path / "out"), 0, "page_size", PageSize, lambda refused: 1 / 0)
+
+
+def test_tasks_of_a_batch_read_many_small_files(spark, tmp_path, monkeypatch):
+    from leafpress.streaming import ingest
+
+    tasks = []
+    monkeypatch.setattr(ingest, "process_batch", lambda batch, *_: tasks.append(batch.select("path").rdd.getNumPartitions()))
+    ingest.start(spark, landed(tmp_path / "land", 200), ledger.Ledger(spark, str(tmp_path / "events")), str(tmp_path / "out"), str(tmp_path / "cp"), max_files=200).awaitTermination()
+    assert tasks == [4]  # one a core; before, 7 of 32 files at most
